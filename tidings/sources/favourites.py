@@ -1,0 +1,46 @@
+"""The favourites table over JDBC."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidings.config import JdbcConfig
+
+PARTITION_COLUMN = "id"
+
+
+def read_options(cfg: JdbcConfig, lower: int | None, upper: int | None) -> dict[str, str]:
+    """Options to read the table in ranges of its id.
+
+    The bounds only place the ranges; rows outside them are read as well. The
+    fetch size keeps a range from being buffered whole by the database driver.
+    """
+    options = {
+        **cfg.connection(),
+        "dbtable": cfg.table,
+        "fetchsize": str(cfg.batch_rows),
+    }
+    if lower is not None and upper is not None and lower < upper:
+        options |= {
+            "partitionColumn": PARTITION_COLUMN,
+            "lowerBound": str(lower),
+            "upperBound": str(upper),
+            "numPartitions": str(cfg.partitions),
+        }
+    return options
+
+
+def favourites(spark: SparkSession, cfg: JdbcConfig) -> DataFrame:
+    """The table as it is when read; call it again for each micro-batch.
+
+    Filters on the restaurant, and the pruning to two columns, reach the database.
+    """
+    bounds = (
+        spark.read.format("jdbc")
+        .options(
+            **cfg.connection(),
+            query=f"SELECT min({PARTITION_COLUMN}) AS lo, max({PARTITION_COLUMN}) AS hi "
+            f"FROM {cfg.table}",
+        )
+        .load()
+        .first()
+    )
+    return spark.read.format("jdbc").options(**read_options(cfg, *bounds)).load()
