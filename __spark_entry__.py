@@ -1,4 +1,7 @@
-"""Queries over the test tables, and their SQL counterparts."""
+"""Queries over the test tables, and their SQL counterparts.
+
+Campaigns come from ``events`` and favourites from ``lineitem`` and ``orders``.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +9,253 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidings.plans import notify
+from tidings.operators import (
+    active_at,
+    dead_letters,
+    decode_campaigns,
+    dedupe_favourites,
+    fan_out,
+    message_text,
+    of_restaurants,
+    stamp,
+    to_messages,
+    to_notifications,
+    with_feedback,
+)
+from tidings.plans import Limits, Workspace, notify
+from tidings.schemas import CAMPAIGN_COLUMNS, NOTIFICATION_COLUMNS
 from tidings.session import in_utc
+from tidings.sinks import files
 from tidings.sources import star_schema
+from tidings.streaming import NotificationJob
 
 NOW = 1704974400  # 2024-01-11 12:00:00 UTC
 
 
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return star_schema.table(in_utc(spark), folder, "events")
+
+
+def _campaigns(spark: SparkSession, folder: str) -> DataFrame:
+    return star_schema.campaigns(_events(spark, folder))
+
+
+def _messages(spark: SparkSession, folder: str) -> DataFrame:
+    return star_schema.messages(_events(spark, folder))
+
+
+def _faulty(spark: SparkSession, folder: str) -> DataFrame:
+    return star_schema.faulty_messages(_events(spark, folder))
+
+
+def campaign_text(spark: SparkSession, folder: str) -> DataFrame:
+    return message_text(_messages(spark, folder))
+
+
+def campaign_decode(spark: SparkSession, folder: str) -> DataFrame:
+    return decode_campaigns(_messages(spark, folder)).drop("message_id")
+
+
+def campaign_malformed(spark: SparkSession, folder: str) -> DataFrame:
+    return active_at(decode_campaigns(_faulty(spark, folder)), NOW).drop("message_id")
+
+
+def campaign_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
+    return dead_letters(decode_campaigns(_faulty(spark, folder), "payload"))
+
+
+def campaign_active(spark: SparkSession, folder: str) -> DataFrame:
+    return active_at(_campaigns(spark, folder), NOW).drop("message_id")
+
+
+def campaign_stamp(spark: SparkSession, folder: str) -> DataFrame:
+    return stamp(_campaigns(spark, folder), NOW).drop("message_id")
+
+
+def favourites_dedupe(spark: SparkSession, folder: str) -> DataFrame:
+    return dedupe_favourites(star_schema.favourites(in_utc(spark), folder))
+
+
+def favourites_of_active(spark: SparkSession, folder: str) -> DataFrame:
+    restaurants = active_at(_campaigns(spark, folder), NOW).select("restaurant_id").distinct()
+    return dedupe_favourites(of_restaurants(star_schema.favourites(spark, folder), restaurants))
+
+
+def _notify(spark: SparkSession, folder: str, limits: Limits = Limits()) -> DataFrame:
+    favourites = star_schema.favourites(spark, folder)
+    return notify(_campaigns(spark, folder), favourites, NOW, limits).drop("message_id")
+
+
 def notification_fanout(spark: SparkSession, folder: str) -> DataFrame:
-    in_utc(spark)
-    events = star_schema.table(spark, folder, "events")
-    found = notify(star_schema.campaigns(events), star_schema.favourites(spark, folder), NOW)
-    return found.drop("message_id")
+    return _notify(spark, folder)
+
+
+def notification_shuffled(spark: SparkSession, folder: str) -> DataFrame:
+    """The plan for campaigns too large to broadcast."""
+    return _notify(spark, folder, Limits(broadcast_bytes=0))
+
+
+def notification_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """From JSON messages."""
+    campaigns = decode_campaigns(_messages(spark, folder))
+    favourites = star_schema.favourites(spark, folder)
+    return notify(campaigns, favourites, NOW).drop("message_id")
+
+
+def notification_feedback(spark: SparkSession, folder: str) -> DataFrame:
+    return with_feedback(_notify(spark, folder))
+
+
+def notification_message(spark: SparkSession, folder: str) -> DataFrame:
+    return to_messages(with_feedback(_notify(spark, folder)))
+
+
+def _stream(spark: SparkSession, folder: str, out: str) -> None:
+    """Run the streaming job over all of the table's files."""
+    messages = star_schema.messages(star_schema.table_stream(in_utc(spark), folder, "events"))
+    job = NotificationJob(
+        favourites=lambda: star_schema.favourites(spark, folder),
+        table=files.parquet_table(f"{out}/table"),
+        messages=files.text_messages(f"{out}/messages"),
+        letters=files.parquet_letters(f"{out}/letters"),
+        name=f"notifications_{out.rsplit('/', 1)[-1]}",
+        now=NOW,
+    )
+    job.start(messages, f"{out}/checkpoint", {"availableNow": True}).awaitTermination()
+
+
+def notification_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Table rows that the streaming job wrote."""
+    out = Workspace(spark).path
+    _stream(spark, folder, out)
+    return files.read_table(spark, f"{out}/table")
+
+
+def notification_stream_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages that the streaming job wrote."""
+    out = Workspace(spark).path
+    _stream(spark, folder, out)
+    return files.read_messages(spark, f"{out}/messages")
+
+
+def notification_stream_static(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream joined to a table, without the job around it."""
+    out = Workspace(spark).path
+    messages = star_schema.messages(star_schema.table_stream(in_utc(spark), folder, "events"))
+    campaigns = stamp(active_at(decode_campaigns(messages), NOW), NOW)
+    favourites = dedupe_favourites(star_schema.favourites(spark, folder))
+    query = (
+        to_notifications(fan_out(campaigns, favourites))
+        .writeStream.format("parquet")
+        .queryName(f"static_{out.rsplit('/', 1)[-1]}")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{out}/table")
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/table").select(*NOTIFICATION_COLUMNS)
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    """Notifications for the campaigns active at ``NOW``."""
+    return notification_fanout(spark, "/root/testdata/sf0.001")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Each takes a session and the folder of the tables."""
+    return {
+        query.__name__: query
+        for query in (
+            campaign_text,
+            campaign_decode,
+            campaign_malformed,
+            campaign_dead_letters,
+            campaign_active,
+            campaign_stamp,
+            favourites_dedupe,
+            favourites_of_active,
+            notification_fanout,
+            notification_shuffled,
+            notification_pipeline,
+            notification_feedback,
+            notification_message,
+            notification_stream,
+            notification_stream_messages,
+            notification_stream_static,
+        )
+    }
+
+
+def _json(columns: list[str], **changed: str) -> str:
+    """SQL for a JSON object of the columns, in order."""
+    fields = ", ".join(f"{name} := {changed.get(name, name)}" for name in columns)
+    return f"CAST(to_json(struct_pack({fields})) AS VARCHAR)"
+
+
+def oracle_sql() -> dict[str, str]:
+    """The same results from SQL over the tables."""
+    started = "CAST(floor(epoch(ts)) AS BIGINT)"
+    campaigns = f"""
+        SELECT event_id,
+               CAST(user_id AS VARCHAR) AS restaurant_id,
+               CAST(event_id AS VARCHAR) AS adv_campaign_id,
+               event_type AS adv_campaign_content,
+               'owner-' || user_id AS adv_campaign_owner,
+               'owner-' || user_id || '@example.com' AS adv_campaign_owner_contact,
+               {started} AS adv_campaign_datetime_start,
+               {started} + 3600 * (1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 6)
+                 AS adv_campaign_datetime_end,
+               {started} - 72000 AS datetime_created
+        FROM events"""
+    pairs = """
+        SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS client_id,
+               CAST(l_suppkey AS VARCHAR) AS restaurant_id
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+    is_active = f"adv_campaign_datetime_start <= {NOW} AND adv_campaign_datetime_end > {NOW}"
+    tables = f"WITH campaigns AS ({campaigns}), pairs AS ({pairs})"
+    eight, ten = ", ".join(CAMPAIGN_COLUMNS), ", ".join(NOTIFICATION_COLUMNS)
+    fanout = f"""
+        SELECT c.*, client_id, CAST({NOW} AS INTEGER) AS trigger_datetime_created
+        FROM campaigns c JOIN pairs USING (restaurant_id) WHERE {is_active}"""
+    notifications = f"{tables} SELECT {ten} FROM ({fanout})"
+    feedback = f"{tables} SELECT {ten}, CAST(NULL AS VARCHAR) AS feedback FROM ({fanout})"
+    messages = f"{tables} SELECT {_json(NOTIFICATION_COLUMNS)} AS value FROM ({fanout})"
+    without_owner = [name for name in CAMPAIGN_COLUMNS if name != "adv_campaign_owner"]
+    quoted_start = {"adv_campaign_datetime_start": "CAST(adv_campaign_datetime_start AS VARCHAR)"}
+    return {
+        "campaign_text": f"""{tables}
+            SELECT CAST(event_id AS VARCHAR) AS key, {_json(CAMPAIGN_COLUMNS)} AS value
+            FROM campaigns""",
+        "campaign_decode": f"{tables} SELECT {eight} FROM campaigns",
+        "campaign_malformed": f"""{tables}
+            SELECT * REPLACE (
+                CASE WHEN adv_campaign_content <> 'purchase' THEN adv_campaign_owner END
+                AS adv_campaign_owner)
+            FROM (SELECT {eight} FROM campaigns
+                  WHERE adv_campaign_content NOT IN ('error', 'signup') AND {is_active})""",
+        "campaign_dead_letters": f"""{tables}
+            SELECT 'campaigns:0:' || event_id AS message_id,
+                   CASE adv_campaign_content
+                     WHEN 'error' THEN 'not json ' || {_json(CAMPAIGN_COLUMNS)}
+                     WHEN 'signup' THEN {_json(CAMPAIGN_COLUMNS, **quoted_start)}
+                     ELSE {_json(without_owner)} END AS payload,
+                   CASE adv_campaign_content
+                     WHEN 'error' THEN '{",".join(CAMPAIGN_COLUMNS)}'
+                     WHEN 'signup' THEN 'adv_campaign_datetime_start'
+                     ELSE 'adv_campaign_owner' END AS missing_fields
+            FROM campaigns WHERE adv_campaign_content IN ('error', 'signup', 'purchase')""",
+        "campaign_active": f"{tables} SELECT {eight} FROM campaigns WHERE {is_active}",
+        "campaign_stamp": f"""{tables}
+            SELECT {eight}, CAST({NOW} AS INTEGER) AS trigger_datetime_created FROM campaigns""",
+        "favourites_dedupe": pairs,
+        "favourites_of_active": f"""{tables} SELECT client_id, restaurant_id FROM pairs
+            WHERE restaurant_id IN (SELECT restaurant_id FROM campaigns WHERE {is_active})""",
+        "notification_fanout": notifications,
+        "notification_shuffled": notifications,
+        "notification_pipeline": notifications,
+        "notification_feedback": feedback,
+        "notification_message": messages,
+        "notification_stream": feedback,
+        "notification_stream_messages": messages,
+        "notification_stream_static": notifications,
+    }

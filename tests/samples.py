@@ -1,0 +1,70 @@
+"""Golden rows, and helpers to make inputs and to compare results."""
+
+import json
+from collections import Counter
+
+from tidings.schemas import CAMPAIGN_COLUMNS
+
+GOLDEN_NOW = 1659304828
+
+# Sample favourites (id, client, restaurant), ids 8 and 9 a copy.
+RESTAURANT = "123e4567-e89b-12d3-a456-426614174000"
+OTHER_RESTAURANT = "123e4567-e89b-12d3-a456-426614174001"
+FAVOURITES = [
+    (1, "223e4567-e89b-12d3-a456-426614174000", RESTAURANT),
+    (2, "323e4567-e89b-12d3-a456-426614174000", RESTAURANT),
+    (3, "423e4567-e89b-12d3-a456-426614174000", RESTAURANT),
+    (4, "523e4567-e89b-12d3-a456-426614174000", RESTAURANT),
+    (5, "623e4567-e89b-12d3-a456-426614174000", RESTAURANT),
+    (6, "723e4567-e89b-12d3-a456-426614174000", RESTAURANT),
+    (7, "823e4567-e89b-12d3-a456-426614174000", RESTAURANT),
+    (8, "923e4567-e89b-12d3-a456-426614174000", OTHER_RESTAURANT),
+    (9, "923e4567-e89b-12d3-a456-426614174000", OTHER_RESTAURANT),
+    (10, "023e4567-e89b-12d3-a456-426614174000", RESTAURANT),
+]
+# Sample campaign.
+CAMPAIGN = (
+    RESTAURANT,
+    "123e4567-e89b-12d3-a456-426614174003",
+    "first campaign",
+    "Ivanov Ivan Ivanovich",
+    "iiivanov@restaurant.ru",
+    1659203516,
+    2659207116,
+    1659131516,
+)
+GOLDEN = [
+    (*CAMPAIGN, client, GOLDEN_NOW)
+    for _, client, restaurant in FAVOURITES
+    if restaurant == RESTAURANT
+]
+
+
+def payload(restaurant="r1", campaign="c1", start=1, end=100, **changed):
+    """A campaign message's JSON; a field set to ... is left out."""
+    fields = dict(
+        zip(
+            CAMPAIGN_COLUMNS,
+            (restaurant, campaign, "content", "owner", "contact", start, end, 0),
+        )
+    )
+    fields.update(changed)
+    return json.dumps({k: v for k, v in fields.items() if v is not ...})
+
+
+def messages(spark, payloads):
+    """Message rows with ids m0, m1, ..."""
+    rows = [
+        (b"key", None if text is None else text.encode(), f"m{i}")
+        for i, text in enumerate(payloads)
+    ]
+    return spark.createDataFrame(rows, "key binary, value binary, message_id string")
+
+
+def favourites(spark, rows=FAVOURITES):
+    return spark.createDataFrame(rows, "id int, client_id string, restaurant_id string")
+
+
+def bag(df):
+    """Rows as a multiset."""
+    return Counter(tuple(row) for row in df.collect())

@@ -97,10 +97,9 @@ def _relevant(
     favourites: DataFrame, campaigns: DataFrame, seen: Tally, limits: Limits
 ) -> DataFrame:
     """Favourites cut down to the campaigns' restaurants, where that is cheap."""
-    restaurants = campaigns.select("restaurant_id").distinct()
-    if seen.restaurants <= limits.pushed_ids:
-        ids = [row.restaurant_id for row in restaurants.collect()]
-        return favourites.filter(F.col("restaurant_id").isin(ids))
+    if seen.ids is not None and len(seen.ids) <= limits.pushed_ids:
+        return favourites.filter(F.col("restaurant_id").isin(seen.ids))
     if seen.id_bytes <= limits.broadcast_bytes:
+        restaurants = campaigns.select("restaurant_id").distinct()
         return of_restaurants(favourites, F.broadcast(restaurants))
     return favourites

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions.sizes import row_bytes
 
+FEW_ROWS = 1000  # a side of so many rows is counted on the driver
 SPLIT_SCHEMA = "restaurant_id string, client_parts int, campaign_parts int"
 
 
@@ -41,6 +42,7 @@ class Tally:
     id_bytes: int = 0
     busiest: int = 0
     busy: dict[str, int] = field(default_factory=dict)
+    ids: list[str] | None = None  # all of them, on a side of few rows
 
 
 def tally(side: DataFrame, size: Size, cell_rows: int, cells: int) -> Tally:
@@ -51,6 +53,16 @@ def tally(side: DataFrame, size: Size, cell_rows: int, cells: int) -> Tally:
     driver receives no more than that and misses none.
     """
     per_restaurant = side.groupBy("restaurant_id").agg(F.count("*").alias("rows"))
+    busy_from = max(cell_rows, size.rows / cells)
+    if size.rows <= FEW_ROWS:
+        rows = {row.restaurant_id: row.rows for row in per_restaurant.collect()}
+        return Tally(
+            restaurants=len(rows),
+            id_bytes=size.bytes,
+            busiest=max(rows.values(), default=0),
+            busy={restaurant: n for restaurant, n in rows.items() if n > busy_from},
+            ids=list(rows),
+        )
     observed = Observation()
     busy = (
         per_restaurant.observe(
@@ -59,7 +71,7 @@ def tally(side: DataFrame, size: Size, cell_rows: int, cells: int) -> Tally:
             F.sum(row_bytes(side.select("restaurant_id"))).alias("id_bytes"),
             F.max("rows").alias("busiest"),
         )
-        .filter(F.col("rows") > max(cell_rows, size.rows / cells))
+        .filter(F.col("rows") > busy_from)
         .collect()
     )
     totals = {name: value or 0 for name, value in observed.get.items()}

@@ -9,6 +9,7 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -44,6 +45,10 @@ class Workspace:
 
     def hold(self, df: DataFrame, table: str) -> DataFrame:
         """Write ``df`` once and return the written table."""
-        path = f"{self.path}/{table}"
-        df.write.mode("overwrite").parquet(path)
-        return self._spark.read.schema(df.schema).parquet(path)
+        df.write.mode("overwrite").parquet(f"{self.path}/{table}")
+        return self.read(table, df.schema)
+
+    def read(self, table: str, schema: StructType | str | None = None) -> DataFrame:
+        """A held table; with no schema given, the one it was written with."""
+        reader = self._spark.read.schema(schema) if schema else self._spark.read
+        return reader.parquet(f"{self.path}/{table}")

@@ -1,20 +1,22 @@
 """Campaigns and favourites derived from the star-schema test tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.functions.ids import topic_message_id
 from tidings.schemas import CAMPAIGN_COLUMNS, MESSAGE_ID
 
-EVENTS_SCHEMA = (
-    "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-)
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table's files as a stream; a stream of one file must be given as a pattern."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")
+
+
 def campaigns(events: DataFrame) -> DataFrame:
     """One campaign per event; ``events`` may be a stream."""
     user = F.col("user_id").cast("string")
@@ -36,14 +38,42 @@ def campaigns(events: DataFrame) -> DataFrame:
 
 def messages(events: DataFrame) -> DataFrame:
     """The campaigns as a topic would deliver them."""
-    payload = F.to_json(F.struct(*CAMPAIGN_COLUMNS))
-    return campaigns(events).select(
+    return _delivered(campaigns(events), F.to_json(F.struct(*CAMPAIGN_COLUMNS)))
+
+
+def faulty_messages(events: DataFrame) -> DataFrame:
+    """The same with a fault in the payload that depends on the event's type."""
+    whole = F.to_json(F.struct(*CAMPAIGN_COLUMNS))
+    kind = F.col("adv_campaign_content")
+    payload = (
+        F.when(kind == "error", F.concat(F.lit("not json "), whole))
+        .when(kind == "signup", _payload(adv_campaign_datetime_start="string"))
+        .when(kind == "purchase", _payload(adv_campaign_owner=None))
+        .when(kind == "view", F.concat(whole, F.lit(" trailing")))
+        .otherwise(F.to_json(F.struct(*CAMPAIGN_COLUMNS, F.lit(1).alias("extra"))))
+    )
+    return _delivered(campaigns(events), payload)
+
+
+def _payload(**changed: str | None) -> Column:
+    """Payload with some fields of another type, or left out."""
+    fields = [
+        F.col(name).cast(changed[name]).alias(name) if name in changed else F.col(name)
+        for name in CAMPAIGN_COLUMNS
+        if name not in changed or changed[name]
+    ]
+    return F.to_json(F.struct(*fields))
+
+
+def _delivered(campaigns: DataFrame, payload: Column) -> DataFrame:
+    records = campaigns.select(
         F.col(MESSAGE_ID).cast("binary").alias("key"),
         payload.cast("binary").alias("value"),
         F.lit("campaigns").alias("topic"),
         F.lit(0).alias("partition"),
-        F.col(MESSAGE_ID).cast("long").alias("offset"),
-    ).select("key", "value", topic_message_id().alias(MESSAGE_ID))
+        F.col(MESSAGE_ID).alias("offset"),
+    )
+    return records.select("key", "value", topic_message_id().alias(MESSAGE_ID))
 
 
 def favourites(spark: SparkSession, folder: str) -> DataFrame:
