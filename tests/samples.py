@@ -1,7 +1,9 @@
 """Golden rows, and helpers to make inputs and to compare results."""
 
+import io
 import json
 from collections import Counter
+from contextlib import redirect_stdout
 
 from tidings.schemas import CAMPAIGN_COLUMNS
 
@@ -68,3 +70,18 @@ def favourites(spark, rows=FAVOURITES):
 def bag(df):
     """Rows as a multiset."""
     return Counter(tuple(row) for row in df.collect())
+
+
+class Listed(list):
+    """Rows that are on the driver already."""
+
+    def collect(self):
+        return self
+
+
+def plan_of(df):
+    """The physical plan as text."""
+    text = io.StringIO()
+    with redirect_stdout(text):
+        df.explain()
+    return text.getvalue()

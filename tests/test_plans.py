@@ -1,0 +1,195 @@
+"""The measured plans: same rows whichever is taken, busy restaurants cut up."""
+
+from collections import Counter
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from samples import bag, plan_of
+
+from tidings.operators import dedupe_favourites, fan_out_split
+from tidings.plans import Limits, Workspace, notify
+from tidings.plans import workspace as workspace_module
+from tidings.plans.splits import FEW_ROWS, Size, Tally, splits, tally
+from tidings.schemas import CAMPAIGN_SCHEMA
+
+CAMPAIGNS = "message_id string, " + CAMPAIGN_SCHEMA.simpleString()[7:-1].replace(":", " ")
+PAIRS = "client_id string, restaurant_id string"
+CUT = Limits(broadcast_bytes=0, pushed_ids=0, cell_campaigns=1, cell_favourites=1)
+
+
+def campaigns(spark, restaurants):
+    """One active campaign per listed restaurant; all equal but for the message id."""
+    rows = [
+        (f"m{i}", r, "c", "content", "owner", "contact", 1, 9, 0)
+        for i, r in enumerate(restaurants)
+    ]
+    return spark.createDataFrame(rows, CAMPAIGNS)
+
+
+def brute_force(restaurants, pairs):
+    return Counter(
+        (f"m{i}", client)
+        for i, restaurant in enumerate(restaurants)
+        for client, liked in set(pairs)
+        if restaurant is not None and liked == restaurant
+    )
+
+
+def found(df):
+    return bag(df.select("message_id", "client_id"))
+
+
+# Restaurant r0 has half of the rows of both sides, r1 and r2 some, r3 nobody.
+HOT_CAMPAIGNS = ["r0"] * 40 + ["r1", "r2", "r3", None] * 10
+HOT_PAIRS = (
+    [(f"u{i}", "r0") for i in range(60)]
+    + [(f"u{i}", "r1") for i in range(10)]
+    + [("u0", "r2")] * 60
+    + [("u1", None)]
+)
+
+
+@pytest.mark.parametrize(
+    "limits",
+    [
+        Limits(),
+        Limits(pushed_ids=0),
+        Limits(broadcast_fan_out=39),
+        Limits(broadcast_bytes=0),
+        Limits(broadcast_bytes=0, pushed_ids=0),
+        CUT,
+    ],
+)
+def test_every_plan_gives_the_same_rows(spark, limits):
+    liked = spark.createDataFrame(HOT_PAIRS, PAIRS).repartition(4)
+    result = notify(campaigns(spark, HOT_CAMPAIGNS).repartition(4), liked, 5, limits)
+    assert found(result) == brute_force(HOT_CAMPAIGNS, HOT_PAIRS)
+
+
+@settings(
+    max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(
+    restaurants=st.lists(st.sampled_from(["r0", "r1", "r2"]), min_size=1, max_size=8),
+    pairs=st.lists(
+        st.tuples(st.sampled_from("abcd"), st.sampled_from(["r0", "r1", "r2"])),
+        min_size=1,
+        max_size=12,
+    ),
+    parts=st.dictionaries(
+        st.sampled_from(["r0", "r1", "r9"]),
+        st.tuples(st.integers(1, 4), st.integers(1, 4)),
+        min_size=1,
+    ),
+)
+def test_cells_meet_each_pair_once(spark, restaurants, pairs, parts):
+    rows = [(r, clients, offers) for r, (clients, offers) in parts.items()]
+    cut = spark.createDataFrame(rows, "restaurant_id string, client_parts int, campaign_parts int")
+    liked = dedupe_favourites(spark.createDataFrame(pairs, PAIRS))
+    result = fan_out_split(campaigns(spark, restaurants), liked, cut, 3)
+    assert found(result) == brute_force(restaurants, pairs)
+
+
+def test_cells_without_message_ids(spark):
+    """Equal campaigns stay together, and still fan out once each."""
+    offers = campaigns(spark, ["r0"] * 5).drop("message_id")
+    liked = spark.createDataFrame([("a", "r0"), ("b", "r0")], PAIRS)
+    cut = spark.createDataFrame(
+        [("r0", 2, 3)], "restaurant_id string, client_parts int, campaign_parts int"
+    )
+    assert fan_out_split(offers, liked, cut, 3).count() == 10
+
+
+def test_busy_restaurant_is_spread_over_tasks(spark):
+    offers = campaigns(spark, ["r0"] * 200)
+    liked = spark.createDataFrame([(f"u{i}", "r0") for i in range(400)], PAIRS)
+    cut = spark.createDataFrame(
+        [("r0", 8, 4)], "restaurant_id string, client_parts int, campaign_parts int"
+    )
+    result = fan_out_split(offers, liked, cut, 16)
+    per_task = result.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(row["count"] for row in per_task) == 80_000
+    assert len(per_task) >= 8
+    assert max(row["count"] for row in per_task) <= 80_000 / 4
+
+
+def test_tally_of_a_small_side(spark):
+    side = campaigns(spark, ["r0"] * 6 + ["r1"] * 2)
+    size = Size.of(side)
+    assert size.rows == 8 and size.bytes > 8 * len("m0r0ccontentownercontact")
+    counted = tally(side, size, 1, 4)
+    assert (counted.restaurants, counted.busiest, counted.busy) == (2, 6, {"r0": 6})
+    assert sorted(counted.ids) == ["r0", "r1"]
+
+
+def test_tally_of_a_large_side(spark):
+    rows = FEW_ROWS * 4
+    side = spark.range(rows).select(
+        F.col("id").cast("string").alias("client_id"),
+        F.expr("if(id % 4 = 0, 'hot', string(id))").alias("restaurant_id"),
+    )
+    counted = tally(side, Size.of(side), 10, 8)
+    assert counted.restaurants == rows - rows // 4 + 1
+    assert (counted.busiest, counted.busy, counted.ids) == (rows // 4, {"hot": rows // 4}, None)
+    assert counted.id_bytes >= counted.restaurants * 4
+    assert tally(side, Size.of(side), rows, 8).busy == {}
+    # A quarter of the rows is no more than one of four equal shares.
+    assert tally(side, Size.of(side), 10, 4).busy == {}
+
+
+def test_splits(spark):
+    offers = Size(1000, 0), Tally(busy={"a": 600, "b": 300})
+    likes = Size(8000, 0), Tally(busy={"b": 6000, "c": 1500})
+    rows = splits(spark, offers, likes, 10, 500, 10).collect()
+    assert sorted(map(tuple, rows)) == [("a", 1, 6), ("b", 8, 3), ("c", 2, 1)]
+    assert splits(spark, (offers[0], Tally()), (likes[0], Tally()), 10, 500, 10) is None
+
+
+def test_nothing_active(spark):
+    liked = spark.createDataFrame([("a", "r0")], PAIRS)
+    for limits in (Limits(), Limits(broadcast_bytes=-1)):
+        assert notify(campaigns(spark, ["r0"]), liked, 99, limits).isEmpty()
+
+
+def test_small_campaigns_are_broadcast_and_favourites_filtered_early(spark, folder):
+    spark.createDataFrame(HOT_PAIRS, PAIRS).write.parquet(folder + "/pairs")
+    liked = spark.read.parquet(folder + "/pairs")
+    plan = plan_of(notify(campaigns(spark, HOT_CAMPAIGNS), liked, 5))
+    assert "BroadcastHashJoin" in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # the dedupe
+    assert "In(restaurant_id" in plan  # reaches the scan
+
+
+def test_large_campaigns_are_not_broadcast(spark):
+    liked = spark.createDataFrame(HOT_PAIRS, PAIRS)
+    plan = plan_of(notify(campaigns(spark, HOT_CAMPAIGNS), liked, 5, CUT))
+    assert "SortMergeJoin" in plan
+    # Only the list of busy restaurants is, whose length is bounded.
+    assert plan.count("BroadcastExchange") == plan.count("Scan ExistingRDD") == 2
+
+
+def test_workspace(spark, folder, monkeypatch):
+    one, other = Workspace(spark), Workspace(spark)
+    assert one.path != other.path
+    assert one.path.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
+    held = one.hold(spark.range(3), "numbers")
+    assert held.count() == 3
+    named = Workspace(spark, "named")
+    named.hold(spark.range(3), "numbers")
+    assert named.hold(spark.range(5), "numbers").count() == 5
+    named.ensure(spark.range(1), "numbers")
+    assert named.read("numbers").count() == 5
+
+
+class _Session:
+    def __init__(self, master):
+        self.conf = {"spark.master": master}
+        self.sparkContext = type("Context", (), {"applicationId": "local-1"})
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace_module.shared_folder(_Session("yarn"))
+    assert workspace_module.shared_folder(_Session("local[2]"))

@@ -3,7 +3,7 @@
 import __spark_entry__ as registry
 import duckdb
 import pytest
-from samples import bag
+from samples import Listed, bag
 
 TABLES = "events lineitem orders"
 
@@ -34,12 +34,7 @@ def test_query_equals_sql(spark, database, sf_dir, name):
     assert rows
     counted = bag(found.select(*columns))
     assert sum(counted.values()) == len(rows)
-    assert counted == bag(_Rows(rows))
-
-
-class _Rows(list):
-    def collect(self):
-        return self
+    assert counted == bag(Listed(rows))
 
 
 def test_entry(spark, sf_dir):

@@ -48,6 +48,10 @@ class Workspace:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}")
         return self.read(table, df.schema)
 
+    def ensure(self, df: DataFrame, table: str) -> None:
+        """Write ``df`` unless the table is there."""
+        df.write.mode("ignore").parquet(f"{self.path}/{table}")
+
     def read(self, table: str, schema: StructType | str | None = None) -> DataFrame:
         """A held table; with no schema given, the one it was written with."""
         reader = self._spark.read.schema(schema) if schema else self._spark.read

@@ -40,10 +40,9 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parquet_letters(path: str) -> Sink:
-    """Dead letters as Parquet; a batch without any leaves nothing."""
+    """Dead letters as Parquet."""
 
     def write_letters(letters: DataFrame, batch: Batch) -> None:
-        if not letters.isEmpty():
-            letters.write.mode("overwrite").parquet(_folder(path, batch))
+        letters.write.mode("overwrite").parquet(_folder(path, batch))
 
     return write_letters

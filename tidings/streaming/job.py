@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidings.functions.sizes import row_bytes
 from tidings.operators import (
     dead_letters,
     decode_campaigns,
@@ -82,30 +83,37 @@ class NotificationJob:
         key = Batch(self._id(), batch_id)
         batch.persist()
         try:
-            self._write("dead letters", self.letters, dead_letters(batch), key)
-            found = self._notifications(batch, key)
-            if found is None:
+            size, rejected = self._count(batch)
+            if rejected:
+                self._write("dead letters", self.letters, dead_letters(batch), key)
+            if not size.rows:
+                self.sent[batch_id] = 0
                 return
-            feedback = with_feedback(found)
+            feedback = with_feedback(self._notifications(batch, size, key))
             self._write("notification rows", self.table, feedback, key)
             self._write("notification messages", self.messages, to_messages(feedback), key)
         finally:
             batch.unpersist()
 
-    def _notifications(self, batch: DataFrame, key: Batch) -> DataFrame | None:
-        """The batch's notifications, spooled; None when no campaign is active."""
+    @staticmethod
+    def _count(batch: DataFrame) -> tuple[Size, int]:
+        """Size of the campaigns to send, and the number of dead letters."""
+        counted = batch.agg(
+            F.count_if(~incomplete()).alias("rows"),
+            F.sum(F.when(~incomplete(), row_bytes(batch))).alias("bytes"),
+            F.count_if(incomplete()).alias("rejected"),
+        ).first()
+        return Size(counted.rows, counted.bytes or 0), counted.rejected
+
+    def _notifications(self, batch: DataFrame, size: Size, key: Batch) -> DataFrame:
+        """The batch's notifications, from the spool."""
         spool = self._spool
         kept = spool.kept(key.batch_id)
         if kept is not None:
             log.info("batch %d: sending the notifications an earlier run found", key.batch_id)
             return kept
-        active = batch.filter(is_active(F.col("trigger_datetime_created")) & ~incomplete())
-        active = active.drop("payload")
-        size = Size.of(active)
-        if not size.rows:
-            self.sent[key.batch_id] = 0
-            return None
-        found = notifications(active, size, self.favourites(), spool.workspace, self.limits)
+        campaigns = batch.filter(~incomplete()).drop("payload")
+        found = notifications(campaigns, size, self.favourites(), spool.workspace, self.limits)
         rows = Observation()
         held = spool.keep(key.batch_id, found.observe(rows, F.count("*").alias("rows")))
         self.sent[key.batch_id] = rows.get.get("rows", 0)

@@ -1,6 +1,5 @@
 """The current batch's notifications, written once for both sinks."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tidings.plans.workspace import Workspace
@@ -31,17 +30,14 @@ class Spool:
         if not self._fresh:
             return None
         self._fresh = False
-        try:
-            mark = self._workspace.read(MARK, "batch_id long").first()
-            found = self._workspace.read(TABLE)
-        except AnalysisException as err:
-            if err.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return None
-        return found if mark and mark.batch_id == batch_id else None
+        self._workspace.ensure(self._marked(0, 0), MARK)
+        mark = self._workspace.read(MARK, "batch_id long").first()
+        return self._workspace.read(TABLE) if mark and mark.batch_id == batch_id else None
 
     def keep(self, batch_id: int, notifications: DataFrame) -> DataFrame:
         held = self._workspace.hold(notifications, TABLE)
-        mark = self._spark.range(batch_id, batch_id + 1, 1, 1).toDF("batch_id")
-        self._workspace.hold(mark, MARK)
+        self._workspace.hold(self._marked(batch_id, batch_id + 1), MARK)
         return held
+
+    def _marked(self, start: int, end: int) -> DataFrame:
+        return self._spark.range(start, end, 1, 1).toDF("batch_id")
