@@ -256,7 +256,7 @@ def test_progress_log(bench, spark, caplog):
             stream = file_campaign_stream(spark, f"{bench.folder}/in")
             job.start(stream, f"{bench.folder}/checkpoint", ONCE).awaitTermination()
             for _ in range(100):  # the listener hears of it a little later
-                if not job_sent:
+                if "rows in" in caplog.text:
                     break
                 time.sleep(0.1)
         finally:

@@ -2,6 +2,7 @@
 
 import logging
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ class Limits:
     # Rows of one restaurant that a join task takes whole.
     cell_campaigns: int = 1000
     cell_favourites: int = 1_000_000
+    # Input of a join task, when Spark's own number of partitions is too small.
+    partition_bytes: int = 256 << 20
 
 
 def notify(
@@ -90,7 +93,8 @@ def notifications(
     )
     if busy is None:
         return to_notifications(fan_out(campaigns, pairs))
-    return to_notifications(fan_out_split(campaigns, pairs, busy, cells))
+    partitions = max(cells, ceil((size.bytes + clients.bytes) / limits.partition_bytes))
+    return to_notifications(fan_out_split(campaigns, pairs, busy, partitions))
 
 
 def _relevant(
