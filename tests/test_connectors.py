@@ -55,7 +55,7 @@ def test_kafka_connection():
 
 def test_topic_options():
     options = campaigns.topic_options(TOPIC)
-    assert options["subscribe"] == "campaigns" and options["startingOffsets"] == "earliest"
+    assert options["subscribe"] == "campaigns" and options["startingOffsets"] == "latest"
     assert "maxOffsetsPerTrigger" not in options
     limited = KafkaConfig("b", "t", max_offsets_per_trigger=9, max_records_per_partition=3)
     options = campaigns.topic_options(limited)
@@ -246,6 +246,14 @@ def test_job_config():
         JobConfig.from_env({k: v for k, v in ENV.items() if k != "TIDINGS_CHECKPOINT"})
 
 
+def test_trigger():
+    assert JobConfig.from_env(ENV).trigger() is None
+    paced = JobConfig.from_env(ENV | {"TIDINGS_TRIGGER_SECONDS": "5"})
+    assert paced.trigger() == {"processingTime": "5 seconds"}
+    backfill = JobConfig.from_env(ENV | {"TIDINGS_BACKFILL": "1"})
+    assert backfill.trigger() == {"availableNow": True}
+
+
 def test_connectors_match_the_running_spark():
     assert f"spark-sql-kafka-0-10_2.13:{pyspark.__version__}" in session.CONNECTORS[0]
 

@@ -183,6 +183,17 @@ def test_workspace(spark, folder, monkeypatch):
     assert named.read("numbers").count() == 5
 
 
+def test_clear_gives_the_room_back(spark):
+    workspace = Workspace(spark)
+    liked = spark.createDataFrame(HOT_PAIRS, PAIRS)
+    offers = campaigns(spark, HOT_CAMPAIGNS)
+    result = notify(offers, liked, 5, CUT, workspace)
+    assert found(result) == brute_force(HOT_CAMPAIGNS, HOT_PAIRS)
+    workspace.clear()
+    for table in ("campaigns", "favourites"):
+        assert workspace.read(table).isEmpty()
+
+
 class _Session:
     def __init__(self, master):
         self.conf = {"spark.master": master}

@@ -178,6 +178,55 @@ def test_fault_in_a_sink_repeats_the_batch(bench, sink, when, caplog):
     assert bench.rows().count() == 3 and bench.sent().count() == 3
 
 
+def test_repeated_batch_keeps_its_clock(bench):
+    bench.now = None
+    begin = int(time.time())
+    bench.publish(payload(start=begin - 9, end=begin + 900))
+    with pytest.raises(StreamingQueryException):
+        bench.run()  # there are no favourites to read
+    failed = time.time()
+    time.sleep(2)
+    bench.like(("a", "r1"))
+    bench.run()
+    (row,) = bench.rows().collect()
+    assert begin <= row.trigger_datetime_created <= failed
+
+
+def test_main(bench, spark, monkeypatch):
+    """The settings come together; Kafka and the database are replaced by folders."""
+    import tidings.__main__ as program
+
+    now = int(time.time())
+    bench.like(("a", "r1"))
+    bench.publish(payload(start=now - 9, end=now + 900), "no json")
+    env = {
+        "KAFKA_SERVERS": "broker:9091",
+        "TOPIC_IN": "in",
+        "TOPIC_OUT": "out",
+        "FAVOURITES_URL": "jdbc:x",
+        "FEEDBACK_URL": "jdbc:x",
+        "CHECKPOINT": f"{bench.folder}/checkpoint",
+        "DEAD_LETTERS": f"{bench.folder}/letters",
+        "BACKFILL": "1",
+        "TAP": "1",
+    }
+    for name, value in env.items():
+        monkeypatch.setenv(f"TIDINGS_{name}", value)
+    replaced = {
+        "session": lambda name, packages: spark,
+        "campaign_stream": lambda spark, cfg: file_campaign_stream(spark, f"{bench.folder}/in"),
+        "favourites": lambda spark, cfg: spark.read.parquet(f"{bench.folder}/favourites"),
+        "append_once": lambda cfg: bench.sinks["table"],
+        "topic_messages": lambda cfg: bench.sinks["messages"],
+    }
+    for name, stand_in in replaced.items():
+        monkeypatch.setattr(program, name, stand_in)
+    program.main()
+    assert bench.rows().count() == 1 and bench.sent().count() == 1
+    assert spark.read.parquet(f"{bench.folder}/letters").count() == 1
+    assert not spark.streams.active
+
+
 def test_restart_goes_on_where_it_stopped(bench):
     bench.like(("a", "r1"))
     bench.publish(payload(campaign="one"))

@@ -23,16 +23,20 @@ def main() -> None:
         letters=parquet_letters(cfg.dead_letters),
         name=cfg.name,
     )
-    spark.streams.addListener(ProgressLog(job.sent))
-    trigger = {"processingTime": f"{cfg.trigger_seconds} seconds"} if cfg.trigger_seconds else None
+    progress = ProgressLog(job.sent)
+    spark.streams.addListener(progress)
     messages = campaign_stream(spark, cfg.campaigns)
-    if cfg.tap:
-        tap(messages, f"{cfg.checkpoint}/tap")
-    query = job.start(messages, f"{cfg.checkpoint}/notifications", trigger)
+    queries = []
     try:
+        if cfg.tap:
+            queries.append(tap(messages, f"{cfg.checkpoint}/tap"))
+        query = job.start(messages, f"{cfg.checkpoint}/notifications", cfg.trigger())
+        queries.append(query)
         query.awaitTermination()
     finally:
-        query.stop()
+        for query in queries:
+            query.stop()
+        spark.streams.removeListener(progress)
 
 
 if __name__ == "__main__":

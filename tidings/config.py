@@ -19,7 +19,7 @@ class KafkaConfig:
     topic: str
     username: str = ""
     password: str = field(default="", repr=False)
-    starting_offsets: str = "earliest"
+    starting_offsets: str = "latest"
     max_offsets_per_trigger: int | None = None
     max_records_per_partition: int | None = None
 
@@ -67,8 +67,17 @@ class JobConfig:
     dead_letters: str
     name: str = "campaign_notifications"
     trigger_seconds: int = 0
+    backfill: bool = False
     tap: bool = False
 
+    def trigger(self) -> dict | None:
+        """For ``writeStream.trigger``: all there is and stop, a pace, or Spark's default."""
+        if self.backfill:
+            return {"availableNow": True}
+        if self.trigger_seconds:
+            return {"processingTime": f"{self.trigger_seconds} seconds"}
+        return None
+
     @classmethod
     def from_env(cls, env: Mapping[str, str] = os.environ) -> "JobConfig":
         def get(name: str, default: str | None = None) -> str:
@@ -87,7 +96,7 @@ class JobConfig:
                 topic=get(name),
                 username=get("KAFKA_USERNAME", ""),
                 password=get("KAFKA_PASSWORD", ""),
-                starting_offsets=get("STARTING_OFFSETS", "earliest"),
+                starting_offsets=get("STARTING_OFFSETS", "latest"),
                 max_offsets_per_trigger=limit("MAX_OFFSETS_PER_TRIGGER"),
                 max_records_per_partition=limit("MAX_RECORDS_PER_PARTITION"),
             )
@@ -110,6 +119,7 @@ class JobConfig:
             checkpoint=get("CHECKPOINT"),
             dead_letters=get("DEAD_LETTERS"),
             trigger_seconds=int(get("TRIGGER_SECONDS", "0")),
+            backfill=get("BACKFILL", "") == "1",
             tap=get("TAP", "") == "1",
         )
 

@@ -43,13 +43,15 @@ def notify(
     favourites: DataFrame,
     now: int | None = None,
     limits: Limits = Limits(),
+    workspace: Workspace | None = None,
 ) -> DataFrame:
     """Notifications for the campaigns that run at ``now``; both sides bounded.
 
     Runs jobs: the active campaigns, few of all, are written once, so that the
-    measuring and the join do not read and decode every message again.
+    measuring and the join do not read and decode every message again. The result
+    reads what was written; give a workspace to clear it afterwards.
     """
-    workspace = Workspace(campaigns.sparkSession)
+    workspace = workspace or Workspace(campaigns.sparkSession)
     active = stamp(active_at(campaigns, now), now).filter("restaurant_id IS NOT NULL")
     metrics = Observation()
     active = workspace.hold(active.observe(metrics, *Size.metrics(active)), "campaigns")

@@ -41,11 +41,13 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str | None = None):
         self._spark = spark
+        self._held: set[str] = set()
         self.path = f"{shared_folder(spark)}/tidings/{name or uuid.uuid4().hex}"
 
     def hold(self, df: DataFrame, table: str) -> DataFrame:
         """Write ``df`` once and return the written table."""
         df.write.mode("overwrite").parquet(f"{self.path}/{table}")
+        self._held.add(table)
         return self.read(table, df.schema)
 
     def ensure(self, df: DataFrame, table: str) -> None:
@@ -56,3 +58,9 @@ class Workspace:
         """A held table; with no schema given, the one it was written with."""
         reader = self._spark.read.schema(schema) if schema else self._spark.read
         return reader.parquet(f"{self.path}/{table}")
+
+    def clear(self) -> None:
+        """Give the room back: nothing that was read from here can be used after."""
+        for table in sorted(self._held):
+            self._spark.range(0).write.mode("overwrite").parquet(f"{self.path}/{table}")
+        self._held.clear()

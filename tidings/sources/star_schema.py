@@ -1,19 +1,28 @@
 """Campaigns and favourites derived from the star-schema test tables."""
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidings.functions.ids import topic_message_id
 from tidings.schemas import CAMPAIGN_COLUMNS, MESSAGE_ID
 
 
+@cache
+def _schema(spark: SparkSession, folder: str, name: str) -> StructType:
+    """Read from the files' footers once, as a catalog would keep it."""
+    return spark.read.parquet(f"{folder}/{name}.parquet").schema
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(_schema(spark, folder, name)).parquet(f"{folder}/{name}.parquet")
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table's files as a stream; a stream of one file must be given as a pattern."""
-    schema = table(spark, folder, name).schema
+    schema = _schema(spark, folder, name)
     return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")
 
 
