@@ -77,8 +77,9 @@ def favourites_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def favourites_of_active(spark: SparkSession, folder: str) -> DataFrame:
+    """Deduped before a join that may shuffle by the restaurant, and split busy ones."""
     restaurants = active_at(_campaigns(spark, folder), NOW).select("restaurant_id").distinct()
-    return dedupe_favourites(of_restaurants(star_schema.favourites(spark, folder), restaurants))
+    return of_restaurants(dedupe_favourites(star_schema.favourites(spark, folder)), restaurants)
 
 
 def _notify(spark: SparkSession, folder: str, limits: Limits = Limits()) -> DataFrame:

@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 from samples import bag, messages, payload
 
 from tidings.operators import to_messages, to_notifications, with_feedback
@@ -40,9 +41,12 @@ class Bench:
         rows = messages(self.spark, payloads).select("key", "value")
         rows.repartition(files).write.mode("append").parquet(f"{self.folder}/in")
 
+    def favourites(self):
+        return self.spark.read.parquet(f"{self.folder}/favourites")
+
     def run(self, files_per_trigger=None):
         self.job = NotificationJob(
-            favourites=lambda: self.spark.read.parquet(f"{self.folder}/favourites"),
+            favourites=lambda: self.favourites(),
             name=self.name,
             now=self.now,
             limits=self.limits,
@@ -102,6 +106,47 @@ def test_new_favourite_is_seen_by_the_next_batch(bench):
     assert found == {("one", "a"), ("two", "a"), ("two", "b")}
 
 
+def test_new_favourite_is_seen_while_the_query_runs(bench):
+    bench.like(("a", "r1"))
+    bench.publish(payload(campaign="one"), payload(campaign="two"), files=2)
+    write = bench.sinks["messages"]
+
+    def write_and_like(df, batch):
+        write(df, batch)
+        if batch.batch_id == 0:
+            bench.like(("b", "r1"))
+
+    bench.sinks["messages"] = write_and_like
+    bench.run(files_per_trigger=1)
+    assert bench.job.sent == {0: 1, 1: 2}
+    assert sorted(r.client_id for r in bench.rows().collect()) == ["a", "a", "b"]
+
+
+def test_favourites_are_read_once_per_batch_and_the_batch_let_go(bench, monkeypatch):
+    """Both sinks get one result, and a failure leaves nothing persisted."""
+    held = []
+    for name, step in (("persist", 1), ("unpersist", -1)):
+        original = getattr(DataFrame, name)
+
+        def counted(self, *args, _original=original, _step=step):
+            held.append(_step)
+            return _original(self, *args)
+
+        monkeypatch.setattr(DataFrame, name, counted)
+    reads = []
+    favourites = bench.favourites
+    bench.favourites = lambda: reads.append(1) or favourites()
+    bench.like(("a", "r1"))
+    bench.publish(payload(campaign="one"))
+    bench.run()
+    assert (reads, held) == ([1], [1, -1])
+    bench.sinks["messages"], _ = failing(bench.sinks["messages"], "before")
+    bench.publish(payload(campaign="two"))
+    with pytest.raises(StreamingQueryException):
+        bench.run()
+    assert held == [1, -1] * 2
+
+
 def test_clock_is_the_batch_time(bench):
     bench.now = None
     now = bench.spark.range(1).select(F.unix_timestamp().alias("t")).first().t

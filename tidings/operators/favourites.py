@@ -15,8 +15,10 @@ def dedupe_favourites(favourites: DataFrame) -> DataFrame:
 
 
 def of_restaurants(favourites: DataFrame, restaurants: DataFrame) -> DataFrame:
-    """Favourites of the given restaurants, before any shuffle of the favourites.
+    """Favourites of the given restaurants.
 
-    Catalyst does not derive this from an inner join above the dedupe.
+    Catalyst does not derive this from an inner join above the dedupe. Use it below
+    the dedupe only with restaurants that are broadcast: after a shuffle by the
+    restaurant the dedupe would keep that partitioning, a busy restaurant in one task.
     """
     return favourites.join(restaurants.select("restaurant_id"), "restaurant_id", "left_semi")
