@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from samples import bag, plan_of
 
 from tidings.operators import dedupe_favourites, fan_out_split
-from tidings.plans import Limits, Workspace, notify
+from tidings.plans import Cell, Limits, Workspace, notify
 from tidings.plans import workspace as workspace_module
-from tidings.plans.splits import FEW_ROWS, Size, Tally, splits, tally
+from tidings.plans.measure import FEW_ROWS, Size, tally
+from tidings.plans.splits import splits
 from tidings.schemas import CAMPAIGN_SCHEMA
 
 CAMPAIGNS = "message_id string, " + CAMPAIGN_SCHEMA.simpleString()[7:-1].replace(":", " ")
 PAIRS = "client_id string, restaurant_id string"
-CUT = Limits(broadcast_bytes=0, pushed_ids=0, cell_campaigns=1, cell_favourites=1)
+CUT = Limits(broadcast_bytes=0, pushed_ids=0, cell=Cell(1, 1, 1))
 
 
 def campaigns(spark, restaurants):
@@ -115,12 +116,17 @@ def test_busy_restaurant_is_spread_over_tasks(spark):
     assert max(row["count"] for row in per_task) <= 80_000 / 4
 
 
+def size_of(side):
+    row = side.agg(*Size.metrics(side)).first()
+    return Size(row.rows, row.bytes)
+
+
 def test_tally_of_a_small_side(spark):
     side = campaigns(spark, ["r0"] * 6 + ["r1"] * 2)
-    size = Size.of(side)
+    size = size_of(side)
     assert size.rows == 8 and size.bytes > 8 * len("m0r0ccontentownercontact")
-    counted = tally(side, size, 1, 4)
-    assert (counted.restaurants, counted.busiest, counted.busy) == (2, 6, {"r0": 6})
+    counted = tally(side, size)
+    assert (counted.restaurants, counted.busiest) == (2, 6)
     assert sorted(counted.ids) == ["r0", "r1"]
 
 
@@ -130,21 +136,44 @@ def test_tally_of_a_large_side(spark):
         F.col("id").cast("string").alias("client_id"),
         F.expr("if(id % 4 = 0, 'hot', string(id))").alias("restaurant_id"),
     )
-    counted = tally(side, Size.of(side), 10, 8)
+    counted = tally(side, size_of(side))
     assert counted.restaurants == rows - rows // 4 + 1
-    assert (counted.busiest, counted.busy, counted.ids) == (rows // 4, {"hot": rows // 4}, None)
+    assert (counted.busiest, counted.ids) == (rows // 4, None)
     assert counted.id_bytes >= counted.restaurants * 4
-    assert tally(side, Size.of(side), rows, 8).busy == {}
-    # A quarter of the rows is no more than one of four equal shares.
-    assert tally(side, Size.of(side), 10, 4).busy == {}
+
+
+def test_parts():
+    cell = Cell(campaigns=10, favourites=100, notifications=500)
+    assert cell.parts(0, 0) == (1, 1)
+    assert cell.parts(5, 100) == (1, 1)
+    assert cell.parts(25, 0) == (1, 3)
+    assert cell.parts(0, 250) == (3, 1)
+    assert cell.parts(10, 100) == (2, 1)  # by its output alone
+    assert cell.parts(20, 200) == (4, 2)
+
+
+def counted_splits(spark, offers, likes, least, cells):
+    found = splits(offers, size_of(offers), likes, size_of(likes), Workspace(spark), least, cells)
+    return sorted(map(tuple, found.collect()))
 
 
 def test_splits(spark):
-    offers = Size(1000, 0), Tally(busy={"a": 600, "b": 300})
-    likes = Size(8000, 0), Tally(busy={"b": 6000, "c": 1500})
-    rows = splits(spark, offers, likes, 10, 500, 10).collect()
-    assert sorted(map(tuple, rows)) == [("a", 1, 6), ("b", 8, 3), ("c", 2, 1)]
-    assert splits(spark, (offers[0], Tally()), (likes[0], Tally()), 10, 500, 10) is None
+    offers = campaigns(spark, ["a"] * 60 + ["b"] * 30 + ["c"] * 10)
+    pairs = [(f"u{i}", "b") for i in range(600)] + [(f"u{i}", "d") for i in range(400)]
+    likes = spark.createDataFrame(pairs, PAIRS)
+    wide = 10**9
+    # At ten cells an equal share is 10 campaigns, 100 favourites, 1800 notifications.
+    assert counted_splits(spark, offers, likes, Cell(1, wide, wide), 10) == [
+        ("a", 1, 6),
+        ("b", 1, 3),
+    ]
+    assert counted_splits(spark, offers, likes, Cell(wide, 1, wide), 10) == [
+        ("b", 6, 1),
+        ("d", 4, 1),
+    ]
+    assert counted_splits(spark, offers, likes, Cell(wide, wide, 1), 10) == [("b", 10, 1)]
+    assert counted_splits(spark, offers, likes, Cell(wide, wide, wide), 10) == []
+    assert counted_splits(spark, offers, likes, Cell(1, 1, 1), 1) == []
 
 
 def test_nothing_active(spark):
@@ -170,6 +199,12 @@ def test_large_campaigns_are_not_broadcast(spark):
     assert plan.count("BroadcastExchange") == plan.count("Scan ExistingRDD") == 2
 
 
+def test_other_plan_when_one_restaurant_has_many_campaigns(spark):
+    liked = spark.createDataFrame(HOT_PAIRS, PAIRS)
+    plan = plan_of(notify(campaigns(spark, HOT_CAMPAIGNS), liked, 5, Limits(broadcast_fan_out=39)))
+    assert "SortMergeJoin" in plan
+
+
 def test_workspace(spark, folder, monkeypatch):
     one, other = Workspace(spark), Workspace(spark)
     assert one.path != other.path
@@ -190,7 +225,7 @@ def test_clear_gives_the_room_back(spark):
     result = notify(offers, liked, 5, CUT, workspace)
     assert found(result) == brute_force(HOT_CAMPAIGNS, HOT_PAIRS)
     workspace.clear()
-    for table in ("campaigns", "favourites"):
+    for table in ("campaigns", "favourites", "loads"):
         assert workspace.read(table).isEmpty()
 
 

@@ -1,6 +1,7 @@
 """Whole queries: measure the campaigns, then pick the cheapest safe join."""
 
 from tidings.plans.fanout import Limits, notifications, notify
+from tidings.plans.splits import Cell
 from tidings.plans.workspace import Workspace
 
-__all__ = ["Limits", "Workspace", "notifications", "notify"]
+__all__ = ["Cell", "Limits", "Workspace", "notifications", "notify"]

@@ -16,7 +16,8 @@ from tidings.operators import (
     stamp,
     to_notifications,
 )
-from tidings.plans.splits import Size, Tally, splits, tally
+from tidings.plans.measure import Size, Tally, tally
+from tidings.plans.splits import Cell, splits
 from tidings.plans.workspace import Workspace
 
 log = logging.getLogger(__name__)
@@ -26,14 +27,13 @@ log = logging.getLogger(__name__)
 class Limits:
     """Measured sizes up to which a cheaper plan is taken; none limits the result."""
 
-    # Largest side to broadcast, and the largest fan-out of one favourite there.
+    # Largest side to broadcast, and most campaigns of one restaurant in it.
     broadcast_bytes: int = 64 << 20
-    broadcast_fan_out: int = 1000
+    broadcast_fan_out: int = 100
     # Most restaurant ids to hand to the favourites' scan as an IN list.
     pushed_ids: int = 200
-    # Rows of one restaurant that a join task takes whole.
-    cell_campaigns: int = 1000
-    cell_favourites: int = 1_000_000
+    # Rows of one restaurant up to which it is not cut.
+    cell: Cell = Cell()
     # Input of a join task, when Spark's own number of partitions is too small.
     partition_bytes: int = 256 << 20
 
@@ -66,9 +66,7 @@ def notifications(
     limits: Limits = Limits(),
 ) -> DataFrame:
     """Notifications for ``size`` active campaigns that are cheap to read again."""
-    spark = campaigns.sparkSession
-    cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = tally(campaigns, size, limits.cell_campaigns, cells)
+    seen = tally(campaigns, size)
     pairs = dedupe_favourites(_relevant(favourites, campaigns, seen, limits))
     if size.bytes <= limits.broadcast_bytes and seen.busiest <= limits.broadcast_fan_out:
         log.info("broadcasting %d campaigns of %d restaurants", size.rows, seen.restaurants)
@@ -77,26 +75,13 @@ def notifications(
     metrics = Observation()
     pairs = workspace.hold(pairs.observe(metrics, *Size.metrics(pairs)), "favourites")
     clients = Size.observed(metrics)
-    liked = tally(pairs, clients, limits.cell_favourites, cells)
-    busy = splits(
-        spark,
-        (size, seen),
-        (clients, liked),
-        limits.cell_campaigns,
-        limits.cell_favourites,
-        cells,
+    cells = max(
+        int(campaigns.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+        ceil((size.bytes + clients.bytes) / limits.partition_bytes),
     )
-    log.info(
-        "shuffling %d campaigns and %d favourites, busy restaurants: %d and %d",
-        size.rows,
-        clients.rows,
-        len(seen.busy),
-        len(liked.busy),
-    )
-    if busy is None:
-        return to_notifications(fan_out(campaigns, pairs))
-    partitions = max(cells, ceil((size.bytes + clients.bytes) / limits.partition_bytes))
-    return to_notifications(fan_out_split(campaigns, pairs, busy, partitions))
+    busy = splits(campaigns, size, pairs, clients, workspace, limits.cell, cells)
+    log.info("shuffling %d campaigns and %d favourites", size.rows, clients.rows)
+    return to_notifications(fan_out_split(campaigns, pairs, busy, cells))
 
 
 def _relevant(

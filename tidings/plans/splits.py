@@ -1,104 +1,68 @@
-"""Where the rows are: size of a side, its busy restaurants, how to cut them."""
+"""How to cut the busy restaurants for ``fan_out_split``."""
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidings.functions.sizes import row_bytes
+from tidings.plans.measure import Size, per_restaurant
+from tidings.plans.workspace import Workspace
 
-FEW_ROWS = 1000  # a side of so many rows is counted on the driver
 SPLIT_SCHEMA = "restaurant_id string, client_parts int, campaign_parts int"
 
 
 @dataclass(frozen=True)
-class Size:
-    """Rows of a side, and an upper estimate of its bytes."""
+class Cell:
+    """Rows that one join task takes of one restaurant, in and out."""
 
-    rows: int
-    bytes: int
+    campaigns: int = 1000
+    favourites: int = 1_000_000
+    notifications: int = 100_000_000
 
-    @staticmethod
-    def metrics(side: DataFrame) -> list[Column]:
-        return [F.count("*").alias("rows"), F.sum(row_bytes(side)).alias("bytes")]
-
-    @classmethod
-    def observed(cls, metrics: Observation) -> "Size":
-        got = metrics.get
-        return cls(got.get("rows") or 0, got.get("bytes") or 0)
-
-    @classmethod
-    def of(cls, side: DataFrame) -> "Size":
-        got = side.agg(*cls.metrics(side)).first()
-        return cls(got.rows, got.bytes or 0)
-
-
-@dataclass(frozen=True)
-class Tally:
-    """The restaurants of a side, and the rows of the busy ones."""
-
-    restaurants: int = 0
-    id_bytes: int = 0
-    busiest: int = 0
-    busy: dict[str, int] = field(default_factory=dict)
-    ids: list[str] | None = None  # all of them, on a side of few rows
-
-
-def tally(side: DataFrame, size: Size, cell_rows: int, cells: int) -> Tally:
-    """Count ``side`` by restaurant in one job.
-
-    A restaurant is busy when it has more than ``cell_rows`` rows and more than
-    one ``cells``-th of all rows. Fewer than ``cells`` restaurants can be, so the
-    driver receives no more than that and misses none.
-    """
-    per_restaurant = side.groupBy("restaurant_id").agg(F.count("*").alias("rows"))
-    busy_from = max(cell_rows, size.rows / cells)
-    if size.rows <= FEW_ROWS:
-        rows = {row.restaurant_id: row.rows for row in per_restaurant.collect()}
-        return Tally(
-            restaurants=len(rows),
-            id_bytes=size.bytes,
-            busiest=max(rows.values(), default=0),
-            busy={restaurant: n for restaurant, n in rows.items() if n > busy_from},
-            ids=list(rows),
-        )
-    observed = Observation()
-    busy = (
-        per_restaurant.observe(
-            observed,
-            F.count("*").alias("restaurants"),
-            F.sum(row_bytes(side.select("restaurant_id"))).alias("id_bytes"),
-            F.max("rows").alias("busiest"),
-        )
-        .filter(F.col("rows") > busy_from)
-        .collect()
-    )
-    totals = {name: value or 0 for name, value in observed.get.items()}
-    return Tally(busy={row.restaurant_id: row.rows for row in busy}, **totals)
+    def parts(self, campaigns: int, favourites: int) -> tuple[int, int]:
+        """Parts to cut a restaurant's clients and campaigns into."""
+        client_parts = max(1, ceil(favourites / self.favourites))
+        campaign_parts = max(1, ceil(campaigns / self.campaigns))
+        out = ceil(favourites / client_parts) * ceil(campaigns / campaign_parts)
+        return ceil(client_parts * max(1, out / self.notifications)), campaign_parts
 
 
 def splits(
-    spark: SparkSession,
-    campaigns: tuple[Size, Tally],
-    favourites: tuple[Size, Tally],
-    cell_campaigns: int,
-    cell_favourites: int,
+    campaigns: DataFrame,
+    campaign_size: Size,
+    favourites: DataFrame,
+    favourite_size: Size,
+    workspace: Workspace,
+    least: Cell,
     cells: int,
-) -> DataFrame | None:
-    """The parts for ``fan_out_split``; None when no restaurant is busy.
+) -> DataFrame:
+    """The busy restaurants and their parts.
 
-    Below twice ``cells`` rows, by the argument in ``tally``.
+    A cell takes what ``least`` says or one of ``cells`` equal shares, whichever is
+    more, and a restaurant is busy when it exceeds that in campaigns, favourites or
+    notifications. By each of the three fewer than ``cells`` restaurants can, so the
+    list stays below three times that: short enough for the driver and a broadcast.
     """
-    (campaign_size, busy_campaigns), (client_size, busy_clients) = campaigns, favourites
-    per_campaign_part = max(cell_campaigns, campaign_size.rows / cells)
-    per_client_part = max(cell_favourites, client_size.rows / cells)
-    rows = [
-        (
-            restaurant,
-            ceil(busy_clients.busy.get(restaurant, 1) / per_client_part),
-            ceil(busy_campaigns.busy.get(restaurant, 1) / per_campaign_part),
-        )
-        for restaurant in sorted(busy_campaigns.busy.keys() | busy_clients.busy.keys())
-    ]
-    return spark.createDataFrame(rows, SPLIT_SCHEMA) if rows else None
+    counts = (
+        per_restaurant(campaigns, "campaigns")
+        .join(per_restaurant(favourites, "favourites"), "restaurant_id", "full")
+        .fillna(0, ["campaigns", "favourites"])
+    )
+    notifications = F.col("campaigns").cast("double") * F.col("favourites")
+    observed = Observation()
+    loads = workspace.hold(
+        counts.observe(observed, F.sum(notifications).alias("notifications")), "loads"
+    )
+    cell = Cell(
+        max(least.campaigns, ceil(campaign_size.rows / cells)),
+        max(least.favourites, ceil(favourite_size.rows / cells)),
+        max(least.notifications, ceil((observed.get.get("notifications") or 0) / cells)),
+    )
+    busy = loads.filter(
+        (F.col("campaigns") > cell.campaigns)
+        | (F.col("favourites") > cell.favourites)
+        | (notifications > cell.notifications)
+    ).collect()
+    rows = [(row.restaurant_id, *cell.parts(row.campaigns, row.favourites)) for row in busy]
+    return loads.sparkSession.createDataFrame(rows, SPLIT_SCHEMA)

@@ -20,12 +20,15 @@ from tidings.operators import (
 )
 from tidings.plans import Limits
 from tidings.plans.fanout import notifications
-from tidings.plans.splits import Size
+from tidings.plans.measure import Size
+from tidings.schemas import MESSAGE_ID
 from tidings.sinks import Batch, Sink
 from tidings.streaming.spool import Spool
 
 log = logging.getLogger(__name__)
 
+NOTED_BATCHES = 100  # whose numbers of notifications are kept when nobody takes them
+
 
 @dataclass
 class NotificationJob:
@@ -71,6 +74,8 @@ class NotificationJob:
         """Start the query on a stream of messages with ids; ``trigger`` as for Spark."""
         self._spark = messages.sparkSession
         self._query_id = self._spool = None
+        if MESSAGE_ID not in messages.columns:
+            raise ValueError(f"the stream needs a column {MESSAGE_ID}, see functions.ids")
         writer = (
             self.prepare(messages)
             .writeStream.foreachBatch(self.process)
@@ -87,7 +92,7 @@ class NotificationJob:
             if rejected:
                 self._write("dead letters", self.letters, dead_letters(batch), key)
             if not size.rows:
-                self.sent[batch_id] = 0
+                self._note(batch_id, 0)
                 return
             feedback = with_feedback(self._notifications(batch, size, key))
             self._write("notification rows", self.table, feedback, key)
@@ -116,9 +121,13 @@ class NotificationJob:
         found = notifications(campaigns, size, self.favourites(), spool.workspace, self.limits)
         rows = Observation()
         held = spool.keep(key.batch_id, found.observe(rows, F.count("*").alias("rows")))
-        self.sent[key.batch_id] = rows.get.get("rows", 0)
+        self._note(key.batch_id, rows.get.get("rows", 0))
         return held
 
+    def _note(self, batch_id: int, sent: int) -> None:
+        self.sent[batch_id] = sent
+        self.sent.pop(batch_id - NOTED_BATCHES, None)
+
     def _id(self) -> str:
         """The query's id, which its checkpoint keeps across restarts."""
         if self._query_id is None:
