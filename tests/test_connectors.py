@@ -241,6 +241,7 @@ def test_job_config():
     assert cfg.favourites.table == "subscribers_restaurants"
     assert cfg.feedback.table == "subscribers_feedback"
     assert cfg.favourites.driver == config.JDBC_DRIVER
+    assert cfg.once and not JobConfig.from_env(ENV | {"TIDINGS_ONCE": "0"}).once
     assert "secret" not in repr(cfg)
     with pytest.raises(KeyError, match="TIDINGS_CHECKPOINT"):
         JobConfig.from_env({k: v for k, v in ENV.items() if k != "TIDINGS_CHECKPOINT"})

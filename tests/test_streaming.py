@@ -172,6 +172,14 @@ def test_dead_letters_stay_out_of_the_sinks(bench):
     assert {r.payload for r in letters.collect()} == set(bad)
 
 
+def test_stream_without_message_ids_is_refused(bench, spark):
+    bench.publish(payload())
+    job = NotificationJob(bench.favourites, **bench.sinks, name=bench.name)
+    stream = file_campaign_stream(spark, f"{bench.folder}/in").drop("message_id")
+    with pytest.raises(ValueError, match="message_id"):
+        job.start(stream, f"{bench.folder}/checkpoint")
+
+
 def test_no_active_campaign_writes_nothing(bench):
     bench.like(("a", "r1"))
     bench.publish(payload(end=40))

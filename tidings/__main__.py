@@ -6,7 +6,7 @@ from tidings.config import JobConfig
 from tidings.session import CONNECTORS, session
 from tidings.sinks.console import tap
 from tidings.sinks.files import parquet_letters
-from tidings.sinks.jdbc import append_once
+from tidings.sinks.jdbc import append, append_once
 from tidings.sinks.kafka import topic_messages
 from tidings.sources import campaign_stream, favourites
 from tidings.streaming import NotificationJob, ProgressLog
@@ -18,7 +18,7 @@ def main() -> None:
     spark = session(cfg.name, packages=CONNECTORS)
     job = NotificationJob(
         favourites=lambda: favourites(spark, cfg.favourites),
-        table=append_once(cfg.feedback),
+        table=append_once(cfg.feedback) if cfg.once else append(cfg.feedback),
         messages=topic_messages(cfg.messages),
         letters=parquet_letters(cfg.dead_letters),
         name=cfg.name,

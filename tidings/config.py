@@ -68,6 +68,7 @@ class JobConfig:
     name: str = "campaign_notifications"
     trigger_seconds: int = 0
     backfill: bool = False
+    once: bool = True
     tap: bool = False
 
     def trigger(self) -> dict | None:
@@ -120,6 +121,7 @@ class JobConfig:
             dead_letters=get("DEAD_LETTERS"),
             trigger_seconds=int(get("TRIGGER_SECONDS", "0")),
             backfill=get("BACKFILL", "") == "1",
+            once=get("ONCE", "1") == "1",
             tap=get("TAP", "") == "1",
         )
 

@@ -95,6 +95,7 @@ def append_once(cfg: JdbcConfig, connect: Connect | None = None) -> Sink:
 
 
 def _postgres(cfg: JdbcConfig) -> Connect:
+    """Connect from the driver; a URL with options that only JDBC knows will not do."""
     try:
         import psycopg2 as postgres
     except ImportError:
