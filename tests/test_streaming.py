@@ -280,6 +280,25 @@ def test_main(bench, spark, monkeypatch):
     assert not spark.streams.active
 
 
+@pytest.mark.parametrize("sink", ["letters", "table"])
+def test_lost_cache_changes_nothing(bench, spark, sink):
+    """As after the loss of executors: what was cached is gone in mid-batch."""
+    bench.like(("a", "r1"))
+    bench.publish(payload(), payload(campaign="two"), "no json", files=2)
+    write = bench.sinks[sink]
+
+    def write_and_lose(df, batch):
+        write(df, batch)
+        spark.catalog.clearCache()
+        if sink == "table":
+            bench.like(("b", "r1"))
+
+    bench.sinks[sink] = write_and_lose
+    bench.run()
+    assert bag(bench.sent()) == bag(to_messages(bench.rows()))
+    assert [r.client_id for r in bench.rows().collect()] == ["a", "a"]
+
+
 def test_restart_goes_on_where_it_stopped(bench):
     bench.like(("a", "r1"))
     bench.publish(payload(campaign="one"))
