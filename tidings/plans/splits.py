@@ -16,9 +16,9 @@ SPLIT_SCHEMA = "restaurant_id string, client_parts int, campaign_parts int"
 class Cell:
     """Rows that one join task takes of one restaurant, in and out."""
 
-    campaigns: int = 1000
-    favourites: int = 1_000_000
-    notifications: int = 100_000_000
+    campaigns: int = 100
+    favourites: int = 10_000
+    notifications: int = 100_000
 
     def parts(self, campaigns: int, favourites: int) -> tuple[int, int]:
         """Parts to cut a restaurant's clients and campaigns into."""
