@@ -29,6 +29,12 @@ from tidings.sinks import files
 from tidings.sources import star_schema
 from tidings.streaming import NotificationJob
 
+try:
+    import corpus_pipeline
+    from tidings.llm import queries as training_data
+except ImportError:
+    corpus_pipeline = training_data = None
+
 NOW = 1704974400  # 2024-01-11 12:00:00 UTC
 
 
@@ -162,8 +168,8 @@ def entry(spark: SparkSession) -> DataFrame:
     return notification_fanout(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Each takes a session and the folder of the tables."""
+def notification_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries of the campaigns and notifications."""
     return {
         query.__name__: query
         for query in (
@@ -187,6 +193,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Each takes a session and the folder of the tables."""
+    found = notification_queries()
+    if training_data:
+        found |= training_data.queries() | {"pipeline": corpus_pipeline.run}
+    return found
+
+
 def _json(columns: list[str], **changed: str) -> str:
     """SQL for a JSON object of the columns, in order."""
     fields = ", ".join(f"{name} := {changed.get(name, name)}" for name in columns)
@@ -194,7 +208,12 @@ def _json(columns: list[str], **changed: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The same results from SQL over the tables."""
+    """The same results from SQL over the tables, where SQL can say them."""
+    return notification_sql() | (training_data.oracle_sql() if training_data else {})
+
+
+def notification_sql() -> dict[str, str]:
+    """SQL for every query of the campaigns and notifications."""
     started = "CAST(floor(epoch(ts)) AS BIGINT)"
     campaigns = f"""
         SELECT event_id,

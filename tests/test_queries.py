@@ -53,15 +53,15 @@ def check(spark, folder, files, name):
 
 
 def test_every_query_has_sql():
-    assert registry.queries().keys() == registry.oracle_sql().keys()
+    assert registry.notification_queries().keys() == registry.notification_sql().keys()
 
 
-@pytest.mark.parametrize("name", registry.queries())
+@pytest.mark.parametrize("name", registry.notification_queries())
 def test_query_equals_sql(spark, sf_dir, name):
     check(spark, sf_dir, "", name)
 
 
-@pytest.mark.parametrize("name", registry.queries())
+@pytest.mark.parametrize("name", registry.notification_queries())
 def test_query_equals_sql_on_skewed_tables(spark, skewed_dir, name):
     check(spark, skewed_dir, "/*.parquet", name)
 
