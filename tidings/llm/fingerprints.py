@@ -4,7 +4,8 @@ A text's terms are its pairs of neighbouring words (the last word also pairs wit
 end), weighted by how often they come. For each of a fixed number of samples every
 term gets r and c, gamma-distributed with shape 2, and a uniform b, all from the term's
 hash; with t = floor(ln(weight) / r + b) the term of least ln(c) - r * (t - b + 1) is
-the sample, together with its t. Two texts' samples agree with the probability of
+the sample, together with its t. r and ln(c) are read off a table of the distribution's
+quantiles. Two texts' samples agree with the probability of
 their generalised Jaccard similarity (sum of least weights over sum of largest).
 
 Everything is DataFrame functions. Texts are moved once, to ranges of ``doc_id`` that hold the
@@ -17,10 +18,13 @@ are ignored. An empty table gives no rows; a single row is its own next.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES = 16
+TABLE_BITS = 12
 RANGE_BYTES = 2_000_000
 PART_BYTES = 8_000_000
 LEAST = -(1 << 63)
@@ -90,16 +94,40 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(words: Column, mine: int, edited: int) -> Column:
-    """Terms of neighbouring words with their counts in the text and in the edited one."""
-    size = F.greatest(F.size(words) - 1, F.lit(0))
-    both = F.arrays_zip(F.slice(words, F.lit(1), size).alias("a"), F.slice(words, F.lit(2), size).alias("b"))
-    return F.transform(both, lambda one: F.struct(F.xxhash64(one["a"], one["b"]).alias("term"), F.lit(mine).alias("mine"), F.lit(edited).alias("edited")))
+def _quantiles() -> list[float]:
+    """Gamma quantiles of shape 2 and scale 1 at the borders of 2 ** TABLE_BITS equal shares."""
+    size = 1 << TABLE_BITS
+    found = []
+    for border in range(size + 1):
+        share = min(max(border / size, 1e-3 / size), 1 - 1e-3 / size)
+        low, high = 0.0, 60.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if 1 - (1 + middle) * math.exp(-middle) < share else (low, middle)
+        found.append((low + high) / 2)
+    return found
+
+
+def _doubles(values: list[float]) -> Column:
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def _gamma(bits: Column, low: int, table: Column) -> Column:
+    """A number from a table of quantiles, between two of them by 9 more bits of a hash."""
+    at = F.shiftrightunsigned(bits, low + 9).bitwiseAND((1 << TABLE_BITS) - 1).cast("int")
+    part = (F.shiftrightunsigned(bits, low).bitwiseAND(511).cast("double") + 0.5) / 512.0
+    return F.get(table, at) * (1.0 - part) + F.get(table, at + 1) * part
+
 
+def _uniform(bits: Column) -> Column:
+    return (bits.bitwiseAND((1 << 21) - 1).cast("double") + 0.5) / float(1 << 21)
 
-def _share(bits: Column, low: int, width: int) -> Column:
-    """A uniform number between 0 and 1 from some bits of a hash."""
-    return (F.shiftrightunsigned(bits, low).bitwiseAND((1 << width) - 1).cast("double") + 0.5) / float(1 << width)
+
+def _spaced(text: Column) -> Column:
+    """Tabs and line ends as spaces."""
+    for one in ("\n", "\t", "\r"):
+        text = F.replace(text, F.lit(one), F.lit(" "))
+    return text
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -112,76 +140,112 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     rows = (
         with_next(docs)
         .withColumn("n_chars", F.char_length("text").cast("long"))
+        .withColumn("plain", _spaced(F.col("text")))
         .withColumn("head", F.substr("text", F.lit(1), cut.cast("int")))
-        .withColumn("edited", F.concat("head", F.substr(F.coalesce("next", F.lit("")), F.lit(1), (F.col("n_chars") - cut).cast("int"))))
+        .withColumn("tail", F.substr(F.coalesce("next", F.lit("")), F.lit(1), (F.col("n_chars") - cut).cast("int")))
+        .withColumn("sha", F.sha2(F.concat("head", "tail"), 256))
+        .withColumn("spaced", F.substr("plain", F.lit(1), cut.cast("int")))
+        .withColumn("shared", F.length("spaced") - F.length(F.replace("spaced", F.lit(" "), F.lit(""))))
     )
+    # The words, an end, then the edited text's words from the last one that both texts share,
+    # an end, and the row's facts: numbers only, so that aggregates hold nothing else.
     end = F.array(F.lit(""))
+    changed = F.concat(F.substring_index("spaced", " ", -1), _spaced(F.col("tail")))
+    facts = F.array(
+        F.col("guest").cast("string"),
+        F.col("doc_id").cast("string"),
+        F.col("n_chars").cast("string"),
+        *(F.conv(F.substring("sha", at, 16), 16, -10) for at in (1, 17, 33, 49)),
+    )
     worded = rows.select(
         "range",
         "pos",
-        "guest",
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        F.concat(F.split("text", "\\s+"), end).alias("words"),
-        F.concat(F.split("edited", "\\s+"), end).alias("edited_words"),
-        (F.size(F.split("head", "\\s+")) - 1).alias("shared"),
+        "shared",
+        F.concat(F.split("plain", " "), end).alias("own"),
+        F.concat(F.split(changed, " "), end).alias("changed"),
+        facts.alias("facts"),
+    ).select(
+        "range",
+        "pos",
+        "shared",
+        F.size("own").alias("first"),
+        (F.size("own") + F.size("changed") + F.least("shared", F.lit(1))).alias("second"),
+        F.concat("own", F.slice("own", F.greatest("shared", F.lit(1)), F.least("shared", F.lit(1))), "changed", "facts").alias("words"),
     )
-    after = F.greatest(F.col("shared"), F.lit(1))
-    rest = lambda words: F.slice(words, after, F.size(words))
-    terms = F.concat(
-        _pairs(F.slice("words", F.lit(1), F.col("shared")), 1, 1),
-        _pairs(rest(F.col("words")), 1, 0),
-        _pairs(rest(F.col("edited_words")), 0, 1),
+    both = F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.size("words")).alias("b"))
+    paired = worded.select("range", "pos", "shared", "first", "second", F.posexplode(both).alias("at", "one"))
+    kind = F.greatest(F.col("at") - F.col("second") + 1, F.lit(0))
+    items = paired.where("at <> first - 1 AND at <> second - 1").select(
+        "range",
+        (F.col("pos") * 8 + kind).alias("who"),
+        F.when(F.col("at") >= F.col("second"), F.col("one.a").cast("long")).otherwise(F.xxhash64("one.a", "one.b")).alias("term"),
+        (F.col("at") < F.col("first")).cast("int").alias("mine"),
+        ((F.col("at") < F.col("shared") - 1) | (F.col("at") >= F.col("first"))).cast("int").alias("edited"),
     )
-    who = ["range", "pos"]
-    kept = F.struct("guest", "doc_id", "n_chars", "edited_sha256").alias("row")
-    counted = (
-        worded.select(*who, kept, F.explode(terms).alias("one"))
-        .select(*who, "row", "one.term", "one.mine", "one.edited")
-        .groupBy(*who, "term")
-        .agg(F.first("row").alias("row"), F.sum("mine").alias("mine"), F.sum("edited").alias("edited"))
+    counted = items.groupBy("range", "who", "term").agg(F.sum("mine").alias("mine"), F.sum("edited").alias("edited"))
+    return _printed(_sampled(counted, samples))
+
+
+def _sampled(counted: DataFrame, samples: int) -> DataFrame:
+    """A row per row of the table and sample: the sample of either text; facts have numbers below 0.
+
+    A row per term and sample keeps the compiled code of a row short; the aggregate above
+    it has one entry per text and sample.
+    """
+    fact = F.col("who").bitwiseAND(7)
+    grouped = counted.select(
+        "range",
+        F.shiftright("who", 3).alias("pos"),
+        fact.alias("fact"),
+        "term",
+        F.when(fact == 0, F.log("mine")).alias("mine"),
+        F.when(fact == 0, F.log("edited")).alias("edited"),
     )
-    return _sampled(counted, who, samples)
-
-
-def _sampled(counted: DataFrame, who: list[str], samples: int) -> DataFrame:
-    every = range(samples)
-    kept = [*who, "row", "term", F.log("mine").alias("mine"), F.log("edited").alias("edited")]
-    one = counted.select(*kept, *(F.xxhash64("term", F.lit(k)).alias(f"x{k}") for k in every))
-    names = [*who, "row", "term", "mine", "edited"]
-    two = one.select(*names, *(F.col(f"x{k}") for k in every), *(F.xxhash64(f"x{k}").alias(f"y{k}") for k in every))
-    gamma = lambda a, b: -F.log(a * b)
-    three = two.select(
-        *names,
-        *(gamma(_share(F.col(f"x{k}"), 32, 31), _share(F.col(f"x{k}"), 0, 31)).alias(f"r{k}") for k in every),
-        *(F.log(gamma(_share(F.col(f"y{k}"), 42, 21), _share(F.col(f"y{k}"), 21, 21))).alias(f"c{k}") for k in every),
-        *(_share(F.col(f"y{k}"), 0, 21).alias(f"b{k}") for k in every),
+    numbers = F.sequence(F.lit(0), F.when(F.col("fact") == 0, samples - 1).otherwise(0))
+    hashed = grouped.select("*", F.explode(numbers).alias("k")).withColumn("x", F.xxhash64("term", "k"))
+    quantiles = _quantiles()
+    drawn = hashed.withColumns(
+        {
+            "r": _gamma(F.col("x"), 21, _doubles(quantiles)),
+            "c": _gamma(F.col("x"), 42, _doubles([math.log(one) for one in quantiles])),
+            "b": _uniform(F.col("x")),
+        }
     )
-    step = lambda weight, k: F.floor(F.col(weight) / F.col(f"r{k}") + F.col(f"b{k}"))
-    four = three.select(
-        *names,
-        *(F.col(f"{name}{k}") for name in "rcb" for k in every),
-        *(step("mine", k).alias(f"s{k}") for k in every),
-        *(step("edited", k).alias(f"t{k}") for k in every),
+    step = lambda weight: F.floor(F.col(weight) / F.col("r") + F.col("b"))
+    isnt = F.col("fact") > 0
+    value = lambda name: F.when(isnt, F.col("term")).otherwise(F.col("term").bitwiseXOR(F.shiftleft(name, 48)))
+    cost = lambda name: F.when(isnt, 0.0).otherwise(F.col("c") - F.col("r") * (F.col(name) - F.col("b") + 1))
+    return (
+        drawn.withColumns({"s": step("mine"), "t": step("edited"), "k": F.col("k") - F.col("fact")})
+        .groupBy("range", "pos", "k")
+        .agg(*(F.min_by(value(name), cost(name)).alias(name) for name in "st"))
     )
-    cost = lambda name, k: F.col(f"c{k}") - F.col(f"r{k}") * (F.col(f"{name}{k}") - F.col(f"b{k}") + 1)
-    found = four.groupBy(*who).agg(
-        F.first("row").alias("row"),
-        *(F.min_by(F.xxhash64("term", f"{name}{k}"), cost(name, k)).alias(f"{name}{k}") for name in "st" for k in every),
+
+
+def _printed(found: DataFrame) -> DataFrame:
+    """The samples put together, and the likeness to the next row's."""
+    hexed = lambda name: F.lower(F.substring(F.lpad(F.hex(F.xxhash64(name)), 16, "0"), 9, 8))
+    told = F.struct("k", hexed("s").alias("s"), hexed("t").alias("t"), F.col("s").alias("fact"))
+    whole = found.groupBy("range", "pos").agg(F.array_sort(F.collect_list(told)).alias("all"))
+    # The seven facts, numbered downwards from -1, come first.
+    fact = lambda kind: F.col("all.fact")[7 - kind]
+    parted = whole.select(
+        "range",
+        "pos",
+        *(fact(kind).alias(f"fact{kind}") for kind in range(1, 8)),
+        F.slice("all.s", F.lit(8), F.size("all")).alias("own"),
+        F.slice("all.t", F.lit(8), F.size("all")).alias("edited"),
     )
+    sha = F.concat(*(F.lower(F.lpad(F.hex(f"fact{kind}"), 16, "0")) for kind in range(4, 8)))
     order = Window.partitionBy("range").orderBy("pos")
-    hexed = lambda name: F.concat(*(F.lower(F.lpad(F.hex(F.col(f"{name}{k}").bitwiseAND(0xFFFFFFFF)), 8, "0")) for k in every))
-    printed = found.select(*who, "row.*", hexed("s").alias("fingerprint"), hexed("t").alias("edited_fingerprint"))
-    following = printed.withColumn("_next", F.lead("fingerprint").over(order)).where("guest = 0")
-    part = lambda name, k: F.substring(name, 8 * k + 1, 8)
-    near = lambda a, b: sum((part(a, k) == part(b, k)).cast("double") for k in every) / samples
+    following = parted.select("*", F.lead("own").over(order).alias("next")).where("fact1 = 0")
+    same = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y) / F.size(a)
     return following.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        near("fingerprint", "edited_fingerprint").alias("near_edited"),
-        near("fingerprint", "_next").alias("near_next"),
+        F.col("fact2").alias("doc_id"),
+        F.col("fact3").alias("n_chars"),
+        sha.alias("edited_sha256"),
+        F.array_join("own", "").alias("fingerprint"),
+        F.array_join("edited", "").alias("edited_fingerprint"),
+        same("own", "edited").alias("near_edited"),
+        same("own", "next").alias("near_next"),
     )
