@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 16
+SAMPLES = 32
 TABLE_BITS = 12
 RANGE_BYTES = 2_000_000
 PART_BYTES = 8_000_000
