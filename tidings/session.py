@@ -1,6 +1,8 @@
 """The Spark session."""
 
+import os
 from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 import pyspark
 from pyspark.sql import SparkSession
@@ -30,3 +32,16 @@ def in_utc(spark: SparkSession) -> SparkSession:
     """Make a given session fit: all instants are epoch seconds in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it.
+
+    It helps where they see the driver's folders, like on a local master. Elsewhere
+    install the package or hand it over with ``--py-files``; the path then does no harm.
+    """
+    folder = str(Path(__file__).resolve().parent.parent)
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if folder not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (folder, known)))
+    return spark
