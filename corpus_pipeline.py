@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidings.llm import language, leaks, near, packing, toxicity
 from tidings.llm.queries import WORD_TOKENIZER, tokenizer
 from tidings.plans import Workspace
+from tidings.session import importable
 
 #: A text that costs more bits a byte in every learnt language is in none of them.
 MOST_BITS = 6.0
@@ -68,7 +69,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the cluster's shared folder and reread."""
     room = Workspace(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = room.hold(stage(spark, docs, sf_dir), name)
     return docs

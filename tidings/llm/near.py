@@ -38,9 +38,9 @@ from tidings.plans import Workspace
 SHINGLE = 5
 SKETCH = 64
 #: A list longer than this is long, and a value that more classes retain comes last.
-LONG = 64
+LONG = 128
 #: Pivots that a long list takes a round.
-PIVOTS = 32
+PIVOTS = 128
 #: Values that come last; the commonest ones if there are more.
 COMMON = 2_000_000
 SEGMENT_BYTES = 24_000_000
@@ -109,19 +109,24 @@ class _Run:
         self.segments = max(1, -(-size // SEGMENT_BYTES))
 
     def keys(self) -> DataFrame:
-        """doc_id, n_shingles and the set's two hashes of every row."""
+        """doc_id, size, the set's two hashes and its sketch of every row."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for one in slices(batch, "text"):
                     found = shingles(one.column("text"))
                     first, second = _two(found)
-                    yield pa.RecordBatch.from_arrays(
-                        [one.column("doc_id"), pa.array(found.counts, pa.int64()), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))],
-                        ["doc_id", "n", "key", "check"],
-                    )
-
-        return self.docs.mapInArrow(run, "doc_id long, n long, key long, check long")
+                    sketches = [found.values[a : min(b, a + SKETCH)].tobytes() for a, b in zip(found.first[:-1], found.first[1:])]
+                    columns = [
+                        one.column("doc_id"),
+                        pa.array(found.counts, pa.int64()),
+                        pa.array(first.view(np.int64)),
+                        pa.array(second.view(np.int64)),
+                        pa.array(sketches, pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "check", "sketch"])
+
+        return self.docs.mapInArrow(run, "doc_id long, n long, key long, check long, sketch binary")
 
     def _retained(self, pack, common: np.ndarray) -> DataFrame:
         """Segments of what is retained; of equal sets that lie near each other one counts."""
@@ -204,7 +209,7 @@ class _Run:
         return self._retained(pack, common).groupBy("segment").applyInArrow(shared, "value long, key long")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """key, sketch and full set of the classes in ``wanted`` (doc_id, key)."""
+        """key and full set of the classes in ``wanted`` (doc_id, key)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -212,23 +217,28 @@ class _Run:
                     found = shingles(one.column("text"))
                     key, _ = _two(found)
                     same = pa.array(key.view(np.int64) == one.column("key").to_numpy())
-                    cut = [found.values[a:b] for a, b in zip(found.first[:-1], found.first[1:])]
-                    columns = [[x[:SKETCH].tobytes() for x in cut], [x.tobytes() for x in cut]]
-                    columns = [one.column("key"), *(pa.array(column, pa.binary()) for column in columns)]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "sketch", "full"]).filter(same)
+                    cut = [found.values[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:])]
+                    columns = [one.column("key"), pa.array(cut, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "full"]).filter(same)
 
-        wanted = wanted.withColumnRenamed("doc_id", "_id")
+        wanted = wanted.select(F.col("doc_id").alias("_id"), "key")
         if wanted.count() * 16 <= 32 << 20:
             wanted = F.broadcast(wanted)
         rows = self.docs.join(wanted, F.col("doc_id") == F.col("_id")).select("key", "text")
-        return rows.mapInArrow(run, "key long, sketch binary, full binary")
+        return rows.mapInArrow(run, "key long, full binary")
+
+
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def _estimated(percent: int):
     """Keep pairs whose union sketch doesn't speak clearly against them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             kept = []
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
                 a, b = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
@@ -246,7 +256,7 @@ def _verified(percent: int):
     """Mark pairs whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             linked = []
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
                 a, b = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
@@ -259,7 +269,13 @@ def _verified(percent: int):
     return run
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs with both classes' sets; only the sets asked for are moved."""
+    sets = sets.join(_ends(pairs), "key", "left_semi")
     left = sets.select(F.col("key").alias("a"), F.col(column).alias("left"))
     right = sets.select(F.col("key").alias("b"), F.col(column).alias("right"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
@@ -274,19 +290,21 @@ def classes(docs: DataFrame, percent: int = 85, room: Workspace | None = None) -
     room = room or Workspace(docs.sparkSession)
     run = _Run(docs, percent, room)
     keys = room.hold(run.keys(), "keys")
-    full = keys.where("n > 0 AND doc_id IS NOT NULL")
+    full = keys.where("n > 0 AND doc_id IS NOT NULL").drop("sketch")
     classed = room.hold(full.groupBy("key", "check", "n").agg(F.min("doc_id").alias("rep")), "classes")
     members = room.hold(run.members(run.common()), "members")
-    links = _links(run, classed, members, room)
+    links = _links(run, keys, classed, members, room)
     return _result(keys, full, classed, links, room)
 
 
-def _links(run: _Run, classed: DataFrame, members: DataFrame, room: Workspace) -> DataFrame:
+def _links(run: _Run, keys: DataFrame, classed: DataFrame, members: DataFrame, room: Workspace) -> DataFrame:
     """Links between classes that leave the components of all links, round by round."""
     name = uuid.uuid4().hex[:8]
     percent = run.percent
     candidates = members.select("key").distinct().join(classed, "key").select(F.col("rep").alias("doc_id"), "key")
-    sets = room.hold(run.sets(candidates), f"sets-{name}")
+    candidates = room.hold(candidates, f"candidates-{name}")
+    sketches = room.hold(keys.select("doc_id", "key", "sketch").join(candidates, ["doc_id", "key"], "left_semi"), f"sketches-{name}")
+    sets = None
     sized = members.join(classed.select("key", "n"), "key")
     sized = room.hold(sized, f"sized-{name}")
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
@@ -297,8 +315,12 @@ def _links(run: _Run, classed: DataFrame, members: DataFrame, room: Workspace) -
     while True:
         number += 1
         pairs = room.hold(pairs, f"pairs-{name}-{number}")
-        near = _with_sets(pairs, sets, "sketch").mapInArrow(_estimated(percent), "a long, b long")
+        near = _with_sets(pairs, sketches, "sketch").mapInArrow(_estimated(percent), "a long, b long")
         near = room.hold(near, f"near-{name}-{number}")
+        wanted = candidates.join(_ends(near), "key", "left_semi")
+        wanted = wanted if sets is None else wanted.join(sets, "key", "left_anti")
+        fresh = room.hold(run.sets(room.hold(wanted, f"wanted-{name}-{number}")), f"sets-{name}-{number}")
+        sets = fresh if sets is None else sets.unionByName(fresh)
         found = _with_sets(near, sets, "full").mapInArrow(_verified(percent), "a long, b long")
         found = room.hold(found, f"found-{name}-{number}")
         links = found if links is None else links.unionByName(found)
@@ -331,7 +353,7 @@ def _left(sized: DataFrame, used: DataFrame, roots: DataFrame, decided: DataFram
     pairs = both.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
     known = decided.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = room.hold(pairs.join(known, ["a", "b"], "left_anti"), f"next-{name}")
-    if turn.isEmpty() and pairs.isEmpty():
+    if pairs.isEmpty() and (turn.isEmpty() or outside.join(turn.select("value", F.col("a").alias("key")), ["value", "key"], "left_anti").isEmpty()):
         return None, None
     return pairs, used.unionByName(turn.select("value", F.col("a").alias("key")))
 

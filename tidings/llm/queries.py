@@ -20,6 +20,7 @@ from tidings.llm import (
     urls,
 )
 from tidings.plans import Workspace
+from tidings.session import importable
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -41,7 +42,7 @@ def tokenizer(name: str) -> str:
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return importable(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def _held_out(parts: int, part: int) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 STEP = 0x9E3779B97F4A7C15
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _WRAP = (1 << 64) - 1
 
 
