@@ -348,7 +348,15 @@ def _left(sized: DataFrame, used: DataFrame, roots: DataFrame, decided: DataFram
     order = Window.partitionBy("value").orderBy("key")
     turn = outside.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= PIVOTS)
     turn = room.hold(turn.select("value", F.col("key").alias("a"), F.col("n").alias("m"), F.col("root").alias("other")), f"turn-{name}")
-    of_long = placed.where(F.col("size") > LONG).join(turn, "value").where("key <> a")
+    # A pair meets in every list it shares; it counts in the first of the long ones only.
+    before = Window.partitionBy("key").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    lists_of = placed.where(F.col("size") > LONG).withColumn("earlier", F.collect_list("value").over(before))
+    lists_of = room.hold(lists_of, f"long-{name}")
+    theirs = lists_of.select("value", F.col("key").alias("a"), F.col("earlier").alias("others"))
+    pivoted = turn.join(theirs, ["value", "a"])
+    alone = ~F.arrays_overlap("earlier", "others")
+    of_long = lists_of.join(pivoted, "value").where(F.col("key") != F.col("a")).where(fits & (F.col("root") != F.col("other")) & alone)
+    of_long = of_long.drop("earlier", "others")
     both = of_short.unionByName(of_long, allowMissingColumns=True).where(fits & (F.col("root") != F.col("other")))
     pairs = both.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
     known = decided.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -144,10 +144,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                odds = np.clip(logits(sent.value, part.column("text")), -700, 700)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(1 / (1 + np.exp(-odds)))], [*part.schema.names, "toxicity"]
-                )
+                with np.errstate(over="ignore"):
+                    share = 1 / (1 + np.exp(-logits(sent.value, part.column("text"))))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(share)], [*part.schema.names, "toxicity"])
 
     fields = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in docs.schema)
     return docs.mapInArrow(run, f"{fields}, toxicity double")
