@@ -1,0 +1,310 @@
+"""The operators against brute force on a small table, and on no rows at all."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from tidings.llm import (
+    fingerprints,
+    language,
+    leaks,
+    licences,
+    near,
+    packing,
+    scoring,
+    token_files,
+    toxicity,
+    urls,
+)
+from tidings.llm.components import components
+from tidings.llm.queries import BYTE_TOKENIZER, RULES, WORD_TOKENIZER, tokenizer
+from tidings.plans import Workspace
+
+
+def split(text):
+    lower = re.sub("[A-Z]", lambda found: found[0].lower(), text or "")
+    return re.findall(r"[^\x20\x09-\x0D]+", lower)
+
+
+def shingles(text, size=5):
+    words = split(text)
+    return {tuple(words[at : at + size]) for at in range(max(len(words) - size + 1, min(len(words), 1)))}
+
+
+def encoded(name, texts, end):
+    found = Tokenizer.from_file(tokenizer(name))
+    found.encode_special_tokens = True
+    return [one.ids + [end] for one in found.encode_batch([text or "" for text in texts], add_special_tokens=False)]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda row: (row[0] is not None, row[0] or 0, row[1] is not None, row[1] or ""))
+
+
+def test_token_files_round_trip(spark, docs, rows, tmp_path):
+    token_files.write_tokens(docs, str(tmp_path), tokenizer(BYTE_TOKENIZER), end_id=2, vocabulary=50_257, parts=4)
+    found = token_files.read_tokens(spark, str(tmp_path)).collect()
+    expected, start = [], 0
+    for (one, _), ids in zip(ordered(rows), encoded(BYTE_TOKENIZER, [text for _, text in ordered(rows)], 2)):
+        expected.append((one, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert sorted(map(tuple, found), key=lambda row: row[1]) == expected
+
+
+def test_token_files_of_nothing(spark, no_docs, tmp_path):
+    token_files.write_tokens(no_docs, str(tmp_path), tokenizer(BYTE_TOKENIZER), end_id=2)
+    assert token_files.read_tokens(spark, str(tmp_path)).collect() == []
+
+
+def test_packing_holds_every_id_once(docs, rows, no_docs):
+    pieces = packing.pack(docs, tokenizer(WORD_TOKENIZER), end_id=1, most=64).collect()
+    assert len({row.sequence_id for row in pieces}) == len(pieces)
+    assert all(row.offset == 0 and row.length & (row.length - 1) == 0 and row.length <= 64 for row in pieces)
+    whole = {}
+    for row in sorted(pieces, key=lambda row: row.start):
+        ids = np.frombuffer(row.ids, "<u4").tolist()
+        assert len(ids) == row.length
+        if row.doc_id != 7:
+            assert row.start == len(whole.setdefault(row.doc_id, []))
+            whole[row.doc_id] += ids
+    for (one, _), ids in zip(rows, encoded(WORD_TOKENIZER, [text for _, text in rows], 1)):
+        if one != 7:
+            assert whole[one] == ids
+    assert packing.pack(no_docs, tokenizer(WORD_TOKENIZER), 1).collect() == []
+    with pytest.raises(ValueError):
+        packing.pack(docs, tokenizer(WORD_TOKENIZER), 1, most=100)
+
+
+def test_language_prefers_what_it_learnt(spark, no_docs):
+    learn = [(at, "the cat and the other thing that " * 3, "en") for at in range(5)]
+    learn += [(10 + at, "der Hund und die andere Sache mit ß " * 3, "de") for at in range(5)]
+    learn += [(20, None, "fr"), (21, "ignored text", None)]
+    model = language.fit(spark.createDataFrame(learn, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"]
+    asked = [(1, "that other cat"), (2, "und der Hund"), (3, None), (4, "12 34"), (5, ""), (6, "é"), (7, "the " * 50_000)]
+    asked = spark.createDataFrame(asked, "doc_id long, score string").withColumnsRenamed({"score": "text"})
+    found = {row.doc_id: row for row in language.predict(asked, model).collect()}
+    assert [found[at].lang_pred for at in (1, 2, 3, 4, 5, 7)] == ["en", "de", "und", "und", "und", "en"]
+    assert found[6].lang_pred in ("de", "en") and all(0 <= row.score <= 1 for row in found.values())
+    nothing = language.fit(no_docs)
+    assert {row.lang_pred for row in language.predict(asked, nothing).collect()} == {"und"}
+    assert language.predict(no_docs, model).collect() == []
+
+
+def test_language_tables_are_probabilities():
+    model = language.compile_model(["a", "b"], np.array([0, 0, 1]), np.array([0x20202061, 0x20206162, 0x20202062]), np.array([3, 2, 5]))
+    assert np.allclose(np.exp2(-model.bits.astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
+def test_held_out_accuracy(spark, sf_dir):
+    from tidings.llm import queries
+
+    found = queries.op2_language(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").where("held_out")
+    rows = found.select("lang", "lang_pred").collect()
+    assert np.mean([row.lang == row.lang_pred for row in rows]) > 0.95
+
+
+def test_toxicity_finds_the_word(spark, no_docs):
+    words = [f"plain{at}" for at in range(50)]
+    texts = [" ".join(words[(at * 7 + i) % 50] for i in range(20)) for at in range(300)]
+    rows = [(at, text + (" Vile!" if at % 4 == 0 else ""), int(at % 4 == 0)) for at, text in enumerate(texts)]
+    docs = spark.createDataFrame([row[:2] for row in rows] + [(900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(row[0], row[2]) for row in rows[:200]] + [(5, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(toxicity.labelled(docs, labels))
+    found = {row.doc_id: row.toxicity for row in toxicity.scored(docs, model).collect()}
+    assert all((found[at] >= 0.7) == bool(label) for at, _, label in rows)
+    assert found[900] == found[901] < 0.7
+    none = toxicity.fit(toxicity.labelled(docs, labels.limit(0)))
+    assert {row.toxicity for row in toxicity.scored(docs, none).collect()} == {0.0}
+    assert toxicity.scored(no_docs, model).collect() == []
+
+
+def test_fingerprints_agree_with_brute_force(docs, rows, no_docs):
+    found = sorted((row for row in fingerprints.fingerprints(docs).collect()), key=lambda row: (row.doc_id is not None, row.doc_id or 0))
+    told = ordered(rows)
+    assert [row.doc_id for row in found] == [one for one, _ in told]
+    by_text = {}
+    for at, (row, (_, text)) in enumerate(zip(found, told)):
+        text, after = text or "", told[(at + 1) % len(told)][1] or ""
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        assert row.n_chars == len(text)
+        assert row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert by_text.setdefault(text, row.fingerprint) == row.fingerprint
+        assert by_text.setdefault(edited, row.edited_fingerprint) == row.edited_fingerprint
+    near_copies = [row.near_next for row in found if row.doc_id in range(10, 21)]
+    assert np.mean(near_copies) > 0.85
+    assert fingerprints.fingerprints(no_docs).collect() == []
+
+
+def test_fingerprints_estimate_generalised_jaccard(spark):
+    text = " ".join(f"a{at % 60}" for at in range(200))
+    other = " ".join(f"a{at % 60}" if at < 120 else f"b{at}" for at in range(200))
+    bags = [Counter(zip(one.split(), [*one.split()[1:], ""])) for one in (text, other)]
+    keys = bags[0].keys() | bags[1].keys()
+    exact = sum(min(b[k] for b in bags) for k in keys) / sum(max(b[k] for b in bags) for k in keys)
+    pair = spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string")
+    found = fingerprints.fingerprints(pair, samples=512).collect()
+    assert abs(found[0].near_next - exact) < 0.09
+
+
+@pytest.mark.parametrize("head", [5, 1000])
+def test_scores_agree_with_brute_force(spark, docs, rows, head):
+    train = docs.where("doc_id % 3 <> 0")
+    texts = [text for one, text in rows if one is not None and one % 3]
+    counts = Counter(word for text in texts for word in [*split(text), None])
+    total, kinds = sum(counts.values()), len(counts)
+    found = scoring.score(docs, train, head=head).collect()
+    told = {}
+    for one, text in rows:
+        tokens = [*split(text), None]
+        base = sum(math.log10((counts[word] + 1) / (total + kinds + 1)) for word in tokens)
+        told.setdefault(one, (len(tokens), sum(counts[word] > 0 for word in tokens), total, base))
+    assert len(found) == len(rows)
+    for row in found:
+        size, known, tokens, base = told[row.doc_id]
+        assert (row.n_tokens, row.n_known, row.train_tokens) == (size, known, tokens)
+        assert row.base_score == pytest.approx(base)
+        assert row.score < 0
+
+
+def test_scores_do_not_depend_on_passes(spark, docs, monkeypatch):
+    """Two segments, in one pass and in a pass each."""
+    monkeypatch.setattr(scoring, "SEGMENT_BYTES", 40_000)
+    few = docs.where("doc_id < 60")
+    once = {row.doc_id: row.score for row in scoring.score(few, docs).collect()}
+    for row in scoring.score(few, docs, group_mb=0).collect():
+        assert row.score == pytest.approx(once[row.doc_id], rel=0.05)
+
+
+def test_filter_gives_levels_back():
+    values = np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = 1 + np.arange(len(values)) % 90
+    filter_ = scoring.build_filter(values, counts)
+    assert (scoring.probe(filter_, values) >= scoring.levels(counts)).all()
+    assert (scoring.probe(filter_, values) == scoring.levels(counts)).mean() > 0.97
+    assert (scoring.probe(filter_, values + np.uint64(12345)) > 0).mean() < 0.05
+
+
+def test_scores_without_training(docs, no_docs):
+    assert {row.n_known for row in scoring.score(docs, no_docs).collect()} == {0}
+    assert scoring.score(no_docs, docs).collect() == []
+
+
+def brute_components(rows, percent):
+    sets, root = {}, {}
+    for one, text in rows:
+        if one is not None:
+            sets[one] = shingles(text) | sets.get(one, set())
+            root[one] = one
+
+    def of(one):
+        while root[one] != one:
+            one = root[one]
+        return one
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((of(a), of(b)))
+                root[high] = low
+    return {one: (len(sets[one]), of(one)) for one in sets}
+
+
+@pytest.mark.parametrize("long, pivots", [(128, 128), (6, 8)])
+def test_near_duplicates_agree_with_brute_force(docs, rows, no_docs, monkeypatch, long, pivots):
+    """Also with lists cut so short that the rounds over long lists do the work."""
+    monkeypatch.setattr(near, "LONG", long)
+    monkeypatch.setattr(near, "PIVOTS", pivots)
+    found = {row.doc_id: (row.n_shingles, row.component_id) for row in near.classes(docs, 85).collect() if row.doc_id is not None}
+    assert found == brute_components(rows, 85)
+    if long == 128:
+        assert near.classes(no_docs, 85).collect() == []
+
+
+def test_firsts_keep_one_of_each_group(docs, rows, no_docs):
+    kept = near.firsts(docs, 80).collect()
+    roots = brute_components(rows, 80)
+    assert Counter(row.doc_id for row in kept) == Counter([None, *(one for one, (_, root) in roots.items() if one == root)])
+    assert near.firsts(docs, 80).columns == docs.columns
+    assert near.firsts(no_docs, 80).collect() == []
+
+
+def test_components_of_a_path_and_a_star(spark):
+    links = [(at, at + 1) for at in range(40)] + [(100, at) for at in range(101, 160)] + [(5, 5), (None, 3), (0, 1)]
+    found = components(spark.createDataFrame(links, "u long, v long"), Workspace(spark))
+    expected = {at: 0 for at in range(1, 41)} | {at: 100 for at in range(101, 160)}
+    assert {row.u: row.root for row in found.collect()} == expected
+
+
+def test_leaks_agree_with_brute_force(spark, docs, rows, no_docs):
+    texts = dict(rows)
+    long = texts[0].split()
+    items = [(1, " ".join(long[3000:3040])), (2, " ".join(long[100:300])), (3, "one two"), (4, None), (5, ""), (6, "never seen words anywhere in this")]
+    items += [(7, " ".join([*long[500:530], "x", *long[531:560]])), (8, texts[50]), (9, " ".join(long[40:46]))]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    expected = set()
+    for one, text in rows:
+        for item, asked in items:
+            wanted = shingles(asked)
+            if wanted and len(wanted & shingles(text)) / len(wanted) >= 0.8:
+                expected.add((one, item, round(len(wanted & shingles(text)) / len(wanted), 6)))
+    for block in (2, 5000):
+        found = leaks.find(docs, table, 0.8, block).collect()
+        assert {(row.doc_id, row.item_id, round(row.containment, 6)) for row in found} == expected
+    left = leaks.clean(docs, table).select("doc_id").collect()
+    assert {row.doc_id for row in left} == {one for one, _ in rows} - {one for one, *_ in expected}
+    assert leaks.find(no_docs, table).collect() == leaks.find(docs, table.limit(0)).collect() == []
+
+
+def test_urls_rules_aliases_and_precedence(spark):
+    canonical = '<head><LINK href="{}" rel="canonical"></head>'
+    refresh = "<meta http-equiv='refresh' content='0; url={}'>"
+    pages = [
+        (1, "http://a.example.com/en/x", None),
+        (2, "https://www.EXAMPLE.com/en/x?y#z", ""),
+        (3, "http://b.org/1", canonical.format("http://c.org/2")),
+        (4, "http://c.org/2#top", refresh.format("/3")),
+        (5, "http://c.org/3", canonical.format("https://x.net/es/a&amp;b")),
+        (6, "https://x.net/es/a&b", None),
+        (7, "http://d.com/", canonical.format("http://x.net/es/a&amp;b")),
+        (8, "http://e.org", None),
+        (9, None, "<link rel=canonical href=http://x.net/es/a>"),
+        (10, "no url", None),
+        (11, "http://notexample.com/en/", None),
+        (11, "http://notexample.com/en/", None),
+    ]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS rule", "2 AS node")
+    found = {row.page_id: (row.host, row.path, row.rule, row.verdict, row.by) for row in urls.judge(table, RULES).collect()}
+    assert found[1] == ("a.example.com", "/en/x", "example.com/en/", "block", "rule")
+    assert found[2] == ("www.example.com", "/en/x", "www.example.com/en/", "allow", "rule")
+    assert [found[at][3:] for at in (3, 4, 5)] == [("block", "alias")] * 3
+    assert found[6][2:] == ("net/es/", "block", "rule")
+    assert found[7][2:] == ("com/", "allow", "rule")
+    assert found[8] == ("e.org", "", None, "allow", "default")
+    assert found[9][:4] == found[10][:4] == ("", "", None, "allow")
+    assert found[11][2] == "com/"
+    assert urls.judge(table.limit(0), RULES).collect() == []
+
+
+def test_licences_by_line_paragraph_and_text(spark, no_docs):
+    long = licences.TEMPLATES["MIT-long"]
+    halves = long.replace("of charge, ", "of charge,\n")
+    texts = [(1, "x\nreleased UNDER the mit licence.\ny"), (2, "Released under the MIT License."), (3, f"a b\n\n{halves}\n\nc d"), (4, None), (5, ""), (6, "word"), (7, "free words only here")]
+    texts += [(8, "Released under the MIT License.\r\n" * 2)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS dice", "2 AS n")
+    found = licences.scan(docs).collect()
+    assert {(row.doc_id, row.kind, row.licence) for row in found} >= {(2, "line", "MIT"), (3, "paragraph", "MIT-long"), (8, "line", "MIT")}
+    assert {row.doc_id for row in found} <= {1, 2, 3, 8}
+    assert sum(row.doc_id == 8 and row.kind == "line" for row in found) == 2
+    assert licences.scan(no_docs).collect() == []

@@ -1,0 +1,57 @@
+"""Registered queries against SQL, and the pipeline against brute force."""
+
+import os
+
+import corpus_pipeline
+import duckdb
+import pytest
+from test_operators import brute_components, shingles
+
+from tidings.llm import packing, queries
+
+TABLES = ["documents", "pages", "benchmark", "labels"]
+
+
+@pytest.mark.parametrize("name", queries.oracle_sql())
+def test_query_equals_sql(spark, sf_dir, name):
+    with duckdb.connect() as database:
+        for table in TABLES:
+            database.sql(f"CREATE VIEW {table} AS FROM '{sf_dir}/{table}.parquet'")
+        relation = database.sql(queries.oracle_sql()[name])
+        columns = sorted(relation.columns)
+        expected = relation.select(*(f'"{column}"' for column in columns)).fetchall()
+    found = queries.queries()[name](spark, sf_dir)
+    assert sorted(found.columns) == columns
+    assert sorted(repr(tuple(row[column] for column in columns)) for row in found.collect()) == sorted(map(repr, expected))
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    """The stages of models by their own scores, the others by plain sets."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fits = corpus_pipeline.languages(spark, docs, sf_dir)
+    assert fits.columns == docs.columns
+    clean = corpus_pipeline.without_toxic(spark, fits, sf_dir)
+    rows = [(row.doc_id, row.text) for row in clean.collect()]
+    assert 0.7 * docs.count() < len(rows) < docs.count()
+    roots = brute_components(rows, 80)
+    items = [shingles(row.text) for row in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    left = set()
+    for one, text in rows:
+        held = shingles(text)
+        if roots[one][1] == one and not any(item and len(item & held) >= 0.8 * len(item) for item in items):
+            left.add(one)
+    packed = corpus_pipeline.run(spark, sf_dir)
+    expected = packing.digests(packing.pack(docs.where(docs.doc_id.isin(list(left))), queries.tokenizer(queries.WORD_TOKENIZER), 1))
+    columns = ["doc_id", "start", "length", "doc_tokens", "ids_crc32"]
+    assert sorted(packed.select(columns).collect()) == sorted(expected.select(columns).collect())
+
+
+def test_stages_take_no_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).collect() == []
+
+
+def test_every_operator_is_registered():
+    assert [int(name[2:].split("_")[0]) for name in queries.queries()] == list(range(1, 11))
+    assert os.path.exists(queries.tokenizer(queries.BYTE_TOKENIZER))

@@ -78,10 +78,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     hint = F.col("unit").rlike(r"[^\s].*\s.*[^\s]") if fewest <= 1 else F.char_length("unit") >= 2 * fewest
     worded = units.where(hint).select("doc_id", "kind", "place", _words(F.col("unit")).alias("words"))
     worded = worded.where((F.size("words") > fewest) & (F.size("words") > 1))
+    after = F.greatest(F.size("words") - 1, F.lit(0))
     pairs = F.array_distinct(
         F.zip_with(
-            F.slice("words", F.lit(1), F.size("words") - 1),
-            F.slice("words", F.lit(2), F.size("words") - 1),
+            F.slice("words", F.lit(1), after),
+            F.slice("words", F.lit(2), after),
             lambda a, b: F.concat_ws(" ", a, b),
         )
     )
