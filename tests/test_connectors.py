@@ -187,7 +187,7 @@ def test_jdbc_once_stages_then_moves(spark):
     jdbc.append_once(TABLE, lambda: connection)(Frame(notifications(spark), writer), BATCH)
     assert writer.calls[0][1] == ("query_id", "batch_id", "message_id", *FEEDBACK_COLUMNS)
     assert ("mode", ("overwrite",), {}) in writer.calls
-    assert writer.given()["dbtable"] == "public.favourites_staging"
+    assert writer.given()["dbtable"] == f"public.favourites_staging_{BATCH.query_id.replace('-', '')[:12]}"
     assert writer.given()["truncate"] == "true"
     inserts = [args[0] for name, args, _ in connection.calls if name == "execute"][-2:]
     assert inserts[0].startswith("INSERT INTO public.favourites_ledger ")
@@ -198,6 +198,16 @@ def test_jdbc_once_stages_then_moves(spark):
     assert after[2] == "commit" and "rollback" not in after
 
 
+def test_jdbc_once_stages_apart_for_each_query(spark):
+    names = set()
+    for query_id in ("0" * 32, "1" * 32):
+        writer = Recorder()
+        batch = Batch(query_id, 7)
+        jdbc.append_once(TABLE, lambda: Connection(recorded=False))(Frame(notifications(spark), writer), batch)
+        names.add(writer.given()["dbtable"])
+    assert len(names) == 2
+
+
 def test_jdbc_once_leaves_a_recorded_batch_alone(spark):
     writer, connection = Recorder(), Connection(recorded=True)
     jdbc.append_once(TABLE, lambda: connection)(Frame(notifications(spark), writer), BATCH)
@@ -234,6 +244,14 @@ ENV = {
 }
 
 
+def test_backfill_takes_the_topic_from_its_start():
+    assert JobConfig.from_env(ENV).campaigns.starting_offsets == "latest"
+    backfill = ENV | {"TIDINGS_BACKFILL": "1"}
+    assert JobConfig.from_env(backfill).campaigns.starting_offsets == "earliest"
+    chosen = JobConfig.from_env(backfill | {"TIDINGS_STARTING_OFFSETS": "latest"})
+    assert chosen.campaigns.starting_offsets == "latest"
+
+
 def test_job_config():
     cfg = JobConfig.from_env(ENV)
     assert (cfg.campaigns.topic, cfg.messages.topic) == ("in", "out")

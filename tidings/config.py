@@ -91,13 +91,15 @@ class JobConfig:
             value = get(name, "")
             return int(value) if value else None
 
+        backfill = get("BACKFILL", "") == "1"
+
         def topic(name: str) -> KafkaConfig:
             return KafkaConfig(
                 servers=get("KAFKA_SERVERS"),
                 topic=get(name),
                 username=get("KAFKA_USERNAME", ""),
                 password=get("KAFKA_PASSWORD", ""),
-                starting_offsets=get("STARTING_OFFSETS", "latest"),
+                starting_offsets=get("STARTING_OFFSETS", "earliest" if backfill else "latest"),
                 max_offsets_per_trigger=limit("MAX_OFFSETS_PER_TRIGGER"),
                 max_records_per_partition=limit("MAX_RECORDS_PER_PARTITION"),
             )
@@ -120,7 +122,7 @@ class JobConfig:
             checkpoint=get("CHECKPOINT"),
             dead_letters=get("DEAD_LETTERS"),
             trigger_seconds=int(get("TRIGGER_SECONDS", "0")),
-            backfill=get("BACKFILL", "") == "1",
+            backfill=backfill,
             once=get("ONCE", "1") == "1",
             tap=get("TAP", "") == "1",
         )

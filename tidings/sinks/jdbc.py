@@ -45,12 +45,14 @@ def append_once(cfg: JdbcConfig, connect: Connect | None = None) -> Sink:
     other batches, from a task that outlived its query, are not selected.
     """
     connect = connect or _postgres(cfg)
-    staging, ledger = f"{cfg.table}_staging", f"{cfg.table}_ledger"
+    ledger = f"{cfg.table}_ledger"
 
     def write_feedback(feedback: DataFrame, batch: Batch) -> None:
         this_batch = (
             f"query_id = '{uuid.UUID(batch.query_id)}' AND batch_id = {int(batch.batch_id)}"
         )
+        # Of the query's own, so that another query's overwrite can't empty it.
+        staging = f"{cfg.table}_staging_{uuid.UUID(batch.query_id).hex[:12]}"
         recorded = f"SELECT 1 FROM {ledger} WHERE {this_batch}"
         with closing(connect()) as connection, closing(connection.cursor()) as cursor:
             cursor.execute(

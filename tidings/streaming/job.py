@@ -27,8 +27,6 @@ from tidings.streaming.spool import Spool
 
 log = logging.getLogger(__name__)
 
-NOTED_BATCHES = 100  # whose numbers of notifications are kept when nobody takes them
-
 
 @dataclass
 class NotificationJob:
@@ -116,6 +114,7 @@ class NotificationJob:
         kept = spool.kept(key.batch_id)
         if kept is not None:
             log.info("batch %d: sending the notifications an earlier run found", key.batch_id)
+            self._note(key.batch_id, spool.size(kept))
             return kept
         campaigns = batch.filter(~incomplete()).drop("payload")
         found = notifications(campaigns, size, self.favourites(), spool.workspace, self.limits)
@@ -125,14 +124,17 @@ class NotificationJob:
         return held
 
     def _note(self, batch_id: int, sent: int) -> None:
+        """Keep a batch's number of notifications until the progress log takes it."""
         self.sent[batch_id] = sent
-        self.sent.pop(batch_id - NOTED_BATCHES, None)
 
     def _id(self) -> str:
         """The query's id, which its checkpoint keeps across restarts."""
         if self._query_id is None:
             active = self._spark.streams.active
-            self._query_id = next(query.id for query in active if query.name == self.name)
+            named = [query.id for query in active if query.name == self.name]
+            if len(named) != 1:
+                raise RuntimeError(f"{len(named)} active queries are named {self.name!r}, one is needed")
+            self._query_id = named[0]
             self._spool = Spool(self._spark, self._query_id)
         return self._query_id
 

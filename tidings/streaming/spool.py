@@ -39,5 +39,10 @@ class Spool:
         self._workspace.hold(self._marked(batch_id, batch_id + 1), MARK)
         return held
 
+    @staticmethod
+    def size(kept: DataFrame) -> int:
+        """How many notifications a kept table has; only the files' footers are read."""
+        return kept.count()
+
     def _marked(self, start: int, end: int) -> DataFrame:
         return self._spark.range(start, end, 1, 1).toDF("batch_id")
