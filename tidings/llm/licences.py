@@ -7,6 +7,10 @@ its different pairs of neighbouring words are compared with each template's: 2 *
 each other, so a unit is compared only with templates whose sizes allow it, and its
 pairs are built only if there are any. Units of one word have no pairs and match nothing.
 
+The bounds on sizes also say how many of a template's m pairs a unit must have, so of any
+m - that + 1 of them it has one. Texts and units that hold no such pair are passed over
+before they are normalised; no match is lost by that.
+
 Everything is DataFrame functions. Nulls and empty texts have no units. Equal lines are
 reported each, and so are equal rows; a paragraph or text of one line is reported as the line. Other columns
 are ignored. An empty table gives no rows. Of templates that tie, all are reported.
@@ -15,6 +19,8 @@ are ignored. An empty table gives no rows. Of templates that tie, all are report
 from __future__ import annotations
 
 import re
+from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +58,34 @@ def _words(unit: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
+def _once(value: Column) -> Column:
+    """The value by a generator, so that filters on it don't compute it again."""
+    return F.explode(F.array(value))
+
+
+def _may_match(text: Column, known: dict[str, list[str]], threshold: float) -> Column:
+    """Whether ``text`` holds a pair of those that some template can't do without.
+
+    Of each template the pairs of the longest words are looked for, as they are the rarest.
+    """
+    asked: dict[str, set[str]] = {}
+    for pairs in known.values():
+        least = ceil(threshold * len(pairs) / (2 - threshold) - 1e-9)
+        if least < 1:
+            return F.lit(True)
+        rarest = sorted(pairs, key=lambda pair: (-max(map(len, pair.split())), pair))
+        for pair in rarest[: len(pairs) - least + 1]:
+            asked.setdefault(max(pair.split(), key=len), set()).add(pair)
+
+    def holds(low: Column, word: str, pairs: set[str]) -> Column:
+        ways = "|".join(pair.replace(" ", r"[^\p{L}\p{N}]+") for pair in sorted(pairs))
+        return low.contains(word) & low.rlike(rf"(?:{ways})(?![\p{{L}}\p{{N}}])")
+
+    # The lower-cased text is an array's one element, so that it is made once and not for each word.
+    held = lambda low: reduce(lambda x, y: x | y, (holds(low, *one) for one in sorted(asked.items())), F.lit(False))
+    return F.exists(F.array(F.lower(text)), held)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """doc_id, kind (line, paragraph, text), place, licence, dice of every match.
 
@@ -61,8 +95,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     """
     known = {name: _pairs_of(text) for name, text in (templates or TEMPLATES).items()}
     known = {name: pairs for name, pairs in known.items() if pairs}
-    text = F.regexp_replace(F.col("text").cast("string"), r"\r\n?", "\n")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("text IS NOT NULL")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    held = held.where(F.col("text").isNotNull() & _may_match(F.col("text"), known, threshold))
+    rows = held.select("doc_id", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
     most = max((len(pairs) for pairs in known.values()), default=0)
     # A unit repeats pairs at most as often as it is long: many words with few different pairs still count.
     lines = F.transform(F.split("text", "\n"), lambda one, at: F.struct(F.lit("line").alias("kind"), at.alias("place"), one.alias("unit"), F.lit(1).alias("lines")))
@@ -75,9 +110,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     units = units.where("kind = 'line' OR lines > 1")
     least = min((len(pairs) for pairs in known.values()), default=1)
     fewest = max(1, -int(-threshold * least // (2 - threshold)))
-    hint = F.col("unit").rlike(r"[^\s].*\s.*[^\s]") if fewest <= 1 else F.char_length("unit") >= 2 * fewest
-    worded = units.where(hint).select("doc_id", "kind", "place", _words(F.col("unit")).alias("words"))
-    worded = worded.where((F.size("words") > fewest) & (F.size("words") > 1))
+    worded = units.where(_may_match(F.col("unit"), known, threshold)).select("doc_id", "kind", "place", _once(_words(F.col("unit"))).alias("words"))
+    largest = int(most * (2 - threshold) / threshold + 1e-9)
+    # Words of a unit may repeat, so its length is no bound; each different word but the first ends a pair of its own.
+    different = F.size(F.array_distinct("words"))
+    worded = worded.where((F.size("words") > max(fewest, 1)) & (different - 1 <= largest))
     after = F.greatest(F.size("words") - 1, F.lit(0))
     pairs = F.array_distinct(
         F.zip_with(
@@ -86,9 +123,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             lambda a, b: F.concat_ws(" ", a, b),
         )
     )
-    largest = int(most * (2 - threshold) / threshold + 1e-9)
-    # Pairs of a very long unit are built too: its words may repeat. The bound then drops it by size.
-    sized = worded.select("doc_id", "kind", "place", pairs.alias("pairs")).withColumn("n", F.size("pairs"))
+    sized = worded.select("doc_id", "kind", "place", _once(pairs).alias("pairs")).withColumn("n", F.size("pairs"))
     sized = sized.where(F.col("n").between(fewest, largest))
     tests = []
     for name, wanted in sorted(known.items()):
