@@ -109,6 +109,12 @@ def notification_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return notify(campaigns, favourites, NOW).drop("message_id")
 
 
+def notification_malformed(spark: SparkSession, folder: str) -> DataFrame:
+    """From messages with faults; the incomplete ones give no notifications."""
+    campaigns = decode_campaigns(_faulty(spark, folder))
+    return notify(campaigns, star_schema.favourites(spark, folder), NOW).drop("message_id")
+
+
 def notification_feedback(spark: SparkSession, folder: str) -> DataFrame:
     return with_feedback(_notify(spark, folder))
 
@@ -184,6 +190,7 @@ def notification_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]
             notification_fanout,
             notification_shuffled,
             notification_pipeline,
+            notification_malformed,
             notification_feedback,
             notification_message,
             notification_stream,
@@ -273,6 +280,8 @@ def notification_sql() -> dict[str, str]:
         "notification_fanout": notifications,
         "notification_shuffled": notifications,
         "notification_pipeline": notifications,
+        "notification_malformed": f"""{notifications}
+            WHERE adv_campaign_content NOT IN ('error', 'signup', 'purchase')""",
         "notification_feedback": feedback,
         "notification_message": messages,
         "notification_stream": feedback,

@@ -134,6 +134,12 @@ class Frame:
     def select(self, *columns):
         return Frame(self.df.select(*columns), _Named(self.write, self.df.select(*columns)))
 
+    def distinct(self):
+        return Frame(self.df.distinct(), self.write)
+
+    def count(self):
+        return self.df.count()
+
 
 class _Named:
     def __init__(self, writer, df):
@@ -157,8 +163,9 @@ def test_jdbc_append(spark):
 class Connection(Recorder):
     """Answers the ledger's question, and fails where it is told to."""
 
-    def __init__(self, recorded, fail_on=None):
+    def __init__(self, recorded, fail_on=None, rowcount=-1):
         super().__init__()
+        self.rowcount = rowcount
         self.recorded, self.fail_on = recorded, fail_on
 
     def cursor(self):
@@ -222,6 +229,17 @@ def test_jdbc_once_rolls_back(spark):
     assert connection.done()[-3:] == ["rollback", "close", "close"]
 
 
+def test_jdbc_once_counts_what_it_moves(spark):
+    found = notifications(spark)
+    whole = Connection(recorded=False, rowcount=found.count())
+    jdbc.append_once(TABLE, lambda: whole)(Frame(found, Recorder()), BATCH)
+    assert "rollback" not in whole.done()
+    short = Connection(recorded=False, rowcount=0)
+    with pytest.raises(RuntimeError, match="0 rows of batch 7"):
+        jdbc.append_once(TABLE, lambda: short)(Frame(found, Recorder()), BATCH)
+    assert short.done()[-3:] == ["rollback", "close", "close"]
+
+
 def test_jdbc_once_needs_a_driver(monkeypatch):
     for name in ("psycopg2", "psycopg"):
         monkeypatch.setitem(sys.modules, name, None)

@@ -7,6 +7,7 @@ from tidings.operators.campaigns import (
     incomplete,
     is_active,
     message_text,
+    sendable,
     stamp,
 )
 from tidings.operators.fanout import fan_out, fan_out_split, to_notifications
@@ -24,6 +25,7 @@ __all__ = [
     "is_active",
     "message_text",
     "of_restaurants",
+    "sendable",
     "stamp",
     "to_messages",
     "to_notifications",

@@ -67,6 +67,11 @@ def incomplete() -> Column:
     return reduce(or_, [F.col(name).isNull() for name in CAMPAIGN_COLUMNS])
 
 
+def sendable(campaigns: DataFrame) -> DataFrame:
+    """Campaigns with every field that the notification table requires; the others are dead letters."""
+    return campaigns.filter(~incomplete())
+
+
 def dead_letters(campaigns: DataFrame, payload: str = "payload") -> DataFrame:
     """The incomplete messages: their id, raw text, and the fields they lack."""
     lacking = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in CAMPAIGN_COLUMNS])

@@ -13,6 +13,7 @@ from tidings.operators import (
     fan_out,
     fan_out_split,
     of_restaurants,
+    sendable,
     stamp,
     to_notifications,
 )
@@ -47,12 +48,14 @@ def notify(
 ) -> DataFrame:
     """Notifications for the campaigns that run at ``now``; both sides bounded.
 
+    Campaigns that lack a required field give none, as in the streaming job.
+
     Runs jobs: the active campaigns, few of all, are written once, so that the
     measuring and the join do not read and decode every message again. The result
     reads what was written; give a workspace to clear it afterwards.
     """
     workspace = workspace or Workspace(campaigns.sparkSession)
-    active = stamp(active_at(campaigns, now), now).filter("restaurant_id IS NOT NULL")
+    active = stamp(sendable(active_at(campaigns, now)), now)
     metrics = Observation()
     active = workspace.hold(active.observe(metrics, *Size.metrics(active)), "campaigns")
     return notifications(active, Size.observed(metrics), favourites, workspace, limits)

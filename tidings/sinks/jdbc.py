@@ -42,7 +42,9 @@ def append_once(cfg: JdbcConfig, connect: Connect | None = None) -> Sink:
     table and enters it in a ledger; a batch found there is left alone. A task
     that ran twice staged its rows twice: they agree in the message id too, so
     DISTINCT leaves one, while equal rows of different messages all stay. Rows of
-    other batches, from a task that outlived its query, are not selected.
+    other batches, from a task that outlived its query, are not selected. The batch's
+    rows are counted before; if another number was moved, everything is rolled back.
+    A connection that can't tell the number (``rowcount`` of -1) is trusted.
     """
     connect = connect or _postgres(cfg)
     ledger = f"{cfg.table}_ledger"
@@ -75,6 +77,7 @@ def append_once(cfg: JdbcConfig, connect: Connect | None = None) -> Sink:
             .options(**write_options(cfg, staging), truncate="true")
             .save()
         )
+        expected = rows.distinct().count()
         columns = ", ".join(FEEDBACK_COLUMNS)
         with closing(connect()) as connection, closing(connection.cursor()) as cursor:
             try:
@@ -88,6 +91,8 @@ def append_once(cfg: JdbcConfig, connect: Connect | None = None) -> Sink:
                     f"(SELECT DISTINCT {MESSAGE_ID}, {columns} FROM {staging} "
                     f"WHERE {this_batch}) AS staged"
                 )
+                if cursor.rowcount not in (expected, -1):
+                    raise RuntimeError(f"{cursor.rowcount} rows of batch {batch.batch_id} were staged, not {expected}")
                 connection.commit()
             except BaseException:
                 connection.rollback()

@@ -21,9 +21,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table's files as a stream; a stream of one file must be given as a pattern."""
+    """The table's files as a stream; a stream of one file must be given as a pattern, here one that fits nothing else."""
     schema = _schema(spark, folder, name)
-    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def campaigns(events: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from tidings.operators import (
     decode_campaigns,
     incomplete,
     is_active,
+    sendable,
     stamp,
     to_messages,
     with_feedback,
@@ -116,7 +117,7 @@ class NotificationJob:
             log.info("batch %d: sending the notifications an earlier run found", key.batch_id)
             self._note(key.batch_id, spool.size(kept))
             return kept
-        campaigns = batch.filter(~incomplete()).drop("payload")
+        campaigns = sendable(batch).drop("payload")
         found = notifications(campaigns, size, self.favourites(), spool.workspace, self.limits)
         rows = Observation()
         held = spool.keep(key.batch_id, found.observe(rows, F.count("*").alias("rows")))
