@@ -187,6 +187,43 @@ def test_scores_do_not_depend_on_passes(spark, docs, monkeypatch):
         assert row.score == pytest.approx(once[row.doc_id], rel=0.05)
 
 
+@pytest.mark.parametrize("head, group_mb", [(1000, 64), (5, 64), (5, 0)])
+def test_score_agrees_with_uncapped_brute_force(spark, docs, rows, monkeypatch, head, group_mb):
+    """Rare, novel and common words, whatever the head holds and in one pass or several."""
+    monkeypatch.setattr(scoring, "MUS", np.array([4.0]))
+    monkeypatch.setattr(scoring, "SEGMENT_BYTES", 40_000)
+    texts = [text for one, text in rows if one is not None and one % 3]
+    told = [[None, *split(text), None] for text in texts]
+    words = Counter(word for tokens in told for word in tokens[1:])
+    following = Counter(pair for tokens in told for pair in zip(tokens, tokens[1:]))
+    means, whole = scoring.level_means(), sum(words.values()) + len(words) + 1
+    asked = [*rows, (200, "never w1 seen w2 before"), (201, "one two never"), (202, "never")]
+    expected = {}
+    for one, text in asked:
+        tokens = [None, *split(text), None]
+        total = 0.0
+        for v, w in zip(tokens, tokens[1:]):
+            held = means[scoring.levels(np.array([following[v, w]]))[0]] if following[v, w] else 0
+            share = (words[w] + 1) / whole
+            total += math.log10((held + 4 * share) / (words[v] + 4))
+        expected[one] = total
+    table = spark.createDataFrame(asked, "doc_id long, text string").repartition(3)
+    found = scoring.score(table, docs.where("doc_id % 3 <> 0"), head=head, group_mb=group_mb).collect()
+    assert len(found) == len(asked)
+    for row in found:
+        # The filter's false positives raise a pair's level now and then.
+        assert row.score == pytest.approx(expected[row.doc_id], rel=0.03), row.doc_id
+
+
+def test_score_does_not_depend_on_head(spark, docs):
+    """Also with the smoothing chosen from the data."""
+    few = docs.where("doc_id < 60").unionByName(docs.limit(1).selectExpr("300L AS doc_id", "'never seen w1 here' AS text", "lang", "source", "n_chars", "score", "`a b`", "key"))
+    train = docs.where("doc_id % 3 <> 0")
+    whole = {row.doc_id: row.score for row in scoring.score(few, train).collect()}
+    for row in scoring.score(few, train, head=5).collect():
+        assert row.score == pytest.approx(whole[row.doc_id], rel=1e-9)
+
+
 def test_filter_gives_levels_back():
     values = np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = 1 + np.arange(len(values)) % 90
