@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidings.llm import (
@@ -334,6 +335,49 @@ def test_urls_rules_aliases_and_precedence(spark):
     assert urls.judge(table.limit(0), RULES).collect() == []
 
 
+@pytest.mark.parametrize(
+    "url, target, alias",
+    [
+        ("h.org/dir/a.html", "b.html", "h.org/dir/b.html"),
+        ("h.org/dir/a.html", "./b?q#f", "h.org/dir/b?q"),
+        ("h.org/dir/sub/a", "../b", "h.org/dir/b"),
+        ("h.org/dir/a", "../../../b", "h.org/b"),
+        ("h.org/dir/sub/a", "..", "h.org/dir/"),
+        ("h.org/dir/sub/", ".", "h.org/dir/sub/"),
+        ("h.org/dir/a?p=1", "?p=2", "h.org/dir/a?p=2"),
+        ("h.org", "?p=2", "h.org/?p=2"),
+        ("h.org", "b", "h.org/b"),
+        ("h.org/dir/a?x=/y/z", "b?u=http://x.org/../c", "h.org/dir/b?u=http://x.org/../c"),
+        ("h.org/dir/a", "/x/./y/../b", "h.org/x/b"),
+        ("h.org/dir/a", "c/d:e/", "h.org/dir/c/d:e/"),
+        ("h.org/dir/a", "//i.org/b", "i.org/b"),
+        ("h.org/dir/a", "https://i.org/b", "i.org/b"),
+        ("h.org/dir/a", "#top", "h.org/dir/a"),
+        ("h.org/dir/a", "mailto:b", "h.org/dir/a"),
+    ],
+)
+def test_relative_targets(spark, url, target, alias):
+    """As RFC 3986 resolves them; a target that is no other page joins nothing."""
+    name = lambda column: F.xxhash64(F.lit(column))
+    page = [(1, f"http://{url}", f"<meta http-equiv=refresh content='0; url={target}'>")]
+    found = urls.edges(urls.with_parts(spark.createDataFrame(page, "page_id long, url string, html string"))).collect()
+    own, other = spark.range(1).select(name(url if "/" in url else f"{url}/"), name(alias)).first()
+    assert list(map(tuple, found)) == ([] if own == other else [(own, other)])
+
+
+def test_relative_links_carry_a_block(spark):
+    pages = [
+        (1, "http://h.org/dir/a.html", "<link rel=canonical href='../es/b.html'>"),
+        (2, "http://h.org/es/b.html", "<link rel=canonical href='http://x.net/es/1'>"),
+        (3, "http://x.net/es/1", None),
+        (4, "http://h.org/dir/c", "<link rel=canonical href='b.html'>"),
+        (5, "http://h.org/b.html", "<link rel=canonical href='http://x.net/es/1'>"),
+    ]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {row.page_id: (row.verdict, row.by) for row in urls.judge(table, RULES).collect()}
+    assert found == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("block", "rule"), 4: ("allow", "default"), 5: ("block", "alias")}
+
+
 def test_licences_by_line_paragraph_and_text(spark, no_docs):
     long = licences.TEMPLATES["MIT-long"]
     halves = long.replace("of charge, ", "of charge,\n")

@@ -7,6 +7,8 @@ number of steps. A page that a rule allows stays allowed whatever its aliases ar
 any blocked alias the verdict is allow.
 
 A url's identity for links is its host, path and query, without scheme and fragment.
+A relative target is resolved against its page's url: from the directory of its path, with ``.``
+and ``..`` segments removed; a query alone is on the page's own path. A base element isn't heeded.
 Everything is DataFrame functions; links never reach the driver.
 
 Nulls: a null url, or one without ``://``, has an empty host and path, fits no rule and has
@@ -57,6 +59,35 @@ def _identity(host: Column, rest: Column) -> Column:
     return F.when(host != "", F.concat(host, plain))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, without its segments ``.`` and ``..``."""
+    parts = F.split(path, "/")
+    held = F.aggregate(
+        F.slice(parts, F.lit(2), F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda kept, one: F.when(one == ".", kept)
+        .when(one == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+        .otherwise(F.concat(kept, F.array(one))),
+        lambda kept: F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept),
+    )
+    return F.when(path.rlike(r"/\.\.?(?:/|\z)"), F.concat(F.lit("/"), F.array_join(held, "/"))).otherwise(path)
+
+
+def _absolute(target: Column, host: Column, path: Column, name: Column) -> Column:
+    """The target as a url; one with a scheme stays as it is."""
+    cut = F.regexp_extract(target, r"\A([^?#]*)", 1)
+    after = F.substr(target, F.length(cut) + 1, F.lit(1 << 30))
+    folder = F.regexp_extract(path, r"(?s)\A(.*/)", 1)
+    whole = F.when(target.startswith("/"), cut).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), cut))
+    return (
+        F.when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:"), target)
+        .when(target.startswith("#"), F.concat(F.lit("http://"), name))
+        .when(target.startswith("?"), F.concat(F.lit("http://"), host, F.when(path == "", F.lit("/")).otherwise(path), target))
+        .otherwise(F.concat(F.lit("http://"), host, _without_dots(whole), after))
+    )
+
+
 def _target(html: Column) -> Column:
     """Urls that the page names as canonical or redirects to."""
     tags = F.regexp_extract_all(F.substring(html, 1, 1 << 30), F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
@@ -68,18 +99,10 @@ def _target(html: Column) -> Column:
 
 
 def edges(parted: DataFrame) -> DataFrame:
-    """Identities that a page's canonical link or redirect joins: u and v, as hashes.
-
-    A target without a host is on the page's own; one without a leading slash is taken from the root.
-    """
+    """Identities that a page's canonical link or redirect joins: u and v, as hashes."""
     has = F.col("html").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv") & F.col("name").isNotNull()
-    found = parted.where(has).select("host", "name", F.explode(_target(F.col("html"))).alias("target"))
-    absolute = (
-        F.when(F.col("target").startswith("//"), F.concat(F.lit("http:"), "target"))
-        .when(F.locate("://", F.col("target")) > 0, F.col("target"))
-        .when(F.col("target").startswith("/"), F.concat(F.lit("http://"), "host", "target"))
-        .otherwise(F.concat(F.lit("http://"), "host", F.lit("/"), "target"))
-    )
+    found = parted.where(has).select("host", "path", "name", F.explode(_target(F.col("html"))).alias("target"))
+    absolute = _absolute(F.col("target"), F.col("host"), F.col("path"), F.col("name"))
     host, rest = _host_and_rest(F.col("absolute"))
     to = found.withColumn("absolute", absolute).withColumns({"to_host": host, "to_rest": rest})
     named = to.select("name", _identity(F.col("to_host"), F.col("to_rest")).alias("to")).where("`to` IS NOT NULL AND `to` <> name")
