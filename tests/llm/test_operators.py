@@ -389,3 +389,65 @@ def test_licences_by_line_paragraph_and_text(spark, no_docs):
     assert {row.doc_id for row in found} <= {1, 2, 3, 8}
     assert sum(row.doc_id == 8 and row.kind == "line" for row in found) == 2
     assert licences.scan(no_docs).collect() == []
+
+
+MIT = """Copyright (c) 2020 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+GPL = """/* x.c
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details. */
+"""
+APACHE = """   2. Grant of Copyright License. Subject to the terms and conditions of
+      this License, each Contributor hereby grants to You a perpetual,
+      worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+      copyright license to reproduce, prepare Derivative Works of,
+      publicly display, publicly perform, sublicense, and distribute the
+      Work and such Derivative Works in Source or Object form.
+"""
+
+
+def test_licences_real_texts_and_notices(spark):
+    texts = {
+        1: (MIT, "MIT-grant"),
+        2: (BSD, "BSD-3-Clause-conditions"),
+        3: (GPL, "GPL-as-is"),
+        4: (f"Some words.\n\n{APACHE}\nmore", "Apache-2.0-copyright"),
+        5: ("Licensed under the MIT License.", "MIT-licensed"),
+        6: ("This software is released under the MIT License.", "MIT-software"),
+        7: ("We wrote it all last year. It is old. Released under the MIT License. Have fun with what we made!", "MIT"),
+        8: ("A first line here. Licensed under the\nApache License, Version 2.0. And some more words follow it.", "Apache-2.0"),
+        9: ("See above. This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0-work"),
+    }
+    docs = spark.createDataFrame([(at, text) for at, (text, _) in texts.items()], "doc_id long, text string")
+    found = {(row.doc_id, row.licence) for row in licences.scan(docs).collect()}
+    assert found >= {(at, name) for at, (_, name) in texts.items()}
+    rows = [tuple(row)[1:4] for row in licences.scan(docs.where("doc_id IN (7, 8)")).collect() if row.licence in ("MIT", "Apache-2.0")]
+    assert sorted(rows) == [("sentence", 1, "Apache-2.0"), ("sentence", 2, "MIT")]
+
+
+def test_licences_sentences_that_are_lines_come_once(spark):
+    texts = [(1, "One line.\nReleased under the MIT License.\nThe end."), (2, "Released under\nthe MIT License.\n\nA longer end of many words that match nothing at all.")]
+    found = licences.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((row.doc_id, row.kind) for row in found if row.licence == "MIT") == [(1, "line"), (2, "paragraph")]

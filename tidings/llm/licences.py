@@ -1,7 +1,7 @@
 """Licence notices in texts, by the Dice coefficient of word pairs with templates.
 
-A text's lines, paragraphs (runs of lines without an empty one) and the text itself are
-units. A unit is normalised (lower case, everything but letters and digits a space) and
+A text's lines, paragraphs (runs of lines without an empty one), sentences and the text itself
+are units; a sentence ends with ``.``, ``!`` or ``?`` before white space or with its paragraph. A unit is normalised (lower case, everything but letters and digits a space) and
 its different pairs of neighbouring words are compared with each template's: 2 * common /
 (unit + template). The coefficient can't reach the threshold unless the sizes are near
 each other, so a unit is compared only with templates whose sizes allow it, and its
@@ -12,12 +12,13 @@ m - that + 1 of them it has one. Texts and units that hold no such pair are pass
 before they are normalised; no match is lost by that.
 
 Everything is DataFrame functions. Nulls and empty texts have no units. Equal lines are
-reported each, and so are equal rows; a paragraph or text of one line is reported as the line. Other columns
+reported each, and so are equal rows; a paragraph or text of one line is reported as the line, and a sentence that is a line or paragraph as that. Other columns
 are ignored. An empty table gives no rows. Of templates that tie, all are reported.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 from math import ceil
@@ -25,6 +26,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidings.llm.licence_texts import wordings
+
 #: Short notices as licences' own texts and the customary source headers give them.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -53,6 +56,10 @@ def _pairs_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+_known = {tuple(_pairs_of(text)) for text in TEMPLATES.values()}
+TEMPLATES |= {name: text for name, text in wordings().items() if tuple(_pairs_of(text)) not in _known}
+
+
 def _words(unit: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " "))
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
@@ -66,16 +73,20 @@ def _once(value: Column) -> Column:
 def _may_match(text: Column, known: dict[str, list[str]], threshold: float) -> Column:
     """Whether ``text`` holds a pair of those that some template can't do without.
 
-    Of each template the pairs of the longest words are looked for, as they are the rarest.
+    Pairs are chosen by a word of theirs, long ones that are in many pairs first, as long words are
+    rarer and few of them are searched for.
     """
     asked: dict[str, set[str]] = {}
-    for pairs in known.values():
+    for pairs in sorted(known.values(), key=len):
         least = ceil(threshold * len(pairs) / (2 - threshold) - 1e-9)
         if least < 1:
             return F.lit(True)
-        rarest = sorted(pairs, key=lambda pair: (-max(map(len, pair.split())), pair))
-        for pair in rarest[: len(pairs) - least + 1]:
-            asked.setdefault(max(pair.split(), key=len), set()).add(pair)
+        left = set(pairs)
+        while len(pairs) - len(left) <= len(pairs) - least:
+            words = {word: [pair for pair in left if word in pair.split()] for word in {word for pair in left for word in pair.split()}}
+            best = max(words, key=lambda word: (len(word) > 5, word in asked, len(word) * len(words[word]), word))
+            asked.setdefault(best, set()).update(words[best])
+            left -= set(words[best])
 
     def holds(low: Column, word: str, pairs: set[str]) -> Column:
         ways = "|".join(pair.replace(" ", r"[^\p{L}\p{N}]+") for pair in sorted(pairs))
@@ -86,10 +97,33 @@ def _may_match(text: Column, known: dict[str, list[str]], threshold: float) -> C
     return F.exists(F.array(F.lower(text)), held)
 
 
+def _sentences() -> Column:
+    """The sentences of ``text``, by place, but those that are lines or paragraphs."""
+    plain = F.translate("text", "\u0001\u0002", "  ")
+    inside = F.regexp_replace(plain, r"([.!?][)\"'\]]*)[ \t]+(?=[^ \t\n])", "$1\u0001")
+    marked = F.regexp_replace(inside, r"([.!?][)\"'\]]*)[ \t]*\n(?![ \t]*\n)", "$1\u0002")
+
+    def of(paragraph: Column) -> Column:
+        several = F.locate("\u0001", paragraph) + F.locate("\u0002", paragraph) > 0
+        return F.flatten(F.transform(F.split(paragraph, "\u0002"), lambda part: parts(part, several)))
+
+    def parts(part: Column, several: Column) -> Column:
+        # A part with no break inside is a line, unless the sentence goes over several.
+        own = several & ((F.locate("\u0001", part) > 0) | (F.locate("\n", F.trim(part)) > 0))
+        return F.transform(F.split(part, "\u0001"), lambda one: F.struct(one.alias("unit"), own.alias("own")))
+
+    every = F.flatten(F.transform(F.split(marked, "\n[ \t]*\n"), of))
+    placed = F.transform(
+        every,
+        lambda one, at: F.struct(F.lit("sentence").alias("kind"), at.alias("place"), one["unit"].alias("unit"), F.when(one["own"], 2).otherwise(0).alias("lines")),
+    )
+    return F.filter(placed, lambda one: one["lines"] > 1)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
-    """doc_id, kind (line, paragraph, text), place, licence, dice of every match.
+    """doc_id, kind (line, paragraph, sentence, text), place, licence, dice of every match.
 
-    ``place`` counts lines or paragraphs from 0. Templates are part of the plan, meant for up to
+    ``place`` counts lines, paragraphs or sentences from 0. Templates are part of the plan, meant for up to
     some hundred. Bounds on the sizes: a unit of n pairs can reach t with a template
     of m only if t * (n + m) <= 2 * min(n, m).
     """
@@ -106,7 +140,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         lambda one, at: F.struct(F.lit("paragraph").alias("kind"), at.alias("place"), one.alias("unit"), F.size(F.split(F.trim(one), "\n")).alias("lines")),
     )
     whole = F.array(F.struct(F.lit("text").alias("kind"), F.lit(0).alias("place"), F.col("text").alias("unit"), F.size(F.split(F.trim("text"), "\n[ \t]*\n")).alias("lines")))
-    units = rows.select("doc_id", F.explode(F.concat(lines, blocks, whole)).alias("one")).select("doc_id", "one.*")
+    units = rows.select("doc_id", F.explode(F.concat(lines, blocks, _sentences(), whole)).alias("one")).select("doc_id", "one.*")
     units = units.where("kind = 'line' OR lines > 1")
     least = min((len(pairs) for pairs in known.values()), default=1)
     fewest = max(1, -int(-threshold * least // (2 - threshold)))
@@ -125,14 +159,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     )
     sized = worded.select("doc_id", "kind", "place", _once(pairs).alias("pairs")).withColumn("n", F.size("pairs"))
     sized = sized.where(F.col("n").between(fewest, largest))
-    tests = []
-    for name, wanted in sorted(known.items()):
-        m = len(wanted)
-        low, high = threshold * m / (2 - threshold), (2 - threshold) * m / threshold
-        common = F.size(F.array_intersect("pairs", F.array(*map(F.lit, wanted))))
-        dice = F.when(F.col("n").between(low - 1e-9, high + 1e-9), 2.0 * common / (F.col("n") + m))
-        tests.append(F.struct(F.lit(name).alias("licence"), dice.alias("dice")))
-    if not tests:
-        tests = [F.struct(F.lit("").alias("licence"), F.lit(None).cast("double").alias("dice"))]
-    found = sized.select("doc_id", "kind", F.col("place").cast("long").alias("place"), F.explode(F.array(*tests)).alias("m"))
+    rows_of = [{"licence": name, "wanted": wanted, "m": len(wanted)} for name, wanted in sorted(known.items())]
+    every = F.from_json(F.lit(json.dumps(rows_of)), "array<struct<licence:string,wanted:array<string>,m:int>>")
+
+    def near(one: Column) -> Column:
+        low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+        return F.col("n").between(low * one["m"] - 1e-9, high * one["m"] + 1e-9)
+
+    def dice(one: Column) -> Column:
+        common = F.size(F.array_intersect("pairs", one["wanted"]))
+        return F.struct(one["licence"].alias("licence"), (2.0 * common / (F.col("n") + one["m"])).alias("dice"))
+
+    found = sized.select("doc_id", "kind", F.col("place").cast("long").alias("place"), F.explode(F.transform(F.filter(every, near), dice)).alias("m"))
     return found.select("doc_id", "kind", "place", "m.licence", "m.dice").where(F.col("dice") >= threshold)
