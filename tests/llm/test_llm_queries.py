@@ -5,7 +5,7 @@ import os
 import corpus_pipeline
 import duckdb
 import pytest
-from test_operators import brute_components, shingles
+from brute import brute_components, shingles
 
 from tidings.llm import packing, queries
 
