@@ -3,8 +3,7 @@ import uuid
 
 import pytest
 from pyspark.sql import SparkSession
-
-SF_DIR = os.environ.get("TIDINGS_TEST_TABLES", "/root/testdata/sf0.001")
+from samples import SF_DIR
 
 
 @pytest.fixture(scope="session")

@@ -2,11 +2,13 @@
 
 import io
 import json
+import os
 from collections import Counter
 from contextlib import redirect_stdout
 
 from tidings.schemas import CAMPAIGN_COLUMNS
 
+SF_DIR = os.environ.get("TIDINGS_TEST_TABLES", "/root/testdata/sf0.001")
 GOLDEN_NOW = 1659304828
 
 # Sample favourites (id, client, restaurant), ids 8 and 9 a copy.

@@ -5,9 +5,8 @@ import os
 import __spark_entry__ as registry
 import duckdb
 import pytest
-from conftest import SF_DIR
 from pyspark.sql import functions as F
-from samples import Listed, bag
+from samples import SF_DIR, Listed, bag
 
 from tidings.sources import star_schema
 
