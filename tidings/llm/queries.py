@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.llm import (
+    audit,
     fingerprints,
     language,
     leaks,
     licences,
+    lines,
     near,
     packing,
     scoring,
+    search,
     token_files,
     toxicity,
     urls,
@@ -103,6 +106,23 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(_table(spark, folder, "documents"))
 
 
+def op11_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return search.ranked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), most=10)
+
+
+def op12_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op13_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents are put into an index, and what it keeps of each is digested."""
+    docs = _table(spark, folder, "documents")
+    index = lines.LineIndex(spark, Workspace(spark), least_docs=10, least_chars=1)
+    index.insert(docs)
+    return index.clean(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each takes a session and the folder of the tables."""
     every = (
@@ -116,6 +136,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_redirects,
         op9_packing,
         op10_licences,
+        op11_ranked,
+        op12_audit,
+        op13_lines,
     )
     return {query.__name__: query for query in every}
 
@@ -228,6 +251,79 @@ def _licences_sql() -> str:
     WHERE dice >= 0.8"""
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_TERMS = rf"""unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+
+_RANKED = f"""
+    WITH held AS MATERIALIZED (SELECT row, doc_id, term, count(*) AS tf FROM (
+             SELECT row, doc_id, {_TERMS} FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)) GROUP BY ALL),
+    sizes AS MATERIALIZED (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM held GROUP BY row),
+    total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM sizes),
+    weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+                FROM held, total GROUP BY term, docs),
+    lengths AS (SELECT row, 100 - 90 + ((90 * n * docs) // tokens) AS m FROM sizes, total),
+    asked AS (SELECT DISTINCT item, item_id, term FROM (
+        SELECT item, item_id, {_TERMS} FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark))),
+    scored AS (SELECT item, item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+               FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN lengths USING (row) GROUP BY ALL)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+    WHERE rank <= 10"""
+
+_AUDIT = r"""
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+                         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    firsts AS (SELECT text, min(doc_id) AS least FROM docs GROUP BY text),
+    told AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+    failed AS (
+        SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+               CASE WHEN len(words) < 200 THEN 'A' ELSE '' END ||
+               CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END ||
+               CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END ||
+               CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END ||
+               CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+        FROM docs JOIN firsts USING (text) LEFT JOIN told USING (doc_id)),
+    sets AS (SELECT part, good, toxic, fails, count(*) AS n FROM failed GROUP BY ALL),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+               FROM letters a, letters b, letters c, letters d, letters e
+               WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS filter, substr(filter_order, 1, step - 1) AS earlier
+              FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders)),
+    met AS (SELECT part, good, toxic, fails, n, filter_order, step, filter, contains(fails, filter) AS hit,
+                   translate(fails, earlier, '') <> fails AS gone FROM sets, steps),
+    counted AS (
+        SELECT part, filter_order, step, filter,
+               sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept,
+               sum(CASE WHEN NOT gone AND hit THEN n ELSE 0 END) AS removed,
+               sum(CASE WHEN gone AND hit THEN n ELSE 0 END) AS redundant,
+               sum(CASE WHEN fails = filter THEN n ELSE 0 END) AS unique_fails,
+               sum(CASE WHEN NOT gone AND hit AND good THEN n ELSE 0 END) AS good_lost,
+               sum(CASE WHEN NOT gone AND hit AND toxic THEN n ELSE 0 END) AS toxic_lost
+        FROM met GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+           CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+           CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+    FROM counted"""
+
+_LINES = rf"""
+    WITH parted AS MATERIALIZED (
+        SELECT doc_id, lines, list_transform(lines, lambda line:
+                   {_LOWER.format(r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")}) AS keys
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+    common AS MATERIALIZED (
+        SELECT list(key) AS every FROM (
+            SELECT key FROM (SELECT unnest(list_distinct(keys)) AS key FROM parted) WHERE key <> '' GROUP BY key HAVING count(*) >= 10)),
+    left_over AS (
+        SELECT doc_id, lines, list_filter(lines, lambda line, i: NOT list_contains(coalesce(every, []), keys[i])) AS kept
+        FROM parted, common)
+    SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped,
+           sha256(array_to_string(kept, chr(10))) AS kept_sha256
+    FROM left_over"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The same results from SQL over the tables."""
     return {
@@ -235,4 +331,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_containment": _LEAKS,
         "op8_redirects": _urls_sql(),
         "op10_licences": _licences_sql(),
+        "op11_ranked": _RANKED,
+        "op12_audit": _AUDIT,
+        "op13_lines": _LINES,
     }
