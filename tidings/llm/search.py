@@ -39,10 +39,6 @@ from tidings.plans import Workspace
 
 #: Share of m, in percent, that follows the document's length.
 B = 90
-#: Documents and terms that a bundle holds, and documents in a leaf.
-BUNDLE_DOCS = 20_000
-BUNDLE_TERMS = 2_000_000
-LEAF_DOCS = 256
 NO_ID = (1 << 63) - 1
 
 VECTORS = "doc_id long, n long, terms array<int>, tfs array<int>, texts long, tokens long"
@@ -65,6 +61,14 @@ def windows(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, p
             at = to
 
 
+class Sizes(NamedTuple):
+    """What a task holds; results don't depend on it."""
+
+    bundle_docs: int = 20_000
+    bundle_terms: int = 2_000_000
+    leaf_docs: int = 256
+
+
 class Counted(NamedTuple):
     """Terms of each text: rows, their known terms and tfs in ascending order, and n of every text."""
 
@@ -147,7 +151,7 @@ class Tree:
     are bundled up to that number, so nodes are few against documents.
     """
 
-    def __init__(self, ids: np.ndarray, m: np.ndarray, first: np.ndarray, terms: np.ndarray, tfs: np.ndarray, leaf: int = LEAF_DOCS):
+    def __init__(self, ids: np.ndarray, m: np.ndarray, first: np.ndarray, terms: np.ndarray, tfs: np.ndarray, leaf: int):
         """``terms`` are ranks by descending df, ascending in each document."""
         keys = terms.astype(">u4")
         order = sorted(range(len(ids)), key=lambda at: keys[first[at] : first[at + 1]].tobytes())
@@ -298,7 +302,9 @@ class Statistics(NamedTuple):
     ranks: np.ndarray
 
 
-def _search(batches: Iterator[pa.RecordBatch], statistics: Statistics, items: dict[int, Item], most: int) -> Iterator[pa.RecordBatch]:
+def _search(
+    batches: Iterator[pa.RecordBatch], statistics: Statistics, items: dict[int, Item], most: int, sizes: Sizes
+) -> Iterator[pa.RecordBatch]:
     """The task's best documents for each item."""
     best: dict[int, list[tuple[int, int]]] = {one: [] for one in items}
     held: list[tuple] = []
@@ -310,14 +316,14 @@ def _search(batches: Iterator[pa.RecordBatch], statistics: Statistics, items: di
         terms = statistics.ranks[terms]
         order = np.lexsort((terms, owner))
         m = 100 - B + (B * n * statistics.documents) // statistics.tokens
-        tree = Tree(ids, m, np.concatenate(([0], np.cumsum(size))), terms[order], tfs[order])
+        tree = Tree(ids, m, np.concatenate(([0], np.cumsum(size))), terms[order], tfs[order], sizes.leaf_docs)
         for one, item in items.items():
             tree.search(item, best[one], most)
 
     docs = postings = 0
     for batch in batches:
-        for low in range(0, batch.num_rows, 1000):
-            some = batch.slice(low, 1000)
+        for low in range(0, batch.num_rows, min(1000, sizes.bundle_docs)):
+            some = batch.slice(low, min(1000, sizes.bundle_docs))
             terms, tfs = some.column("terms"), some.column("tfs")
             held.append(
                 (
@@ -329,7 +335,7 @@ def _search(batches: Iterator[pa.RecordBatch], statistics: Statistics, items: di
                 )
             )
             docs, postings = docs + some.num_rows, postings + len(terms.flatten())
-            if docs >= BUNDLE_DOCS or postings >= BUNDLE_TERMS:
+            if docs >= sizes.bundle_docs or postings >= sizes.bundle_terms:
                 search()
                 docs = postings = 0
     if held:
@@ -357,7 +363,7 @@ def _blocks(items: DataFrame, block_terms: int) -> Iterator[list[tuple[int | Non
         yield block
 
 
-def _block(rows: DataFrame, block: list[tuple[int | None, np.ndarray]], most: int, room: Workspace, number: int) -> DataFrame:
+def _block(rows: DataFrame, block: list[tuple[int | None, np.ndarray]], most: int, room: Workspace, number: int, sizes: Sizes) -> DataFrame:
     spark = rows.sparkSession
     known = np.unique(np.concatenate([terms for _, terms in block]))
     sent = spark.sparkContext.broadcast(known)
@@ -380,7 +386,7 @@ def _block(rows: DataFrame, block: list[tuple[int | None, np.ndarray]], most: in
         if len(place):
             items[at] = Item(ranks[place], np.array(weights, np.int64))
     asked = spark.sparkContext.broadcast((Statistics(documents, max(tokens, 1), ranks), items))
-    found = vectors.where("texts IS NULL").mapInArrow(lambda batches: _search(batches, *asked.value, most), RANKED)
+    found = vectors.where("texts IS NULL").mapInArrow(lambda batches: _search(batches, *asked.value, most, sizes), RANKED)
     by = [F.desc("score"), F.asc_nulls_last("doc_id")]
     parts = found.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
     few = parts.withColumn("rank", F.row_number().over(Window.partitionBy("item", "part").orderBy(*by))).where(F.col("rank") <= most)
@@ -389,12 +395,19 @@ def _block(rows: DataFrame, block: list[tuple[int | None, np.ndarray]], most: in
     return last.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")  # a block's items
 
 
-def ranked(docs: DataFrame, items: DataFrame, most: int = 10, block_terms: int = 200_000, room: Workspace | None = None) -> DataFrame:
+def ranked(
+    docs: DataFrame,
+    items: DataFrame,
+    most: int = 10,
+    block_terms: int = 200_000,
+    room: Workspace | None = None,
+    sizes: Sizes = Sizes(),
+) -> DataFrame:
     """``item_id``, ``rank`` from 1, ``doc_id`` and ``score`` of each item's best documents with scores above 0."""
     room = room or Workspace(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
     for number, block in enumerate(_blocks(items, block_terms)):
-        some = _block(rows, block, most, room, number)
+        some = _block(rows, block, most, room, number, sizes)
         found = some if found is None else found.unionByName(some)
     return docs.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long") if found is None else found
