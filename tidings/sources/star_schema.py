@@ -87,9 +87,17 @@ def _delivered(campaigns: DataFrame, payload: Column) -> DataFrame:
 
 def favourites(spark: SparkSession, folder: str) -> DataFrame:
     """Customers and the suppliers of their order lines, with duplicates."""
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
+    return numbered_favourites(spark, folder).drop("id")
+
+
+def numbered_favourites(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with ids that have gaps: a third of the orders is far from the others."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    order = F.col("l_orderkey").cast("long")
+    far = F.when(order % 3 == 0, 1_000_000_000_000).otherwise(0)
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+        (order * 8 + F.col("l_linenumber") + far).cast("long").alias("id"),
         F.col("o_custkey").cast("string").alias("client_id"),
         F.col("l_suppkey").cast("string").alias("restaurant_id"),
     )
