@@ -1,6 +1,6 @@
 """The streaming job."""
 
 from tidings.streaming.job import NotificationJob
-from tidings.streaming.progress import ProgressLog
+from tidings.streaming.progress import BatchCounts, ProgressLog
 
-__all__ = ["NotificationJob", "ProgressLog"]
+__all__ = ["BatchCounts", "NotificationJob", "ProgressLog"]

@@ -19,11 +19,12 @@ from tidings.operators import (
     to_messages,
     with_feedback,
 )
-from tidings.plans import Limits
+from tidings.plans import LaidOutFavourites, Limits
 from tidings.plans.fanout import notifications
 from tidings.plans.measure import Size
 from tidings.schemas import MESSAGE_ID
 from tidings.sinks import Batch, Sink
+from tidings.streaming.progress import BatchCounts
 from tidings.streaming.spool import Spool
 
 log = logging.getLogger(__name__)
@@ -39,15 +40,16 @@ class NotificationJob:
     the batch.
     """
 
-    favourites: Callable[[], DataFrame]  # called in each batch, to see the newest
+    # Called in each batch, to see the newest.
+    favourites: Callable[[], DataFrame | LaidOutFavourites]
     table: Sink
     messages: Sink
     letters: Sink
     name: str = "campaign_notifications"
     now: int | Column | None = None
     limits: Limits = field(default_factory=Limits)
-    # Notifications by batch, until the progress log takes them.
-    sent: dict[int, int] = field(default_factory=dict)
+    # Notifications of the last batches, which listeners look up and don't use up.
+    sent: BatchCounts = field(default_factory=BatchCounts)
     _spark: SparkSession | None = field(default=None, init=False, repr=False)
     _spool: Spool | None = field(default=None, init=False, repr=False)
     _query_id: str | None = field(default=None, init=False, repr=False)
@@ -125,7 +127,7 @@ class NotificationJob:
         return held
 
     def _note(self, batch_id: int, sent: int) -> None:
-        """Keep a batch's number of notifications until the progress log takes it."""
+        """Keep a batch's number of notifications for whoever reports progress."""
         self.sent[batch_id] = sent
 
     def _id(self) -> str:
