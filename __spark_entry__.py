@@ -7,32 +7,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidings.operators import (
     active_at,
     dead_letters,
     decode_campaigns,
     dedupe_favourites,
-    fan_out,
     message_text,
     of_restaurants,
     stamp,
     to_messages,
-    to_notifications,
     with_feedback,
 )
-from tidings.plans import Limits, Workspace, notify
-from tidings.schemas import CAMPAIGN_COLUMNS, NOTIFICATION_COLUMNS
+from tidings.plans import LaidOutFavourites, Limits, Workspace, notify, notify_stream
+from tidings.schemas import CAMPAIGN_COLUMNS, HEADER_COLUMNS, NOTIFICATION_COLUMNS
 from tidings.session import in_utc
 from tidings.sinks import files
 from tidings.sources import star_schema
+from tidings.sources.ranges import Bin, bins_sql, bounds_sql, ranges
 from tidings.streaming import NotificationJob
 
 try:
     import corpus_pipeline
-    from tidings.llm import queries as training_data
-except ImportError:
+    import tidings.llm.queries as training_data
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tidings.llm", "tidings.llm.queries"):
+        raise
     corpus_pipeline = training_data = None
 
 NOW = 1704974400  # 2024-01-11 12:00:00 UTC
@@ -88,6 +91,22 @@ def favourites_of_active(spark: SparkSession, folder: str) -> DataFrame:
     return of_restaurants(dedupe_favourites(star_schema.favourites(spark, folder)), restaurants)
 
 
+def favourites_in_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Read range by range of an id, as the connections to a database would."""
+    rows = star_schema.numbered_favourites(in_utc(spark), folder)
+    rows.createOrReplaceTempView("numbered_favourites")
+
+    def count(low: int, high: int, width: int) -> list[Bin]:
+        return [Bin(*row) for row in spark.sql(bins_sql("numbered_favourites", "id", low, high, width)).collect()]
+
+    bounds = spark.sql(bounds_sql("numbered_favourites", "id")).first()
+    parts = [rows.where(one) for one in ranges(tuple(bounds), count, 8, "id")]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def _notify(spark: SparkSession, folder: str, limits: Limits = Limits()) -> DataFrame:
     favourites = star_schema.favourites(spark, folder)
     return notify(_campaigns(spark, folder), favourites, NOW, limits).drop("message_id")
@@ -102,6 +121,12 @@ def notification_shuffled(spark: SparkSession, folder: str) -> DataFrame:
     return _notify(spark, folder, Limits(broadcast_bytes=0))
 
 
+def notification_laid_out(spark: SparkSession, folder: str) -> DataFrame:
+    """From favourites that are kept bucketed."""
+    laid_out = LaidOutFavourites.lay_out(star_schema.favourites(spark, folder), Workspace(spark))
+    return notify(_campaigns(spark, folder), laid_out, NOW).drop("message_id")
+
+
 def notification_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """From JSON messages."""
     campaigns = decode_campaigns(_messages(spark, folder))
@@ -123,12 +148,35 @@ def notification_message(spark: SparkSession, folder: str) -> DataFrame:
     return to_messages(with_feedback(_notify(spark, folder)))
 
 
-def _stream(spark: SparkSession, folder: str, out: str) -> None:
+def notification_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """What names each message to its consumers."""
+    campaigns = decode_campaigns(_messages(spark, folder))
+    found = to_messages(with_feedback(notify(campaigns, star_schema.favourites(spark, folder), NOW)))
+    named = F.map_from_entries("headers")
+    return found.select("value", *(named[name].cast("string").alias(name) for name in HEADER_COLUMNS))
+
+
+class _DiesOnce(files.FileSink):
+    """A sink that is killed between its first batch's rows and their commit."""
+
+    alive = False
+
+    def commit(self, *batch) -> None:
+        if not self.alive:
+            self.alive = True
+            raise RuntimeError("killed before the commit")
+        super().commit(*batch)
+
+
+def _stream(spark: SparkSession, folder: str, out: str, table: files.FileSink | None = None, laid_out: bool = False) -> None:
     """Run the streaming job over all of the table's files."""
+    favourites = star_schema.favourites(spark, folder)
+    if laid_out:
+        favourites = LaidOutFavourites.lay_out(favourites, Workspace(spark))
     messages = star_schema.messages(star_schema.table_stream(in_utc(spark), folder, "events"))
     job = NotificationJob(
-        favourites=lambda: star_schema.favourites(spark, folder),
-        table=files.parquet_table(f"{out}/table"),
+        favourites=lambda: favourites,
+        table=table or files.parquet_table(f"{out}/table"),
         messages=files.text_messages(f"{out}/messages"),
         letters=files.parquet_letters(f"{out}/letters"),
         name=f"notifications_{out.rsplit('/', 1)[-1]}",
@@ -151,14 +199,33 @@ def notification_stream_messages(spark: SparkSession, folder: str) -> DataFrame:
     return files.read_messages(spark, f"{out}/messages")
 
 
+def notification_stream_replayed(spark: SparkSession, folder: str) -> DataFrame:
+    """Table rows after a run that died between writing and committing them, and its repeat."""
+    out = Workspace(spark).path
+    whole = files.parquet_table(f"{out}/table")
+    dying = _DiesOnce(whole.path, whole.form, whole.columns)
+    try:
+        _stream(spark, folder, out, dying)
+    except StreamingQueryException:
+        assert files.read_table(spark, f"{out}/table").isEmpty()
+    _stream(spark, folder, out, dying)
+    return files.read_table(spark, f"{out}/table")
+
+
+def notification_stream_laid_out(spark: SparkSession, folder: str) -> DataFrame:
+    """Table rows that the streaming job wrote from favourites that are kept bucketed."""
+    out = Workspace(spark).path
+    _stream(spark, folder, out, laid_out=True)
+    return files.read_table(spark, f"{out}/table")
+
+
 def notification_stream_static(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream joined to a table, without the job around it."""
+    """A stream joined to a table, without the job around it; busy restaurants of the table are cut."""
     out = Workspace(spark).path
     messages = star_schema.messages(star_schema.table_stream(in_utc(spark), folder, "events"))
     campaigns = stamp(active_at(decode_campaigns(messages), NOW), NOW)
-    favourites = dedupe_favourites(star_schema.favourites(spark, folder))
     query = (
-        to_notifications(fan_out(campaigns, favourites))
+        notify_stream(campaigns, star_schema.favourites(spark, folder))
         .writeStream.format("parquet")
         .queryName(f"static_{out.rsplit('/', 1)[-1]}")
         .option("checkpointLocation", f"{out}/checkpoint")
@@ -187,14 +254,19 @@ def notification_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]
             campaign_stamp,
             favourites_dedupe,
             favourites_of_active,
+            favourites_in_ranges,
             notification_fanout,
             notification_shuffled,
+            notification_laid_out,
             notification_pipeline,
             notification_malformed,
             notification_feedback,
             notification_message,
+            notification_headers,
             notification_stream,
             notification_stream_messages,
+            notification_stream_replayed,
+            notification_stream_laid_out,
             notification_stream_static,
         )
     }
@@ -277,14 +349,25 @@ def notification_sql() -> dict[str, str]:
         "favourites_dedupe": pairs,
         "favourites_of_active": f"""{tables} SELECT client_id, restaurant_id FROM pairs
             WHERE restaurant_id IN (SELECT restaurant_id FROM campaigns WHERE {is_active})""",
+        "favourites_in_ranges": """
+            SELECT CAST(l_orderkey AS BIGINT) * 8 + l_linenumber
+                   + CASE WHEN l_orderkey % 3 = 0 THEN 1000000000000 ELSE 0 END AS id,
+                   CAST(o_custkey AS VARCHAR) AS client_id, CAST(l_suppkey AS VARCHAR) AS restaurant_id
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
         "notification_fanout": notifications,
         "notification_shuffled": notifications,
+        "notification_laid_out": notifications,
         "notification_pipeline": notifications,
         "notification_malformed": f"""{notifications}
             WHERE adv_campaign_content NOT IN ('error', 'signup', 'purchase')""",
         "notification_feedback": feedback,
         "notification_message": messages,
+        "notification_headers": f"""{tables}
+            SELECT {_json(NOTIFICATION_COLUMNS)} AS value, 'campaigns:0:' || event_id AS message_id, client_id
+            FROM ({fanout})""",
         "notification_stream": feedback,
         "notification_stream_messages": messages,
+        "notification_stream_replayed": feedback,
+        "notification_stream_laid_out": feedback,
         "notification_stream_static": notifications,
     }

@@ -2,8 +2,12 @@
 
 import sys
 
+import duckdb
+import pandas
 import pyspark
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from samples import GOLDEN
 from tidings import config, session
 from tidings.config import JdbcConfig, JobConfig, KafkaConfig
@@ -11,7 +15,7 @@ from tidings.functions.ids import topic_message_id
 from tidings.operators import with_feedback
 from tidings.schemas import CAMPAIGN_SCHEMA, FEEDBACK_COLUMNS, NOTIFICATION_COLUMNS
 from tidings.sinks import Batch, jdbc, kafka
-from tidings.sources import campaigns, tables
+from tidings.sources import campaigns, ranges, tables
 
 TOPIC = KafkaConfig("broker:9091", "campaigns", "user", 'pa"ss\\word')
 TABLE = JdbcConfig("jdbc:postgresql://host/db", "public.favourites", "user", "secret")
@@ -86,34 +90,133 @@ def test_messages_to_topic(spark):
             calls.append(("select", columns, {}))
             return self
 
+        columns = ["value"]
         write = Recorder(calls)
 
     kafka.topic_messages(TOPIC)(Messages(), BATCH)
     assert ("select", ("value",), {}) in calls  # no key
+    with_headers = type("WithHeaders", (Messages,), {"columns": ["value", "headers"]})
+    kafka.topic_messages(TOPIC)(with_headers(), BATCH)
+    assert ("select", ("value", "headers"), {}) in calls
     assert ("format", ("kafka",), {}) in calls
     assert ("option", ("topic", "campaigns"), {}) in calls
     assert calls[-1][0] == "save"
 
 
-def test_jdbc_read_in_ranges():
-    options = tables.read_options(TABLE, 1, 1000)
-    assert options["dbtable"] == "public.favourites" and options["fetchsize"] == "10000"
-    assert options["partitionColumn"] == "id" and options["numPartitions"] == "8"
-    assert (options["lowerBound"], options["upperBound"]) == ("1", "1000")
+def test_jdbc_read_options():
+    options = tables.read_options(TABLE)
+    assert options["fetchsize"] == "10000" and options["url"] == TABLE.url
     assert options["user"] == "user" and options["password"] == "secret"
 
 
-@pytest.mark.parametrize("bounds", [(None, None), (5, 5)])
-def test_jdbc_read_without_ranges(bounds):
-    assert "partitionColumn" not in tables.read_options(TABLE, *bounds)
+class Database:
+    """Stands in for the reader: answers the questions about ids from a list of them."""
 
+    def __init__(self, ids):
+        self.ids, self.asked, self.read = ids, [], None
 
-def test_favourites_finds_the_bounds():
+    def format(self, name):
+        assert name == "jdbc"
+        return self
+
+    def options(self, query, **connection):
+        assert connection == TABLE.connection()
+        self.asked.append(query)
+        return self
+
+    def load(self):
+        return self
+
+    def collect(self):
+        view = pandas.DataFrame({"id": pandas.Series(self.ids, dtype="Int64")})
+        with duckdb.connect() as database:
+            database.register("favourites_view", view)
+            return database.sql(self.asked[-1].replace("public.favourites", "favourites_view")).fetchall()
+
+    def jdbc(self, url, table, predicates, properties):
+        self.read = (url, table, predicates, properties)
+        return self
+
+
+def rows_of(ids, conditions):
+    """Rows that meet each condition."""
+    view = pandas.DataFrame({"id": pandas.Series(ids, dtype="Int64")})
+    with duckdb.connect() as database:
+        database.register("ids", view)
+        return [database.sql(f"SELECT count(*) FROM ids WHERE {one}").fetchall()[0][0] for one in conditions]
+
+
+def reading(ids):
     session = type("Session", (), {})()
-    session.read = reader = Recorder(results={"first": (1, 900)})
+    session.read = Database(ids)
+    return session
+
+
+SKEWED = {
+    "dense": list(range(1, 5001)),
+    "one far id": [*range(1, 4000), 2**31 - 1],
+    "two far heaps": [*range(3000), *range(10**12, 10**12 + 3000)],
+    "negative and null": [*range(-2000, 0), None, None, *range(10**9, 10**9 + 50)],
+    "squares": [at * at for at in range(3000)],
+    "most rows in one id": [7] * 3000 + list(range(100, 1100)),
+}
+
+
+@pytest.mark.parametrize("name", SKEWED)
+def test_favourites_are_read_in_equal_ranges(name):
+    """Every row is in one range, and none has much more than its share but for a single id."""
+    ids = SKEWED[name]
+    session = reading(ids)
+    tables.favourites(session, TABLE)
+    url, table, predicates, properties = session.read.read
+    assert (url, table) == (TABLE.url, "public.favourites") and properties["fetchsize"] == "10000"
+    found = rows_of(ids, predicates)
+    assert sum(found) == len(ids) and sum(rows_of(ids, [f"({one})" for one in predicates])) == len(ids)
+    assert len(predicates) <= TABLE.partitions
+    share = len(ids) / TABLE.partitions
+    if name != "most rows in one id":
+        assert len(predicates) == TABLE.partitions
+        assert max(found) <= 1.6 * share
+    assert len(session.read.asked) < 40
+    later = rows_of([None, -(10**15), 10**15], predicates)  # rows that come after the count
+    assert sum(later) == 3
+
+
+@pytest.mark.parametrize("ids", [[], [5], [5, 5, 5], [None, None], [None, 3]])
+def test_favourites_without_ranges(ids):
+    session = reading(ids)
     tables.favourites(session, TABLE)
-    options = reader.given()
-    assert "min(id)" in options["query"] and options["upperBound"] == "900"
+    assert session.read.read[2] == ["1 = 1"]
+    assert rows_of(ids, session.read.read[2]) == [len(ids)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(-(10**6), 10**6), unique=True, min_size=1, max_size=300), st.integers(2, 12))
+def test_ranges_part_any_ids(ids, parts):
+    def count(low, high, width):
+        bins = {}
+        for one in ids:
+            if low <= one <= high:
+                bins.setdefault((one - low) // width, []).append(one)
+        return [ranges.Bin(min(some), max(some), len(some)) for some in bins.values()]
+
+    conditions = ranges.ranges((min(ids), max(ids)), count, parts, "id")
+    assert len(conditions) <= parts
+
+    def meets(condition, id):
+        return eval(condition.replace(" OR id IS NULL", "").replace("AND", "and").replace(" = ", " == "), {"id": id})
+
+    assert all(sum(bool(meets(one, id)) for one in conditions) == 1 for id in ids)
+
+
+def test_ranges_are_kept_for_some_batches():
+    session = reading(list(range(100)))
+    source = tables.Favourites(session, TABLE, refresh=3)
+    asked = []
+    for _ in range(4):
+        source()
+        asked.append(len(session.read.asked))
+    assert asked[0] == asked[1] == asked[2] < asked[3]
 
 
 def notifications(spark):

@@ -1,20 +1,24 @@
 """The streaming job: same result as the batch, freshness, faults, replay."""
 
 import logging
+import os
+import signal
+import threading
 import time
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
-from samples import bag, messages, payload
+from samples import bag, messages, payload, plan_of
 
 from tidings.operators import to_messages, to_notifications, with_feedback
 from tidings.plans import Limits, notify
 from tidings.sinks import files
 from tidings.sinks.console import tap
 from tidings.sources import file_campaign_stream, star_schema
-from tidings.streaming import NotificationJob, ProgressLog
+from tidings.streaming import BatchCounts, NotificationJob, ProgressLog
+from tidings.streaming.drain import on_signal, run_until, uncommitted
 from __spark_entry__ import NOW
 
 ONCE = {"availableNow": True}
@@ -168,7 +172,7 @@ def test_dead_letters_stay_out_of_the_sinks(bench):
     bench.publish(payload(), *bad, payload(end=40))
     bench.run()
     assert bench.rows().count() == 1
-    letters = bench.spark.read.parquet(f"{bench.folder}/letters")
+    letters = files.read_letters(bench.spark, f"{bench.folder}/letters")
     assert {r.payload for r in letters.collect()} == set(bad)
 
 
@@ -268,7 +272,7 @@ def test_main(bench, spark, monkeypatch):
     replaced = {
         "session": lambda name, packages: spark,
         "campaign_stream": lambda spark, cfg: file_campaign_stream(spark, f"{bench.folder}/in"),
-        "favourites": lambda spark, cfg: spark.read.parquet(f"{bench.folder}/favourites"),
+        "Favourites": lambda spark, cfg: lambda: spark.read.parquet(f"{bench.folder}/favourites"),
         "append_once": lambda cfg: bench.sinks["table"],
         "topic_messages": lambda cfg: bench.sinks["messages"],
     }
@@ -276,7 +280,7 @@ def test_main(bench, spark, monkeypatch):
         monkeypatch.setattr(program, name, stand_in)
     program.main()
     assert bench.rows().count() == 1 and bench.sent().count() == 1
-    assert spark.read.parquet(f"{bench.folder}/letters").count() == 1
+    assert files.read_letters(spark, f"{bench.folder}/letters").count() == 1
     assert not spark.streams.active
 
 
@@ -362,9 +366,10 @@ def test_progress_log(bench, spark, caplog):
     bench.like(("a", "r1"), ("b", "r1"))
     bench.publish(payload(), "no json", payload(end=40))
     with caplog.at_level(logging.INFO, logger="tidings"):
-        job_sent = {}
-        listener = ProgressLog(job_sent)
+        job_sent = BatchCounts()
+        listener, other = ProgressLog(job_sent), ProgressLog(job_sent)
         spark.streams.addListener(listener)
+        spark.streams.addListener(other)
         try:
             job = NotificationJob(
                 favourites=lambda: spark.read.parquet(f"{bench.folder}/favourites"),
@@ -376,12 +381,172 @@ def test_progress_log(bench, spark, caplog):
             stream = file_campaign_stream(spark, f"{bench.folder}/in")
             job.start(stream, f"{bench.folder}/checkpoint", ONCE).awaitTermination()
             for _ in range(100):  # the listener hears of it a little later
-                if "rows in" in caplog.text:
+                if caplog.text.count("rows in") == 2:
                     break
                 time.sleep(0.1)
         finally:
             spark.streams.removeListener(listener)
+            spark.streams.removeListener(other)
     logged = [record.getMessage() for record in caplog.records]
-    (line,) = [text for text in logged if "batch 0:" in text and "rows in" in text]
+    line, same = [text for text in logged if "batch 0:" in text and "rows in" in text]
+    assert line == same
     assert "3 rows in" in line and "2 notifications out" in line
     assert "'messages': 3, 'incomplete': 1, 'active': 1" in line
+
+
+class Killed(files.FileSink):
+    """Dies between the rows and the commit, some times."""
+
+    def __init__(self, sink, times=1):
+        super().__init__(sink.path, sink.form, sink.columns)
+        self.times = times
+
+    def commit(self, spark, batch, attempt):
+        if self.times:
+            self.times -= 1
+            raise Fault("killed")
+        super().commit(spark, batch, attempt)
+
+
+@pytest.mark.parametrize("sink", ["table", "messages", "letters"])
+def test_readers_never_see_a_batch_that_was_not_committed(bench, spark, sink):
+    bench.like(("a", "r1"), ("b", "r1"))
+    bench.publish(payload(campaign="one"), "no json")
+    bench.run()
+    read = {"table": bench.rows, "messages": bench.sent, "letters": lambda: files.read_letters(spark, f"{bench.folder}/letters")}[sink]
+    before = bag(read())
+    bench.sinks[sink] = Killed(bench.sinks[sink], 2)
+    bench.publish(payload(campaign="two"), "{}")
+    for attempt in range(2):
+        with pytest.raises(StreamingQueryException):
+            bench.run()
+        assert bag(read()) == before  # the batch before is whole, the new one isn't shown
+        form = bench.sinks[sink].form
+        if form == "parquet":
+            assert files.leftovers(spark, f"{bench.folder}/{sink}").count() == attempt + 1
+    bench.run()
+    assert bag(bench.rows().select("adv_campaign_id", "client_id")) == {(c, u): 1 for c in ("one", "two") for u in "ab"}
+    assert bag(bench.sent()) == bag(to_messages(bench.rows()))
+    assert files.read_letters(spark, f"{bench.folder}/letters").count() == 2
+
+
+def test_half_written_attempts_are_not_read(bench, spark):
+    """Not even while a repeat of the batch is under way: the rows that are shown stay."""
+    bench.like(("a", "r1"))
+    bench.publish(payload(campaign="one"))
+    bench.run()
+    (place,) = spark.read.schema(files.PLACE).parquet(f"{bench.folder}/table/data").collect()
+    batch = files.Batch(place.query_id, place.batch_id)
+    sink = bench.sinks["table"]
+    bad = bench.rows().withColumn("client_id", F.lit("half"))
+    sink.draft(bad, batch)
+    assert [r.client_id for r in bench.rows().collect()] == ["a"]
+    sink(bad, batch)  # committed before: left alone
+    assert [r.client_id for r in bench.rows().collect()] == ["a"]
+    sink.commit(spark, batch, sink.draft(bad, batch))  # another driver's late commit
+    assert [r.client_id for r in bench.rows().collect()] == ["a"]
+    sink.commit(spark, files.Batch(place.query_id, 1), sink.draft(bad, files.Batch(place.query_id, 1)))
+    assert sorted(r.client_id for r in bench.rows().collect()) == ["a", "half"]
+
+
+def test_only_committed_folders_are_scanned(bench, spark):
+    bench.like(("a", "r1"))
+    for name in ("one", "two", "three"):
+        bench.publish(payload(campaign=name))
+        bench.run()
+    bench.sinks["table"].draft(bench.rows(), files.Batch("left-over", 0))
+    assert "dynamicpruning" in plan_of(bench.rows()).lower()
+    assert bench.rows().count() == 3
+
+
+def test_nothing_is_read_before_the_first_commit(spark, folder):
+    assert files.read_table(spark, f"{folder}/table").collect() == []
+    assert files.read_messages(spark, f"{folder}/messages").columns == ["value"]
+    assert files.leftovers(spark, f"{folder}/table").collect() == []
+
+
+def test_messages_of_a_repeated_batch_have_the_same_headers(bench):
+    """By a stand-in for the topic, which takes what it gets, repeats as well."""
+    topic = []
+
+    def send(df, batch):
+        topic.append(sorted((row.value, tuple((h.key, bytes(h.value).decode()) for h in row.headers)) for row in df.collect()))
+        if len(topic) == 1:
+            raise Fault("the broker took them, the answer was lost")
+
+    bench.sinks["messages"] = send
+    bench.like(("a", "r1"), ("b", "r1"))
+    bench.publish(payload(), payload())
+    with pytest.raises(StreamingQueryException):
+        bench.run()
+    bench.run()
+    assert topic[0] == topic[1] and len(topic[0]) == 4
+    assert len({headers for _, headers in topic[0]}) == 4  # equal texts are told apart
+    assert {headers[1] for _, headers in topic[0]} == {("client_id", "a"), ("client_id", "b")}
+    assert {headers[0][0] for _, headers in topic[0]} == {"message_id"}
+
+
+def test_counts_are_bounded_and_stay():
+    counts = BatchCounts(keep=3)
+    for batch in range(10):
+        counts[batch] = batch * batch
+        counts[batch] = batch
+    assert counts == {7: 7, 8: 8, 9: 9}
+    assert [counts.get(8), counts.get(8), counts.get(2)] == [8, 8, None]
+
+
+def test_signalled_job_leaves_no_batch_half_way(bench, spark):
+    """Signalled while a batch runs and more are waiting."""
+    bench.like(("a", "r1"))
+    for at in range(6):
+        bench.publish(payload(campaign=f"c{at}"))
+    write = bench.sinks["table"]
+    before = signal.getsignal(signal.SIGTERM)
+    asked = on_signal(signal.SIGTERM)
+
+    def slow(df, batch):
+        write(df, batch)
+        if batch.batch_id == 1:
+            os.kill(os.getpid(), signal.SIGTERM)
+            time.sleep(2)
+
+    bench.sinks["table"] = slow
+    checkpoint = f"{bench.folder}/checkpoint"
+    job = NotificationJob(favourites=bench.favourites, name=bench.name, now=50, **bench.sinks)
+    stream = file_campaign_stream(spark, f"{bench.folder}/in", 1)
+    try:
+        query = job.start(stream, checkpoint)
+        run_until(spark, asked, query, checkpoint, lambda trigger: job.start(stream, checkpoint, trigger))
+    finally:
+        signal.signal(signal.SIGTERM, before)
+    assert asked.is_set() and not spark.streams.active
+    assert not uncommitted(spark, checkpoint)
+    done = bench.rows().count()
+    assert 2 <= done <= 6 and bench.sent().count() == done
+    bench.run()
+    assert bench.rows().count() == 6 and bench.sent().count() == 6
+
+
+def test_batch_that_had_begun_is_finished(bench, spark):
+    """As when a stop comes too late: the batch's offsets are there, its commit isn't."""
+    bench.like(("a", "r1"))
+    bench.publish(payload())
+    bench.sinks["messages"], _ = failing(bench.sinks["messages"], "before")
+    with pytest.raises(StreamingQueryException):
+        bench.run()
+    checkpoint = f"{bench.folder}/checkpoint"
+    assert uncommitted(spark, checkpoint)
+    asked = threading.Event()
+    asked.set()
+
+    class Stopped:
+        isActive = False
+
+        def stop(self):
+            pass
+
+    stream = file_campaign_stream(spark, f"{bench.folder}/in", 1)
+    job = NotificationJob(favourites=bench.favourites, name=bench.name, now=50, **bench.sinks)
+    run_until(spark, asked, Stopped(), checkpoint, lambda trigger: job.start(stream, checkpoint, trigger))
+    assert not uncommitted(spark, checkpoint)
+    assert bench.sent().count() == 1
