@@ -1,0 +1,97 @@
+"""The audit of filters against running every order."""
+
+import re
+from collections import Counter
+from itertools import permutations
+
+import pytest
+
+from tidings.llm import audit
+from tidings.plans import Workspace
+
+PROSE = " ".join(f"word{at}" for at in range(220))
+ROWS = [
+    (1, PROSE, "en"), (2, PROSE, "de"), (3, PROSE, "en"), (3, PROSE, "fr"), (4, "short text", "en"), (5, "short text", None), (6, "", "en"), (7, None, "en"),
+    (8, "same " * 300, "de"), (9, "SHOUT " * 250, "de"), (10, PROSE + " cost $5", "fr"), (11, PROSE.upper(), "en"), (12, "a|b\x0bc\x0cd", ""), (13, "ÉÉÉ  ", "en"),
+    (None, PROSE, "en"), (None, "short text", None), (14, "word " * 100_000, "en"), (15, "# " + PROSE, "en"), (15, "# " + PROSE, "en"), (16, "Ab " * 210, "fr"),
+]
+LABELS = [(1, 1, 0), (2, 1, 1), (3, 0, 1), (3, 1, 0), (4, None, None), (5, 0, 1), (9, 1, 1), (11, 1, 0), (15, 0, 1), (99, 1, 1), (None, 1, 1)]
+
+
+def failed(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return {
+        "A": len(words) < 200,
+        "B": 100 * len(set(words)) < 50 * len(words),
+        "C": 100 * len(re.findall("[A-Z]", text)) > 3 * len(text),
+        "D": bool(re.search(r"[#$%&*|]", text)),
+    }
+
+
+def brute(rows, labels):
+    """Each order run over the documents, one filter after another."""
+    good = {one for one, quality, _ in labels if one is not None and quality == 1}
+    toxic = {one for one, _, bad in labels if one is not None and bad == 1}
+    docs = []
+    for one, text, lang in rows:
+        fails = {letter for letter, fail in failed(text or "").items() if fail}
+        if one is not None and any(other is not None and other < one and (same or "") == (text or "") for other, same, _ in rows):
+            fails.add("E")
+        docs.append((one, lang or "", fails))
+    found, shapley = [], Counter()
+    for part in {part for _, part, _ in docs}:
+        for order in permutations("ABCDE"):
+            left = [doc for doc in docs if doc[1] == part]
+            gone = []
+            for step, letter in enumerate(order, 1):
+                removed = [doc for doc in left if letter in doc[2]]
+                redundant = sum(letter in doc[2] for doc in gone)
+                left = [doc for doc in left if letter not in doc[2]]
+                gone += removed
+                shapley[part, letter] += len(removed)
+                alone = sum(doc[2] == {letter} for doc in docs if doc[1] == part)
+                lost = [sum(doc[0] in ids for doc in removed) for ids in (good, toxic)]
+                found.append((part, "".join(order), step, len(left), len(removed), redundant, alone, *lost))
+    return sorted((*row, shapley[row[0], row[1][row[2] - 1]]) for row in found)
+
+
+def frames(spark, rows=ROWS):
+    data = [(one, text, lang, 1, 2, "p") for one, text, lang in rows]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, mask int, good int, part string").repartition(3)
+    return docs, spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+
+
+def test_audit_agrees_with_running_every_order(spark):
+    found = audit.audit_documents(*frames(spark))
+    assert found.columns == ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    assert sorted(map(tuple, found.collect())) == brute(ROWS, LABELS)
+
+
+def test_audit_without_rows_and_labels(spark):
+    docs, labels = frames(spark)
+    assert audit.audit_documents(docs.limit(0), labels).collect() == []
+    found = audit.audit_documents(docs, labels.limit(0)).collect()
+    assert sorted(map(tuple, found)) == brute(ROWS, [])
+
+
+@pytest.mark.parametrize("size", range(1, 6))
+def test_paths_are_counted(size):
+    reaching, leaving = audit.path_counts(size)
+    orders = list(permutations(range(size)))
+    for state in range(1 << size):
+        inside = [one for one in range(size) if state >> one & 1]
+        through = sum(set(order[: len(inside)]) == set(inside) for order in orders)
+        assert reaching[state] * leaving[state] == through
+    assert reaching[-1] == leaving[0] == len(orders)
+
+
+def test_other_filters_can_be_audited(spark):
+    """Two filters without the one for copies; Shapley sums add up to what all remove, in all orders."""
+    docs, labels = frames(spark)
+    own = dict(list(audit.failures().items())[:2])
+    sets = audit.failed_sets(docs, labels, Workspace(spark), own).where("mask < 4")
+    found = audit.audit(sets, "AB").where("filter_order = 'AB'").collect()
+    total = sum(row.documents for row in sets.where("mask > 0 AND part = 'p'").collect())
+    assert sum(row.shapley for row in found) == 2 * total
+    with pytest.raises(ValueError, match="1 to 8"):
+        audit.audit(sets, "ABCDEFGHI")
