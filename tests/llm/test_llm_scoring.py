@@ -1,0 +1,156 @@
+"""Scores of the language model against brute force."""
+
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from brute import split
+
+from tidings.llm import scoring
+from tidings.plans import Workspace
+
+MU = scoring.MU
+
+
+def training(rows):
+    return [text for one, text in rows if one is not None and one % 3]
+
+
+class Brute:
+    """The model with exact pairs: no filter, no segments, no head."""
+
+    def __init__(self, texts):
+        told = [[None, *split(text), ""] for text in texts]  # None begins a text, "" ends it
+        self.words = Counter(word for tokens in told for word in tokens[1:])
+        self.pairs = Counter(pair for tokens in told for pair in zip(tokens, tokens[1:]))
+        self.total, self.kinds, self.texts = sum(self.words.values()), len(self.words), len(told)
+
+    def count(self, word):
+        return self.texts if word is None else self.words[word]
+
+    def probability(self, v, w, least=None):
+        if least is None:
+            seen = self.pairs[v, w]
+            least = scoring.level_least()[scoring.levels(np.array([seen]))[0]] if seen else 0
+        steps = math.ceil(-math.log10((self.words[w] + 1) / (self.total + self.kinds + 1)) * scoring.STEPS - 1e-6)
+        return (least + MU * 10 ** (-steps / scoring.STEPS)) / (self.count(v) + MU)
+
+    def scored(self, text):
+        tokens = [None, *split(text), ""]
+        base = sum(times * math.log10((self.words[w] + 1) / (self.total + self.kinds + 1)) for w, times in Counter(tokens[1:]).items())
+        score = sum(times * math.log10(self.probability(v, w)) for (v, w), times in Counter(zip(tokens, tokens[1:])).items())
+        return len(tokens) - 1, sum(self.words[w] > 0 for w in tokens[1:]), self.total, base, score
+
+
+def rows_of(found):
+    return [(row.doc_id, (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score)) for row in found.collect()]
+
+
+@pytest.mark.parametrize(("head", "bytes_"), [(1000, 40_000_000), (1000, 9_000), (5, 9_000), (0, 40_000_000)])
+def test_scores_agree_with_brute_force(spark, docs, rows, monkeypatch, head, bytes_):
+    """Rare, novel and common words, whatever the head holds, in one segment or many."""
+    monkeypatch.setattr(scoring, "SEGMENT_BYTES", bytes_)
+    brute = Brute(training(rows))
+    asked = [*rows, (200, "never w1 seen w2 before"), (201, "one two never"), (202, "never"), (203, "w1 w2 " * 300)]
+    table = spark.createDataFrame([(*one, 1, 2) for one in asked], "doc_id long, text string, score int, chunk int").repartition(3)
+    found = rows_of(scoring.score(table, docs.where("doc_id % 3 <> 0"), head=head))
+    expected = Counter()
+    other = []
+    for one, text in asked:
+        expected[one, brute.scored(text)[:3]] += 1
+        other.append((one, *brute.scored(text)[3:]))
+    assert Counter((one, row[:3]) for one, row in found) == expected
+    exact = 0
+    for (one, row), (_, base, score) in zip(sorted(found, key=lambda x: (repr(x[0]), x[1])), sorted(other, key=lambda x: (repr(x[0]), brute.total))):
+        assert row[3] == pytest.approx(base, rel=1e-9)
+        assert row[4] < 0
+        # An error of the filter, one in a thousand unseen pairs, raises a score a little.
+        assert row[4] == pytest.approx(score, rel=0.02)
+        exact += row[4] == pytest.approx(score, rel=1e-9)
+    assert exact >= 0.8 * len(found)
+
+
+def test_score_does_not_depend_on_segments_or_chunks(spark, docs, monkeypatch):
+    train = docs.where("doc_id % 3 <> 0")
+    whole = dict(rows_of(scoring.score(docs.where("doc_id < 60"), train)))
+    monkeypatch.setattr(scoring, "SEGMENT_BYTES", 3_000)
+    for one, row in rows_of(scoring.score(docs.where("doc_id < 60").repartition(7), train.repartition(5))):
+        assert row == pytest.approx(whole[one], rel=0.02)
+
+
+def test_no_probability_exceeds_one(spark):
+    """A text that is nothing but what was learnt 39 times, and 1,000 times."""
+    for copies in (39, 1000):
+        text = "x alpha beta gamma"
+        train = spark.createDataFrame([(at, text) for at in range(copies)], "doc_id long, text string")
+        (row,) = scoring.score(train.limit(1), train).collect()
+        assert -1 < row.score < 0
+
+
+def test_probabilities_of_a_context_sum_to_at_most_one(spark, docs, rows):
+    """Over all words that may follow and one for all the others, by the filter that was built."""
+    brute = Brute(training(rows))
+    statistics = scoring.count(docs.where("doc_id % 3 <> 0"), Workspace(spark))
+    (held,) = statistics.table.where("kind = 1").collect()
+    filter_, least = np.frombuffer(held["at"], np.uint8), scoring.level_least()
+    numbers = {word: (scoring.START if word is None else scoring.END if word == "" else scoring.words(pa.array([word])).values[0]) for word in [None, *brute.words]}
+    every = np.array([numbers[word] for word in brute.words], np.uint64)
+    assert statistics.head.tokens == brute.total and statistics.head.words == brute.kinds and statistics.head.texts == brute.texts
+    over = []
+    for v in [None, *brute.words]:
+        if v == "":
+            continue
+        level = scoring.probe(filter_, scoring.pairs(np.full(len(every), numbers[v], np.uint64), every) & scoring.LOW)
+        total = sum(brute.probability(v, w, least[at]) for w, at in zip(brute.words, level))
+        exact = sum(brute.probability(v, w) for w in brute.words) + 10 ** -(math.log10(brute.total + brute.kinds + 1))
+        assert exact <= 1 + 1e-9
+        assert all(0 < brute.probability(v, w, least[at]) <= 1 for w, at in zip(brute.words, level))
+        for w, at in zip(brute.words, level):
+            if brute.pairs[v, w]:  # seen pairs are never held for rarer than they are, nor for much more common
+                assert at >= scoring.levels(np.array([brute.pairs[v, w]]))[0]
+        over.append(total - exact)
+    # What the filter adds by its errors: about one in a thousand pairs that weren't seen.
+    errors = sum(over) * MU / (len(brute.words) * len(over))
+    assert errors < 0.01
+
+
+def test_very_long_text_is_read_in_windows(spark, docs, rows):
+    """Five million bytes in one row: the words at the seams have their neighbours."""
+    text = "w1 w2 w3 other w7 " * 280_000
+    brute = Brute([*training(rows), text])
+    table = spark.createDataFrame([(1, text), (2, "w1 w2"), (4, None)], "doc_id long, text string")
+    train = docs.where("doc_id % 3 <> 0").select("doc_id", "text").unionByName(table.where("doc_id = 1"))
+    found = dict(rows_of(scoring.score(table, train)))
+    for one, wanted in ((1, text), (2, "w1 w2"), (4, None)):
+        assert found[one] == pytest.approx(brute.scored(wanted), rel=1e-6)
+    found = dict(rows_of(scoring.score(table, train, head=3)))
+    assert found[1] == pytest.approx(brute.scored(text), rel=1e-6)
+
+
+def test_filter_gives_levels_back():
+    values = np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = 1 + np.arange(len(values)) % 90
+    filter_ = scoring.build_filter(values, counts)
+    assert (scoring.probe(filter_, values) >= scoring.levels(counts)).all()
+    assert (scoring.probe(filter_, values) == scoring.levels(counts)).mean() > 0.99
+    assert (scoring.probe(filter_, values + np.uint64(12345)) > 0).mean() < 0.01
+    every = np.arange(1, 100_000)
+    assert (scoring.level_least()[scoring.levels(every)] <= every).all()
+    assert (scoring.levels(scoring.level_least()[1:60].astype(np.int64)) >= np.arange(1, 60) - 1).all()
+
+
+def test_packed_keys_and_counts_come_back():
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
+    assert (scoring._wide(scoring._narrow(keys).tobytes()) == keys & scoring.LOW).all()
+    for counts in (np.array([1, 255]), np.array([1, 256]), np.array([2**32 - 1])):
+        assert (scoring._counts(scoring._few(counts).tobytes(), len(counts)) == counts).all()
+
+
+def test_scores_without_training(docs):
+    nothing = docs.limit(0)
+    assert {row.n_known for row in scoring.score(docs, nothing).collect()} == {0}
+    for row in scoring.score(docs, nothing).collect():
+        assert row.base_score == 0 and row.train_tokens == 0
+    assert scoring.score(nothing, docs).collect() == []

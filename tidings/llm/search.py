@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidings.llm.words import MARKS, SLICE_BYTES, slices, texts, words
+from tidings.llm.words import MARKS, SLICE_BYTES, slices, texts, windows, words
 from tidings.plans import Workspace
 
 #: Share of m, in percent, that follows the document's length.
@@ -47,20 +47,6 @@ RANKED = "item int, doc_id long, score long"
 PARTS = 64
 
 
-def windows(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """Each row's number with stretches of its text that end where terms end."""
-    data, ends = texts(column)
-    for row in range(len(column)):
-        at, end = int(ends[row]), int(ends[row + 1])
-        while at < end:
-            to = min(at + limit, end)
-            while to < end and not MARKS[data[to]]:
-                step = np.flatnonzero(MARKS[data[to : min(to + limit, end)]])
-                to = to + int(step[0]) if len(step) else min(to + limit, end)
-            yield row, pa.array([data[at:to].tobytes()], pa.large_binary()).cast(pa.large_string())
-            at = to
-
-
 class Sizes(NamedTuple):
     """What a task holds; results don't depend on it."""
 
@@ -84,7 +70,7 @@ def count(column: pa.Array, known: np.ndarray) -> Counted:
     n = np.zeros(len(column), np.int64)
     owners, values = [], []
     if len(ends) and ends[-1] > 2 * SLICE_BYTES:
-        found = ((np.full(1, row), words(part, MARKS)) for row, part in windows(column))
+        found = ((np.full(1, row), words(part, MARKS)) for row, part in windows(column, MARKS))
     else:
         found = iter([(np.arange(len(column)), words(column, MARKS))])
     for rows, some in found:
@@ -352,7 +338,7 @@ def _blocks(items: DataFrame, block_terms: int) -> Iterator[list[tuple[int | Non
     terms: set[int] = set()
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     for row in rows.where("text IS NOT NULL").toLocalIterator():
-        own = [np.unique(words(part, MARKS).values) for _, part in windows(pa.array([row.text], pa.string()))]
+        own = [np.unique(words(part, MARKS).values) for _, part in windows(pa.array([row.text], pa.string()), MARKS)]
         own = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
         if block and len(terms.union(own.tolist())) > block_terms:
             yield block

@@ -97,6 +97,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
+def windows(column: pa.Array, between: np.ndarray = _SPACE, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Each row's number with stretches of its text that end where words end."""
+    data, ends = texts(column)
+    for row in range(len(column)):
+        at, end = int(ends[row]), int(ends[row + 1])
+        while at < end:
+            to = min(at + limit, end)
+            while to < end and not between[data[to]]:
+                step = np.flatnonzero(between[data[to : min(to + limit, end)]])
+                to = to + int(step[0]) if len(step) else min(to + limit, end)
+            yield row, pa.array([data[at:to].tobytes()], pa.large_binary()).cast(pa.large_string())
+            at = to
+
+
 def words(column: pa.Array, between: np.ndarray = _SPACE) -> Words:
     """The words of each text; ``between`` marks the bytes that part them."""
     data, ends = texts(column)
