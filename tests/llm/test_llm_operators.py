@@ -1,7 +1,6 @@
 """The operators against brute force on a small table, and on no rows at all."""
 
 import hashlib
-import math
 from collections import Counter
 
 import numpy as np
@@ -16,7 +15,6 @@ from tidings.llm import (
     licences,
     near,
     packing,
-    scoring,
     token_files,
     toxicity,
     urls,
@@ -133,86 +131,6 @@ def test_fingerprints_estimate_generalised_jaccard(spark):
     assert abs(found[0].near_next - exact) < 0.09
 
 
-@pytest.mark.parametrize("head", [5, 1000])
-def test_scores_agree_with_brute_force(spark, docs, rows, head):
-    train = docs.where("doc_id % 3 <> 0")
-    texts = [text for one, text in rows if one is not None and one % 3]
-    counts = Counter(word for text in texts for word in [*split(text), None])
-    total, kinds = sum(counts.values()), len(counts)
-    found = scoring.score(docs, train, head=head).collect()
-    told = {}
-    for one, text in rows:
-        tokens = [*split(text), None]
-        base = sum(math.log10((counts[word] + 1) / (total + kinds + 1)) for word in tokens)
-        told.setdefault(one, (len(tokens), sum(counts[word] > 0 for word in tokens), total, base))
-    assert len(found) == len(rows)
-    for row in found:
-        size, known, tokens, base = told[row.doc_id]
-        assert (row.n_tokens, row.n_known, row.train_tokens) == (size, known, tokens)
-        assert row.base_score == pytest.approx(base)
-        assert row.score < 0
-
-
-def test_scores_do_not_depend_on_passes(spark, docs, monkeypatch):
-    """Two segments, in one pass and in a pass each."""
-    monkeypatch.setattr(scoring, "SEGMENT_BYTES", 40_000)
-    few = docs.where("doc_id < 60")
-    once = {row.doc_id: row.score for row in scoring.score(few, docs).collect()}
-    for row in scoring.score(few, docs, group_mb=0).collect():
-        assert row.score == pytest.approx(once[row.doc_id], rel=0.05)
-
-
-@pytest.mark.parametrize("head, group_mb", [(1000, 64), (5, 64), (5, 0)])
-def test_score_agrees_with_uncapped_brute_force(spark, docs, rows, monkeypatch, head, group_mb):
-    """Rare, novel and common words, whatever the head holds and in one pass or several."""
-    monkeypatch.setattr(scoring, "MUS", np.array([4.0]))
-    monkeypatch.setattr(scoring, "SEGMENT_BYTES", 40_000)
-    texts = [text for one, text in rows if one is not None and one % 3]
-    told = [[None, *split(text), None] for text in texts]
-    words = Counter(word for tokens in told for word in tokens[1:])
-    following = Counter(pair for tokens in told for pair in zip(tokens, tokens[1:]))
-    means, whole = scoring.level_means(), sum(words.values()) + len(words) + 1
-    asked = [*rows, (200, "never w1 seen w2 before"), (201, "one two never"), (202, "never")]
-    expected = {}
-    for one, text in asked:
-        tokens = [None, *split(text), None]
-        total = 0.0
-        for v, w in zip(tokens, tokens[1:]):
-            held = means[scoring.levels(np.array([following[v, w]]))[0]] if following[v, w] else 0
-            share = (words[w] + 1) / whole
-            total += math.log10((held + 4 * share) / (words[v] + 4))
-        expected[one] = total
-    table = spark.createDataFrame(asked, "doc_id long, text string").repartition(3)
-    found = scoring.score(table, docs.where("doc_id % 3 <> 0"), head=head, group_mb=group_mb).collect()
-    assert len(found) == len(asked)
-    for row in found:
-        # The filter's false positives raise a pair's level now and then.
-        assert row.score == pytest.approx(expected[row.doc_id], rel=0.03), row.doc_id
-
-
-def test_score_does_not_depend_on_head(spark, docs):
-    """Also with the smoothing chosen from the data."""
-    few = docs.where("doc_id < 60").unionByName(docs.limit(1).selectExpr("300L AS doc_id", "'never seen w1 here' AS text", "lang", "source", "n_chars", "score", "`a b`", "key"))
-    train = docs.where("doc_id % 3 <> 0")
-    whole = {row.doc_id: row.score for row in scoring.score(few, train).collect()}
-    for row in scoring.score(few, train, head=5).collect():
-        assert row.score == pytest.approx(whole[row.doc_id], rel=1e-9)
-
-
-def test_filter_gives_levels_back():
-    values = np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = 1 + np.arange(len(values)) % 90
-    filter_ = scoring.build_filter(values, counts)
-    assert (scoring.probe(filter_, values) >= scoring.levels(counts)).all()
-    assert (scoring.probe(filter_, values) == scoring.levels(counts)).mean() > 0.97
-    assert (scoring.probe(filter_, values + np.uint64(12345)) > 0).mean() < 0.05
-
-
-def test_scores_without_training(docs, no_docs):
-    assert {row.n_known for row in scoring.score(docs, no_docs).collect()} == {0}
-    assert scoring.score(no_docs, docs).collect() == []
-
-
 @pytest.mark.parametrize("long, pivots", [(128, 128), (6, 8)])
 def test_near_duplicates_agree_with_brute_force(docs, rows, no_docs, monkeypatch, long, pivots):
     """Also with lists cut so short that the rounds over long lists do the work."""
@@ -405,3 +323,48 @@ def test_licences_sentences_that_are_lines_come_once(spark):
     texts = [(1, "One line.\nReleased under the MIT License.\nThe end."), (2, "Released under\nthe MIT License.\n\nA longer end of many words that match nothing at all.")]
     found = licences.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert sorted((row.doc_id, row.kind) for row in found if row.licence == "MIT") == [(1, "line"), (2, "paragraph")]
+
+
+def test_licences_best_and_identifier(spark):
+    """One notice resembles several wordings; one row says which licence it is."""
+    texts = {
+        1: (licences.TEMPLATES["GPL-3.0-long"], "GPL-3.0"),
+        2: (licences.TEMPLATES["AGPL-3.0-grant"], "AGPL-3.0"),
+        3: ("Released under the MIT License.", "MIT"),
+        4: ("This work is licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+    }
+    found = licences.scan(spark.createDataFrame([(at, text) for at, (text, _) in texts.items()], "doc_id long, text string")).collect()
+    best = {row.doc_id: row for row in found if row.best}
+    assert {at: row.identifier for at, row in best.items()} == {at: name for at, (_, name) in texts.items()}
+    assert sum(row.best for row in found) == len({(row.doc_id, row.kind, row.place) for row in found})
+    assert len(found) > len(best)
+    for row in found:
+        assert row.dice <= best[row.doc_id].dice
+    same = {"B-one": "alpha beta gamma", "A-two": "alpha beta gamma", "C-three": "alpha beta gamma delta"}
+    tied = licences.scan(spark.createDataFrame([(1, "alpha beta gamma")], "doc_id long, text string"), same, 0.5).collect()
+    assert {(row.licence, row.identifier, row.best) for row in tied} == {("A-two", "A-two", True), ("B-one", "B-one", False), ("C-three", "C-three", False)}
+    assert licences.identifier("BSD-3-Clause-names") == "BSD-3-Clause" and licences.identifier("BSD-source") == "BSD"
+    assert {licences.identifier(name) for name in licences.TEMPLATES} <= set(licences.IDENTIFIERS)
+
+
+def test_licences_sql_knows_every_kind_of_unit(spark, tmp_path):
+    """Lines, paragraphs, sentences and texts, at the ends of lines, paragraphs and texts."""
+    import duckdb
+
+    from tidings.llm import queries
+
+    notice, split = "Released under the MIT License.", "Released under\nthe MIT License."
+    shapes = [
+        notice, f"{notice}\n", f"\n\n\n{notice}", f"One. {notice} Two.", f"One. {notice}\nTwo.", f"One.\n{notice}\nTwo.", f"One. {split} Two.", f"{split}\n", f"{split}\nMore words here.", f"So!  {notice}  \n  And?",
+        f"({notice}) And. \"{notice}\" So.", f"a\n\n{split}\n\nb. {split}", f"a \n \t\n\n{notice} b", f"x. {notice}\r\ny. {split}\r\rz", "", " \n ", "Licensed under\n CC BY 4.0. Or not. Licensed\nunder CC BY 4.0.\n", MIT, BSD, GPL, APACHE, f"{MIT}\n\n{notice} {notice}",
+    ]
+    docs = spark.createDataFrame([*enumerate(shapes), (100, None)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents")
+    with duckdb.connect() as database:
+        database.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents/*.parquet'")
+        relation = database.sql(queries.oracle_sql()["op10_licences"])
+        columns = relation.columns
+        expected = sorted(relation.fetchall())
+    found = licences.scan(docs).select(*columns).collect()
+    assert sorted(map(tuple, found)) == expected
+    assert {row.kind for row in found} == {"line", "paragraph", "sentence", "text"}

@@ -285,6 +285,14 @@ CREATIVE_COMMONS = {
     "-NC-ND": "Attribution-NonCommercial-NoDerivatives",
 }
 
+#: Identifiers of licences, with which the wordings' names begin.
+IDENTIFIERS = [
+    "AGPL-3.0", "Apache-2.0", "BSD", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0",
+    "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1",
+    "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+]
+
+
 def wordings() -> dict[str, str]:
     """Template by name: the licence and what of it the wording is."""
     found = dict(TEXTS)

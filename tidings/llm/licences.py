@@ -26,7 +26,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.licence_texts import wordings
+from tidings.llm.licence_texts import IDENTIFIERS, wordings
 
 #: Short notices as licences' own texts and the customary source headers give them.
 TEMPLATES = {
@@ -60,6 +60,11 @@ _known = {tuple(_pairs_of(text)) for text in TEMPLATES.values()}
 TEMPLATES |= {name: text for name, text in wordings().items() if tuple(_pairs_of(text)) not in _known}
 
 
+def identifier(name: str) -> str:
+    """The licence that a wording is of: the longest identifier that its name begins with, or else the name."""
+    return max((one for one in IDENTIFIERS if name == one or name.startswith(f"{one}-")), key=len, default=name)
+
+
 def _words(unit: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " "))
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
@@ -112,7 +117,8 @@ def _sentences() -> Column:
         own = several & ((F.locate("\u0001", part) > 0) | (F.locate("\n", F.trim(part)) > 0))
         return F.transform(F.split(part, "\u0001"), lambda one: F.struct(one.alias("unit"), own.alias("own")))
 
-    every = F.flatten(F.transform(F.split(marked, "\n[ \t]*\n"), of))
+    trimmed = lambda paragraph: F.regexp_replace(paragraph, "^[ \t\n\u0002]+|[ \t\n\u0002]+$", "")
+    every = F.flatten(F.transform(F.transform(F.split(marked, "\n[ \t]*\n"), trimmed), of))
     placed = F.transform(
         every,
         lambda one, at: F.struct(F.lit("sentence").alias("kind"), at.alias("place"), one["unit"].alias("unit"), F.when(one["own"], 2).otherwise(0).alias("lines")),
@@ -121,7 +127,11 @@ def _sentences() -> Column:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
-    """doc_id, kind (line, paragraph, sentence, text), place, licence, dice of every match.
+    """doc_id, kind (line, paragraph, sentence, text), place, licence, dice, identifier, best of every match.
+
+    ``licence`` names the wording and ``identifier`` the licence that it is of. Wordings of related licences
+    resemble each other, so a unit may match several; ``best`` marks one row of each unit: that
+    with the highest dice, of these that with the most pairs, of these the first by name.
 
     ``place`` counts lines, paragraphs or sentences from 0. Templates are part of the plan, meant for up to
     some hundred. Bounds on the sizes: a unit of n pairs can reach t with a template
@@ -159,8 +169,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     )
     sized = worded.select("doc_id", "kind", "place", _once(pairs).alias("pairs")).withColumn("n", F.size("pairs"))
     sized = sized.where(F.col("n").between(fewest, largest))
-    rows_of = [{"licence": name, "wanted": wanted, "m": len(wanted)} for name, wanted in sorted(known.items())]
-    every = F.from_json(F.lit(json.dumps(rows_of)), "array<struct<licence:string,wanted:array<string>,m:int>>")
+    rows_of = [{"licence": name, "wanted": wanted, "m": len(wanted), "identifier": identifier(name)} for name, wanted in sorted(known.items())]
+    every = F.from_json(F.lit(json.dumps(rows_of)), "array<struct<licence:string,wanted:array<string>,m:int,identifier:string>>")
 
     def near(one: Column) -> Column:
         low, high = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -168,7 +178,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     def dice(one: Column) -> Column:
         common = F.size(F.array_intersect("pairs", one["wanted"]))
-        return F.struct(one["licence"].alias("licence"), (2.0 * common / (F.col("n") + one["m"])).alias("dice"))
+        return F.struct(one["licence"].alias("licence"), (2.0 * common / (F.col("n") + one["m"])).alias("dice"), one["m"].alias("m"), one["identifier"].alias("identifier"))
 
-    found = sized.select("doc_id", "kind", F.col("place").cast("long").alias("place"), F.explode(F.transform(F.filter(every, near), dice)).alias("m"))
-    return found.select("doc_id", "kind", "place", "m.licence", "m.dice").where(F.col("dice") >= threshold)
+    matches = F.filter(F.transform(F.filter(every, near), dice), lambda one: one["dice"] >= threshold)
+    units = sized.select("doc_id", "kind", F.col("place").cast("long").alias("place"), _once(matches).alias("matches")).where(F.size("matches") > 0)
+    first = F.array_min(F.transform("matches", lambda one: F.struct((-one["dice"]).alias("dice"), (-one["m"]).alias("m"), one["licence"].alias("licence"))))
+    found = units.select("doc_id", "kind", "place", F.explode("matches").alias("one"), first.alias("first"))
+    return found.select("doc_id", "kind", "place", "one.licence", "one.dice", "one.identifier", (F.col("one.licence") == F.col("first.licence")).alias("best"))

@@ -228,14 +228,32 @@ def _licences_sql() -> str:
         for name, text in licences.TEMPLATES.items()
         if (pairs := licences._pairs_of(text))
     ]
-    rows = ", ".join(f"('{name}', ['{"', '".join(pairs)}'])" for name, pairs in known)
+    rows = ", ".join(f"('{name}', '{licences.identifier(name)}', ['{"', '".join(pairs)}'])" for name, pairs in known)
     unit = "SELECT doc_id, '{}' AS kind, unnest(range(len(u))) AS place, unnest(u) AS unit FROM (SELECT doc_id, string_split_regex(text, '{}') AS u FROM texts)"
     several = r"len(string_split_regex(trim(unit), '\n')) > 1"
     return rf"""
     WITH texts AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM documents WHERE text IS NOT NULL),
+    -- A sentence ends with . ! or ? before white space or with its paragraph: chr(2) where a line ends as well, else chr(1).
+    paragraphs AS (
+        SELECT doc_id, unnest(range(len(u))) AS paragraph, regexp_replace(unnest(u), '^[ \t\n]+|[ \t\n]+$', '', 'g') AS unit
+        FROM (SELECT doc_id, string_split_regex(translate(text, chr(1) || chr(2), '  '), '\n[ \t]*\n') AS u FROM texts)),
+    ended AS (
+        SELECT doc_id, paragraph,
+               string_split(regexp_replace(regexp_replace(unit, '([.!?][)"''\]]*)[ \t]*\n', '\1' || chr(2), 'g'),
+                                           '([.!?][)"''\]]*)[ \t]+', '\1' || chr(1), 'g'), chr(2)) AS runs FROM paragraphs),
+    runs AS (
+        SELECT doc_id, paragraph, unnest(range(len(runs))) AS run, string_split(unnest(runs), chr(1)) AS sentences,
+               len(runs) AS many FROM ended),
+    sentences AS (
+        SELECT doc_id, paragraph, run, unnest(range(len(sentences))) AS sentence, unnest(sentences) AS unit,
+               -- Not the whole paragraph, and not a line by itself.
+               (many > 1 OR len(sentences) > 1) AND (len(sentences) > 1 OR contains(sentences[1], chr(10))) AS own FROM runs),
+    numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph, run, sentence) - 1 AS place FROM sentences),
     units AS (
         {unit.format("line", r"\n")}
         UNION ALL SELECT * FROM ({unit.format("paragraph", r"\n[ \t]*\n")}) WHERE {several}
+        UNION ALL SELECT doc_id, 'sentence', place, unit FROM numbered WHERE own
         UNION ALL SELECT doc_id, 'text', 0, text FROM texts WHERE len(string_split_regex(trim(text), '\n[ \t]*\n')) > 1),
     worded AS (
         SELECT doc_id, kind, place, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
@@ -243,12 +261,14 @@ def _licences_sql() -> str:
         SELECT doc_id, kind, place,
                list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs
         FROM worded WHERE len(w) > 1),
-    templates(licence, wanted) AS (VALUES {rows})
-    SELECT * FROM (
-        SELECT doc_id, kind, place, licence,
+    templates(licence, identifier, wanted) AS (VALUES {rows}),
+    matched AS (
+        SELECT doc_id, kind, place, licence, identifier, len(wanted) AS m,
                2.0::DOUBLE * len(list_intersect(pairs, wanted)) / (len(pairs) + len(wanted)) AS dice
         FROM paired, templates WHERE len(pairs) BETWEEN len(wanted) / 3 AND 3 * len(wanted))
-    WHERE dice >= 0.8"""
+    SELECT doc_id, kind, place, licence, identifier, dice,
+           row_number() OVER (PARTITION BY doc_id, kind, place ORDER BY dice DESC, m DESC, licence) = 1 AS best
+    FROM matched WHERE dice >= 0.8"""
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
