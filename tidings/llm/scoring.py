@@ -11,7 +11,7 @@ pair's probability is smoothed towards the word's: (least(v, w) + mu * p(w)) / (
 mu a documented constant and p(w) = (count(w) + 1) / (N + V + 1) rounded down to a step of 1/4096 of a
 decade. Counts of single words are exact, 0 for words that training lacks. So no probability exceeds 1, and
 the probabilities of what may follow a word sum to at most 1, but for the filter's errors: of the pairs that
-weren't seen, of words that were, it takes one in 1,000 for one that was seen once.
+weren't seen, of words that were, it takes one in 500 for one that was seen once.
 
 Scoring. One pass over the texts, whatever the size of the model. A task takes texts up to a million
 tokens, adds up what follows from words alone, and sends the pairs to the segments, a row for each segment:
@@ -42,8 +42,8 @@ from tidings.plans import Workspace
 
 END, START = numbers(2, 91)
 BASE = 1.5
-#: Bits of a filter for each level of a pair, and probes: an error in 2 ** -10.
-BITS, PROBES = 14, 10
+#: Bits that a level of a pair sets, all in one block of 128, and bits of a filter for each: an error in 500.
+BITS, ROOM = 8, 16
 #: What a word's own probability weighs against the pairs that follow the word before it.
 MU = 16.0
 #: Steps of a decade in which words' probabilities are held.
@@ -180,13 +180,15 @@ def _count(segments: int):
     return run
 
 
-def _spots(values: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
-    """The places of a value and level in a filter of ``size`` bits."""
+def _spots(values: np.ndarray, level: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each value and the level its block, and the bits that it sets in the block's two words."""
     with np.errstate(over="ignore"):
         one = mix(values + np.uint64(level) * np.uint64(0xC2B2AE3D27D4EB4F))
-        step = mix(one) | np.uint64(1)
-        for probe in range(PROBES):
-            yield ((one + np.uint64(probe) * step) >> np.uint64(20)) % np.uint64(size)
+    chosen = mix(one)
+    words = [np.zeros(len(values), np.uint64) for _ in range(2)]
+    for at in range(BITS):
+        words[at % 2] |= np.uint64(1) << ((chosen >> np.uint64(6 * at)) & np.uint64(63))
+    return ((one >> np.uint64(16)) % np.uint64(blocks)).astype(np.int64), *words
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -200,29 +202,26 @@ def level_least() -> np.ndarray:
 
 
 def build_filter(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The filter's bytes: a bit array with room for every value and level."""
+    """Blocks of two words, with room for every value and level."""
     of = levels(counts)
-    size = max(64, int(of.sum()) * BITS)
-    bits = np.zeros(-(-size // 8) * 8, dtype=bool)
+    blocks = max(4, int(of.sum()) * ROOM // 128)
+    filter_ = np.zeros((blocks, 2), np.uint64)
     for level in range(1, int(of.max(initial=0)) + 1):
-        for spots in _spots(values[of >= level], level, size):
-            bits[spots] = True
-    return np.concatenate((np.frombuffer(np.uint64(size).tobytes(), np.uint8), np.packbits(bits, bitorder="little")))
+        block, *words = _spots(values[of >= level], level, blocks)
+        order = np.argsort(block, kind="stable")
+        heads = np.flatnonzero(np.concatenate(([True], np.diff(block[order]) != 0)))
+        for at, word in enumerate(words):
+            filter_[block[order][heads], at] |= np.bitwise_or.reduceat(word[order], heads)
+    return filter_
 
 
 def probe(filter_: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The level of each value, 0 if it isn't there."""
-    size, bits = np.uint64(filter_[:8].view(np.uint64)[0]), filter_[8:]
     found, left, level = np.zeros(len(values), np.int64), np.arange(len(values)), 1
     while len(left):
-        with np.errstate(over="ignore"):
-            at = mix(values[left] + np.uint64(level) * np.uint64(0xC2B2AE3D27D4EB4F))
-            step = mix(at) | np.uint64(1)
-            for _ in range(PROBES):
-                spot = (at >> np.uint64(20)) % size
-                hit = np.flatnonzero((bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)
-                left, step = left[hit], step[hit]
-                at = at[hit] + step
+        block, first, second = _spots(values[left], level, len(filter_))
+        held = filter_[block]
+        left = left[((held[:, 0] & first) == first) & ((held[:, 1] & second) == second)]
         found[left] = level
         level += 1
     return found
@@ -437,7 +436,7 @@ def _ask(head: Head, segments: int, mu: float, batches: Iterator[pa.RecordBatch]
 
 def _gains(mu: float, table: pa.Table, counted: pa.Table) -> pa.Table:
     """What a segment's pairs add to each text, and the levels of rare words' pairs; other rows go on."""
-    filter_ = np.frombuffer(counted["at"][0].as_py(), np.uint8) if len(counted) else None
+    filter_ = np.frombuffer(counted["at"][0].as_py(), "<u8").reshape(-1, 2) if len(counted) else None
     least = level_least()
     out = []
     for row in table.to_pylist():
