@@ -71,6 +71,8 @@ def failed_sets(docs: DataFrame, labels: DataFrame, room: Workspace, own: dict[s
     unnamed = facts.where("doc_id IS NULL").withColumns({"good": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
     rows = room.hold(named.unionByName(unnamed).fillna(0, ["good", "toxic"]), "facts")
     copied = rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("t1", "t2", "least")
+    # Read back, so that the join shuffles it by itself: only then is a text's shuffled partition split.
+    copied = room.hold(copied, "copied")
     later = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
     marked = rows.join(copied, ["t1", "t2"], "left").withColumn("mask", F.col("mask") + F.when(later, F.lit(1 << len(own))).otherwise(F.lit(0)))
     return marked.groupBy("part", "mask", "good", "toxic").agg(F.count("*").alias("documents"))
