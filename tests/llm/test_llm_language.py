@@ -1,0 +1,120 @@
+"""Prediction by partial matching against a plain one."""
+
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tidings.llm import language
+
+
+def folded(text):
+    out = bytearray()
+    for byte in text.encode():
+        if 65 <= byte <= 90:
+            byte += 32
+        out.append(48 if 48 <= byte <= 57 else 32 if byte in (9, 10, 11, 12, 13) else byte)
+    return bytes(out)
+
+
+class Plain:
+    """One language's tree as dictionaries, and probabilities by the definition."""
+
+    def __init__(self, texts):
+        self.after = [defaultdict(Counter) for _ in range(language.ORDER + 1)]
+        for text in texts:
+            data = b" " * language.ORDER + folded(text)
+            for at in range(language.ORDER, len(data)):
+                for order in range(language.ORDER + 1):
+                    self.after[order][data[at - order : at]][data[at]] += 1
+
+    def probability(self, context, byte, order=None):
+        order = language.ORDER if order is None else order
+        if order < 0:
+            return 1 / 256
+        context = context[len(context) - order :] if order else b""
+        seen = self.after[order].get(context)
+        if not seen:
+            return self.probability(context, byte, order - 1)
+        left = 1 - sum(self.probability(context, one, order - 1) for one in seen)
+        escaping = len(seen) if left > 1e-12 else 0
+        whole = sum(seen.values()) + escaping
+        if byte in seen:
+            return seen[byte] / whole
+        return escaping / whole * self.probability(context, byte, order - 1) / left
+
+    def bits(self, text):
+        data = b" " * language.ORDER + folded(text)
+        return -sum(math.log2(self.probability(data[at - language.ORDER : at], data[at])) for at in range(language.ORDER, len(data)))
+
+
+TEXTS = {
+    "el": ["η γάτα και ο σκύλος", "το άλλο πράγμα 12"] * 2,
+    "en": ["the cat and the other thing", "That is the other cat, 1999!"] * 2,
+    "ru": ["кошка и другая вещь", "это другая собака"] * 2,
+    "uk": ["кішка та інша річ", "це інший собака є"] * 2,
+    "hi": ["बिल्ली और दूसरी चीज़", "यह दूसरा कुत्ता है"] * 2,
+    "zh": ["猫和另一件东西", "这是另一只狗"] * 2,
+}
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    rows = [(at * 10 + place, text, lang) for at, (lang, texts) in enumerate(TEXTS.items()) for place, text in enumerate(texts)]
+    return language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+ASKED = ["the dog", "другая кошка", "інша кішка", "σκύλος", "दूसरी बिल्ली", "另一只猫", "a", "zzz qqq", "É\tÈ 7", "the cat " * 40]
+
+
+def test_code_lengths_agree_with_plain_trees(model):
+    assert model.languages == sorted(TEXTS)
+    plain = {lang: Plain(texts) for lang, texts in TEXTS.items()}
+    scorer = language.Scorer(model)
+    best, belief, rate = language.score(scorer, pa.array(ASKED))
+    for at, text in enumerate(ASKED):
+        bits = np.array([plain[lang].bits(text) for lang in model.languages])
+        assert best[at] == bits.argmin()
+        assert rate[at] == pytest.approx(bits.min() / len(text.encode()), rel=1e-4)
+        assert belief[at] == pytest.approx(1 / (2.0 ** (bits.min() - bits)).sum(), rel=1e-2)
+
+
+def test_every_byte_is_a_symbol_of_its_own(model):
+    """Languages that share a script are told apart, and scripts by a letter."""
+    scorer = language.Scorer(model)
+    best, _, _ = language.score(scorer, pa.array(ASKED[:6]))
+    assert [model.languages[at] for at in best] == ["en", "ru", "uk", "el", "hi", "zh"]
+
+
+def test_probabilities_after_a_context_sum_to_one(model):
+    kinds = [byte for byte in range(256) if language._FOLDED[byte] == byte]
+    folded_away = 256 - len(kinds)
+    for context in (b"the ", b" the", b"    ", b"qzqz", "кош".encode()[-4:]):
+        runs = np.array([int.from_bytes(context + bytes([byte]), "big") for byte in range(256)], np.uint64)
+        total = np.exp2(-language.bits(model, runs).astype(float)).sum(axis=0)
+        assert np.allclose(total, 1, atol=1e-4) and folded_away > 0
+
+
+def test_windows_and_memory_change_nothing(model, monkeypatch):
+    texts = pa.array([None, "", "x", *ASKED, "the other cat " * 500, "кошка " * 300])
+    whole = language.score(language.Scorer(model), texts)
+    monkeypatch.setattr(language, "WINDOW", 7)
+    monkeypatch.setattr(language, "KEPT_BYTES", 40 * (8 + 4 * len(model.languages)))
+    few = language.Scorer(model)
+    runs = list(language._runs(*language.texts(texts), 7))
+    assert len(runs) > 100
+    parts = np.concatenate([codes for _, codes in runs])
+    assert (parts == np.concatenate([codes for _, codes in language._runs(*language.texts(texts), 10**9)])).all()
+    for _ in range(2):
+        for one, other in zip(whole, language.score(few, texts)):
+            assert np.allclose(one, other, rtol=1e-5)
+    assert len(few._codes) <= 40
+
+
+def test_very_long_text(spark, model):
+    """Twenty million bytes in one row, in bounded memory."""
+    docs = spark.createDataFrame([(1, "the other cat "), (2, "кошка и "), (3, None)], "doc_id long, text string").selectExpr("doc_id", "repeat(text, 1500000) AS text", "'x' AS lang_pred")
+    found = {row.doc_id: row for row in language.predict(docs, model).select("doc_id", "lang_pred", "score").collect()}
+    assert [found[at].lang_pred for at in (1, 2, 3)] == ["en", "ru", "und"]
