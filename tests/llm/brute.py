@@ -21,7 +21,6 @@ def shingles(text, size=5):
 
 def encoded(name, texts, end):
     found = Tokenizer.from_file(tokenizer(name))
-    found.encode_special_tokens = True
     return [one.ids + [end] for one in found.encode_batch([text or "" for text in texts], add_special_tokens=False)]
 
 

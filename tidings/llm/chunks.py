@@ -36,33 +36,30 @@ def pieces(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts without special tokens; strings that look like one are ordinary text.
+    """Encodes texts as the library does with ``add_special_tokens=False``.
 
-    The ids of up to ``kept`` different pieces are remembered by the pieces' 64-bit hashes.
+    A special token that a text spells out is that token. The ids of up to ``kept`` different pieces
+    are remembered by the pieces' 64-bit hashes, some 30 bytes each.
     """
 
     def __init__(self, path: str, kept: int = 1_500_000, between: str = "<|endoftext|>"):
         from tokenizers import Tokenizer
 
-        self._plain, self._joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self._plain.encode_special_tokens = True
-        self._between, self._stop = between, self._joined.token_to_id(between)
+        self._tokenizer = Tokenizer.from_file(path)
+        self._between, self._stop = between, self._tokenizer.token_to_id(between)
         self._kept = kept
         self._forget()
 
     def _forget(self) -> None:
         self._hashes = np.zeros(0, np.uint64)
-        self._at, self._size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._at, self._size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self._ids = np.zeros(0, np.uint32)
 
     def _encode(self, missing: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts, many pieces in one call with a special token between them."""
-        if any("<|" in piece for piece in missing):
-            found = [e.ids for e in self._plain.encode_batch_fast(missing, add_special_tokens=False)]
-            return np.concatenate([np.array(x, np.uint32) for x in found]), np.array([*map(len, found)])
+        """Ids and counts, many pieces in one call with a special token between them, which none of them has."""
         runs = [missing[at : at + _JOINED] for at in range(0, len(missing), _JOINED)]
         joined = [self._between.join(run) + self._between for run in runs]
-        found = self._joined.encode_batch_fast(joined, add_special_tokens=False)
+        found = self._tokenizer.encode_batch_fast(joined, add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
         stops = np.flatnonzero(ids == self._stop)
         return ids[ids != self._stop], np.diff(stops, prepend=-1) - 1
@@ -75,13 +72,31 @@ class Encoder:
         at = len(self._ids) + np.cumsum(counts) - counts
         self._ids = np.concatenate((self._ids, ids))
         self._hashes = np.insert(self._hashes, to, hashes)
-        self._at, self._size = np.insert(self._at, to, at), np.insert(self._size, to, counts)
+        self._at, self._size = np.insert(self._at, to, at), np.insert(self._size, to, counts.astype(np.int32))
+
+    def _one_by_one(self, column: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same where the texts ``whole`` may spell out a special token: these are encoded uncut."""
+        ids, size, at = [], [], 0
+        for row in [*whole.tolist(), len(column)]:
+            if row > at:
+                found, counts = self(column.slice(at, row - at))
+                ids.append(found)
+                size.append(counts)
+            if row < len(column):
+                found = np.array(self._tokenizer.encode(column[row].as_py(), add_special_tokens=False).ids, np.uint32)
+                ids.append(found)
+                size.append(np.array([len(found)]))
+            at = row + 1
+        return np.concatenate(ids), np.concatenate(size)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of each text."""
         data, ends = texts(column)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+        marks = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        if len(marks):
+            return self._one_by_one(column, np.unique(np.searchsorted(ends, marks, side="right") - 1))
         start = pieces(data, ends)
         stop = np.append(start[1:], len(data))
         with np.errstate(over="ignore"):
@@ -103,7 +118,7 @@ class Encoder:
             new = np.flatnonzero(~known)
             raw = data.tobytes()
             self._learn(different[new], [raw[a:b].decode() for a, b in zip(start[which[new]], stop[which[new]])])
-        size, at = self._size[place][back], self._at[place][back]
+        size, at = self._size[place][back].astype(np.int64), self._at[place][back]
         total = np.cumsum(size)
         ids = self._ids[np.arange(total[-1]) + np.repeat(at - total + size, size)]
         per_text = np.concatenate(([0], total))[np.searchsorted(start, ends)]

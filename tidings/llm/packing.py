@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.llm.chunks import encoder
-from tidings.llm.words import slices
+from tidings.llm.words import give_back, slices
 
 #: Sequences that one task can number.
 TASK_BITS = 36
@@ -46,6 +46,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, most: int = 2048) -> Data
         raise ValueError("the longest sequence must be a power of two")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         number = TaskContext.get().partitionId() << TASK_BITS
         for batch in batches:
             for one in slices(batch, "text", 1_000_000):
@@ -78,11 +79,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, most: int = 2048) -> Data
     return rows.mapInArrow(cut, schema)
 
 
+PIECES = "doc_id long, start long, doc_tokens long, sequence_id long, offset long, ids binary"
+
+
 def write_buckets(packed: DataFrame, folder: str) -> None:
-    """Write the sequences with a folder for each length."""
+    """Write the sequences with a folder for each length, from which batches of equal length are read."""
     packed.write.partitionBy("length").mode("overwrite").parquet(folder)
 
 
+def read_buckets(spark: SparkSession, folder: str, lengths: list[int] | None = None) -> DataFrame:
+    """The sequences of the buckets, or of some of them; the others aren't read."""
+    found = spark.read.schema(f"{PIECES}, length long").parquet(folder)
+    return found if lengths is None else found.where(F.col("length").isin(lengths))
+
+
 def digests(packed: DataFrame) -> DataFrame:
     """The pieces with their ids' unsigned CRC-32 in place of the ids."""
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -98,8 +98,10 @@ def op8_redirects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents")
-    return packing.digests(packing.pack(docs, tokenizer(WORD_TOKENIZER), end_id=1, most=2048))
+    """Sequences of all documents, read back from their buckets."""
+    out = f"{Workspace(spark).path}/buckets"
+    packing.write_buckets(packing.pack(_table(spark, folder, "documents"), tokenizer(WORD_TOKENIZER), end_id=1, most=2048), out)
+    return packing.digests(packing.read_buckets(spark, out))
 
 
 def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,16 +201,30 @@ def _urls_sql() -> str:
     WITH RECURSIVE parts AS (SELECT page_id, html, {parted("url")} FROM pages),
     named AS MATERIALIZED (
         SELECT page_id, html, host, regexp_extract(rest, '^[^?#]*') AS path, {name} AS name FROM parts),
-    tags AS (SELECT host, name, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+    tags AS (SELECT host, path, name, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag
              FROM named WHERE name IS NOT NULL),
     kinds AS (SELECT *, CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN 'href'
                              WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN 'url' END AS kind
               FROM tags),
-    targets AS (SELECT host AS own, name, replace({href}, '&amp;', '&') AS target FROM kinds WHERE kind IS NOT NULL),
-    absolute AS (SELECT name AS u, CASE WHEN starts_with(target, '//') THEN 'http:' || target
-                        WHEN position('://' IN target) > 0 THEN target
-                        WHEN starts_with(target, '/') THEN 'http://' || own || target
-                        ELSE 'http://' || own || '/' || target END AS url FROM targets WHERE target <> ''),
+    targets AS (SELECT row_number() OVER () AS id, host AS own, path, name, target, regexp_extract(target, '^[^?#]*') AS cut FROM (
+        SELECT host, path, name, replace({href}, '&amp;', '&') AS target FROM kinds WHERE kind IS NOT NULL) WHERE target <> ''),
+    -- RFC 3986, 5.2: a path is merged with the page's, then its dot segments are removed one after another.
+    merged AS (SELECT *, CASE WHEN starts_with(target, '//') OR regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'whole'
+                              WHEN starts_with(target, '#') THEN 'here' WHEN starts_with(target, '?') THEN 'query' ELSE 'path' END AS form,
+                      CASE WHEN starts_with(cut, '/') THEN cut
+                           ELSE coalesce(nullif(regexp_extract(path, '^(?s:.*)/'), ''), '/') || cut END AS whole FROM targets),
+    dots AS (
+        SELECT id, string_split(whole, '/')[2:] AS segments, 1 AS at, CAST([] AS VARCHAR[]) AS kept FROM merged WHERE form = 'path'
+        UNION ALL
+        SELECT id, segments, at + 1, CASE segments[at] WHEN '.' THEN kept WHEN '..' THEN kept[:len(kept) - 1] ELSE list_append(kept, segments[at]) END
+        FROM dots WHERE at <= len(segments)),
+    plain AS (SELECT id, '/' || array_to_string(CASE WHEN segments[-1] IN ('.', '..') THEN list_append(kept, '') ELSE kept END, '/') AS whole
+              FROM dots WHERE at > len(segments)),
+    absolute AS (SELECT name AS u, CASE form WHEN 'whole' THEN CASE WHEN starts_with(target, '//') THEN 'http:' || target ELSE target END
+                        WHEN 'here' THEN 'http://' || name
+                        WHEN 'query' THEN 'http://' || own || coalesce(nullif(path, ''), '/') || target
+                        ELSE 'http://' || own || plain.whole || substr(target, length(cut) + 1) END AS url
+                 FROM merged LEFT JOIN plain USING (id)),
     ends AS (SELECT u, {parted("url")} FROM absolute),
     ways AS MATERIALIZED (SELECT u, {name} AS v FROM ends WHERE {name} <> u),
     links AS MATERIALIZED (SELECT u, v FROM ways UNION SELECT v, u FROM ways),

@@ -7,6 +7,7 @@ with a probability of about 0.03 for the whole collection.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -59,6 +60,23 @@ def _power(base: int, count: int) -> np.ndarray:
     return _powers[base][:count]
 
 
+def give_back() -> None:
+    """Return memory that is free to the machine: a Python worker that ran a stage before keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that a table doesn't have."""
+    taken = {one.lower() for one in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Words(NamedTuple):
     """The words of some texts in order; ``first[i]:first[i + 1]`` are those of text i."""
 
