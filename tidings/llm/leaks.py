@@ -9,9 +9,9 @@ that an item with half of its shingles in the set can have, so an item whose two
 lie apart is found too. Every hit is then verified by the item's exact containment
 in the whole document.
 
-With the default 128 hashes an item of 16 or more shingles that lies together in the text is missed
-with a probability below 1e-6, one of 5 below 1e-3; an item whose shingles are strewn over the
-text in more than two places may be missed.
+Items of up to eight shingles are looked up by exact ones beside that, so none of them is missed. With the
+default 128 hashes a longer item that lies together in the text is missed with a probability below 1e-4, one of
+16 or more shingles below 1e-6; an item whose shingles are strewn over the text in more than two places may be missed.
 
 Nulls and empty texts have no shingles: as items they are never found, as documents
 they hold nothing. Equal items are found each; equal rows are reported each. Other
@@ -28,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.words import distinct, mix, numbers, sequences, slices, words
+from tidings.llm.words import Words, distinct, fresh, mix, numbers, sequences, slices, words
+from tidings.plans import Workspace
 
 SHINGLE = 5
 HASHES = 128
 PART = 64
 BLOCKS = (16, 64)
 MISSED = 1e-6
+#: Items of so few shingles are found by exact ones as well.
+SHORT = 8
 HITS = "doc_id long, item_id long, containment double, item_shingles long"
 
 _ROUNDS = (numbers(HASHES, 71) >> np.uint64(32)).astype(np.uint32)
@@ -94,6 +97,7 @@ class Index(NamedTuple):
     shingles: np.ndarray
     first: np.ndarray
     keys: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]]
+    short: tuple[np.ndarray, np.ndarray]
 
 
 def _sizes(block: int) -> list[tuple[int, int]]:
@@ -124,7 +128,34 @@ def build(ids: np.ndarray, column: pa.Array, threshold: float) -> Index:
         value, owner = (np.concatenate(x) for x in zip(*groups))
         order = np.argsort(value, kind="stable")
         merged[name] = value[order], owner[order]
-    return Index(ids, sets.values, sets.first, merged)
+    return Index(ids, sets.values, sets.first, merged, _short(sets, threshold))
+
+
+def _short(sets: Words, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of the items of up to ``SHORT`` ones, and their items: as many of each as one that is held must share.
+
+    MinHash tells little of so few shingles, and a block has many.
+    """
+    small = (sets.counts > 0) & (sets.counts <= SHORT)
+    needed = sets.counts - np.ceil(threshold * sets.counts - 1e-9).astype(np.int64) + 1
+    owner = sets.owner
+    rank = np.arange(len(owner)) - sets.first[:-1][owner]
+    chosen = np.flatnonzero(small[owner] & (rank < needed[owner]))
+    order = chosen[np.argsort(sets.values[chosen], kind="stable")]
+    return sets.values[order], owner[order]
+
+
+def _short_candidates(index: Index, values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Pairs [text, item] of the short items by exact shingles."""
+    known, items = index.short
+    if not len(known) or not len(values):
+        return np.zeros((0, 2), np.int64)
+    low, high = (np.searchsorted(known, values, side=side) for side in ("left", "right"))
+    hit = np.flatnonzero(high > low)
+    times = (high - low)[hit]
+    at = np.repeat(low[hit] - np.cumsum(times) + times, times) + np.arange(times.sum())
+    text = np.searchsorted(first, hit, side="right") - 1
+    return np.unique(np.stack((np.repeat(text, times), items[at]), axis=1), axis=0)
 
 
 def candidates(index: Index, values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -175,6 +206,7 @@ def _search(index: Index, column: pa.Array, threshold: float) -> tuple[np.ndarra
     """Text, item and containment of every verified hit."""
     found = sequences(words(column), SHINGLE)
     pairs = candidates(index, found.values, found.first)
+    pairs = np.unique(np.concatenate((pairs, _short_candidates(index, found.values, found.first))), axis=0)
     shares = np.zeros(len(pairs))
     for at, (text, item) in enumerate(pairs):
         wanted = index.shingles[index.first[item] : index.first[item + 1]]
@@ -229,6 +261,9 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, block: int
     Rows are matched by ``doc_id``, so a clean row goes too if it shares its id with one that
     holds an item; a row with a null id is judged by itself and goes only if a null id was hit.
     """
-    held = find(docs, items, threshold, block).select("doc_id").distinct()
-    held = held.select(F.col("doc_id").alias("_held"))
-    return docs.join(held, docs["doc_id"].cast("long").eqNullSafe(F.col("_held")), "left_anti")
+    own = fresh("_held", docs.columns)
+    held = find(docs, items, threshold, block).select(F.col("doc_id").alias(own)).distinct()
+    held = Workspace(docs.sparkSession).hold(held, "held")
+    if held.count() * 16 <= 32 << 20:
+        held = F.broadcast(held)  # its size was checked; the documents stay where they are
+    return docs.join(held, docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_anti")
