@@ -55,3 +55,31 @@ def test_stages_take_no_rows(spark, sf_dir):
 def test_every_operator_is_registered():
     assert [int(name[2:].split("_")[0]) for name in queries.queries()] == list(range(1, 14))
     assert os.path.exists(queries.tokenizer(queries.BYTE_TOKENIZER))
+
+
+def test_redirect_sql_knows_links(spark, tmp_path):
+    """Blocks carried over canonical links and redirects of every form, chains, hubs and stars of them."""
+    forms = [
+        "http://x.net/es/1", "//x.net/es/1", "HTTPS://X.net/es/1", "/es/b", "b", "./b", "../b", "../../../b", "a/../b", "a/./b", "..", ".", "../", "?q=1", "#part", "c/d/..", "c/d/.", "?", "b?x=../y", "b#c", "mailto:me@x.net", "/", "//", "b/", "é",
+    ]
+    urls = ["http://h.org/dir/sub/page.html", "http://h.org", "http://h.org/dir/", "http://H.org/a?q=/x/y", "http://h.org/dir/../e", "no scheme", None, "http://"]
+    pages, targets = [], ["http://h.org/b", "http://h.org/dir/b", "http://h.org/dir/sub/b", "http://h.org/es/b", "http://x.net/es/1", "http://h.org/dir/sub/", "http://h.org/dir/sub/c/"]
+    for at, form in enumerate(forms):
+        for url in urls:
+            tag = f"<link rel=canonical href='{form}'>" if at % 2 else f'<META http-equiv="Refresh" content="0; url={form}">'
+            # A host for each, so that one page's link doesn't join another's.
+            pages.append((url and url.replace("org", f"o{at}.org"), f"<head>{tag}</head>"))
+    pages += [(url.replace("org", f"o{at}.org"), "<link rel=canonical href=http://x.net/es/1>" if at % 3 else None) for at in range(len(forms)) for url in targets]
+    pages += [(f"http://spoke.org/{at}", "<link rel='canonical' href='/hub'>") for at in range(300)]
+    pages += [("http://spoke.org/hub", "<link href='http://example.com/en/1' rel='canonical'>"), ("http://www.example.com/en/2", "<link rel=canonical href='http://spoke.org/hub'>"), ("http://example.com/en/1", None)]
+    table = spark.createDataFrame([(at, *page) for at, page in enumerate(pages)], "page_id long, url string, html string")
+    table.coalesce(2).write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as database:
+        database.sql(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+        relation = database.sql(queries.oracle_sql()["op8_redirects"])
+        columns = relation.columns
+        expected = sorted(map(repr, relation.fetchall()))
+    found = queries.op8_redirects(spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(repr(tuple(row)) for row in found) == expected
+    by = [row.by for row in found]
+    assert by.count("alias") > 330 and by.count("default") > 50

@@ -214,12 +214,12 @@ def _urls_sql() -> str:
                       CASE WHEN starts_with(cut, '/') THEN cut
                            ELSE coalesce(nullif(regexp_extract(path, '^(?s:.*)/'), ''), '/') || cut END AS whole FROM targets),
     dots AS (
-        SELECT id, string_split(whole, '/')[2:] AS segments, 1 AS at, CAST([] AS VARCHAR[]) AS kept FROM merged WHERE form = 'path'
+        SELECT id, string_split(whole, '/')[2:] AS segments, 1 AS i, CAST([] AS VARCHAR[]) AS kept FROM merged WHERE form = 'path'
         UNION ALL
-        SELECT id, segments, at + 1, CASE segments[at] WHEN '.' THEN kept WHEN '..' THEN kept[:len(kept) - 1] ELSE list_append(kept, segments[at]) END
-        FROM dots WHERE at <= len(segments)),
+        SELECT id, segments, i + 1, CASE segments[i] WHEN '.' THEN kept WHEN '..' THEN kept[:len(kept) - 1] ELSE list_append(kept, segments[i]) END
+        FROM dots WHERE i <= len(segments)),
     plain AS (SELECT id, '/' || array_to_string(CASE WHEN segments[-1] IN ('.', '..') THEN list_append(kept, '') ELSE kept END, '/') AS whole
-              FROM dots WHERE at > len(segments)),
+              FROM dots WHERE i > len(segments)),
     absolute AS (SELECT name AS u, CASE form WHEN 'whole' THEN CASE WHEN starts_with(target, '//') THEN 'http:' || target ELSE target END
                         WHEN 'here' THEN 'http://' || name
                         WHEN 'query' THEN 'http://' || own || coalesce(nullif(path, ''), '/') || target
