@@ -74,11 +74,6 @@ def test_language_prefers_what_it_learnt(spark, no_docs):
     assert language.predict(no_docs, model).collect() == []
 
 
-def test_language_tables_are_probabilities():
-    model = language.compile_model(["a", "b"], np.array([0, 0, 1]), np.array([0x20202061, 0x20206162, 0x20202062]), np.array([3, 2, 5]))
-    assert np.allclose(np.exp2(-model.bits.astype(float)).sum(axis=1), 1, atol=1e-4)
-
-
 def test_held_out_accuracy(spark, sf_dir):
     from tidings.llm import queries
 
@@ -368,3 +363,113 @@ def test_licences_sql_knows_every_kind_of_unit(spark, tmp_path):
     found = licences.scan(docs).select(*columns).collect()
     assert sorted(map(tuple, found)) == expected
     assert {row.kind for row in found} == {"line", "paragraph", "sentence", "text"}
+
+
+def test_special_tokens_that_a_text_spells_out(spark, tmp_path):
+    """They are encoded as the library does it, in the middle of texts and at their ends."""
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a<|startoftext|>  \n<|endoftext|>", "<| not one |>", "plain words here", None, "", "x <|", "|> <|endoftext|", "é <|endoftext|>é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    for name in (BYTE_TOKENIZER, WORD_TOKENIZER):
+        expected = {one: ids for one, ids in enumerate(encoded(name, texts, 1))}
+        found = {}
+        for row in sorted(packing.pack(docs, tokenizer(name), 1).collect(), key=lambda row: row.start):
+            found.setdefault(row.doc_id, []).extend(np.frombuffer(row.ids, "<u4").tolist())
+        assert found == expected
+    token_files.write_tokens(docs, str(tmp_path), tokenizer(BYTE_TOKENIZER), end_id=2, parts=2)
+    assert {row.doc_id: row.ids_crc32 for row in token_files.read_tokens(spark, str(tmp_path)).collect()} == {
+        one: crc(ids) for one, ids in enumerate(encoded(BYTE_TOKENIZER, texts, 2))
+    }
+
+
+def test_stages_keep_columns_that_have_their_names(spark, docs):
+    """Names that the operators use for themselves, in any case."""
+    more = docs.selectExpr("*", "7 AS _id", "8 AS __id", "9 AS _HELD", "1 AS rep", "2 AS own", "3 AS root")
+    kept = near.firsts(more, 80)
+    assert kept.columns == more.columns
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, near.firsts(docs, 80).selectExpr("*", "7 AS _id", "8 AS __id", "9 AS _HELD", "1 AS rep", "2 AS own", "3 AS root").collect()))
+    items = spark.createDataFrame([(1, "w1 w2")], "item_id long, text string").unionByName(docs.where("doc_id = 30").selectExpr("2L AS item_id", "text"))
+    clean = leaks.clean(more, items)
+    assert clean.columns == more.columns
+    assert {30, 31, 32}.isdisjoint(row.doc_id for row in clean.collect())
+    assert {row._HELD for row in clean.collect()} == {9}
+
+
+def test_buckets_hold_every_sequence_and_are_read_apart(spark, docs, tmp_path):
+    pieces = packing.pack(docs, tokenizer(WORD_TOKENIZER), end_id=1, most=64)
+    packing.write_buckets(pieces, str(tmp_path))
+    back = packing.read_buckets(spark, str(tmp_path))
+    columns = sorted(pieces.columns)
+    assert sorted(back.columns) == columns
+    assert sorted(map(repr, back.select(*columns).collect())) == sorted(map(repr, pieces.select(*columns).collect()))
+    some = packing.read_buckets(spark, str(tmp_path), [8, 64])
+    assert {row["length"] for row in some.collect()} <= {8, 64}
+    assert {len(row.ids) for row in some.collect()} == {4 * row["length"] for row in some.select("length").distinct().collect()}
+    assert all("length=" in file for file in some.inputFiles())
+
+
+def test_token_files_of_rows_without_ids_are_spread(spark, tmp_path):
+    """Many rows without an id, and many of one id, in the order of their texts."""
+    texts = [f"{at:04d} words of it" for at in range(300)]
+    rows = [(None, text) for text in texts] + [(5, text) for text in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    told = token_files.write_tokens(docs, str(tmp_path), tokenizer(BYTE_TOKENIZER), end_id=2, parts=6).collect()
+    assert len(told) == 6 and max(row.n_docs for row in told) < 300
+    found = sorted(map(tuple, token_files.read_tokens(spark, str(tmp_path)).collect()), key=lambda row: row[1])
+    assert [(row[0], row[3]) for row in found] == [(one, crc(ids)) for (one, _), ids in zip(rows, encoded(BYTE_TOKENIZER, [text for _, text in rows], 2))]
+
+
+def test_token_files_need_a_file_system_on_a_cluster():
+    for folder in ("file:/shared/tokens", "file:///shared/tokens", "hdfs://name/tokens"):
+        token_files._shared(folder, "spark://host:7077")
+    token_files._shared("/shared/tokens", "local[4]")
+    with pytest.raises(ValueError, match="file system"):
+        token_files._shared("/shared/tokens", "spark://host:7077")
+
+
+def test_short_items_are_never_missed(spark):
+    """Five to nine words at any place of texts of any length, also half of them apart from the others."""
+    import random
+
+    draw = random.Random(8)
+    words = [f"v{at}" for at in range(3000)]
+    items = [(at, " ".join(draw.sample(words, 5 + at % 8))) for at in range(120)]
+    rows = []
+    for at, item in items:
+        for size in (0, 3, 40, 900):
+            left, right = (" ".join(draw.choice(words) for _ in range(draw.randrange(size + 1))) for _ in range(2))
+            rows.append((len(rows), f"{left} {item} {right}", at))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item long").repartition(8)
+    found = {(row.doc_id, row.item_id) for row in leaks.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found >= {(one, at) for one, _, at in rows}
+
+
+@pytest.mark.parametrize("estimate", [True, False])
+def test_family_around_the_threshold(spark, estimate):
+    """Variants of a text with similarities from 0.4 to 1, linked one by one: sizes, bitmaps and rounds lose no link."""
+    import random
+
+    draw = random.Random(5)
+    base = [f"b{draw.randrange(500)}" for _ in range(150)]
+    rows = []
+    for at in range(160):
+        words = list(base)
+        for _ in range(draw.randrange(12)):
+            words[draw.randrange(len(words))] = f"c{draw.randrange(9)}"
+        rows.append((at, " ".join(words[draw.randrange(4) : len(words) - draw.randrange(4)])))
+    rows += [(200 + at, " ".join(f"{at}x{draw.randrange(300)}" for _ in range(60)) + " " + " ".join(base[:40])) for at in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for percent in (85, 60):
+        found = {row.doc_id: (row.n_shingles, row.component_id) for row in near.classes(docs, percent, estimate=estimate).collect()}
+        assert found == brute_components(rows, percent)
+
+
+def test_bitmaps_bound_the_difference():
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 400, size).astype(np.uint64)) for size in (0, 1, 30, 31, 200, 300)]
+    found = near.Words(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(one) for one in sets]))))
+    words = near.bitmaps(found)
+    assert all(word[0] == 0 for word in words)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            differ = sum(int(word[i] ^ word[j]).bit_count() for word in words)
+            assert differ <= len(np.setxor1d(a, b)) and differ % 2 == len(np.setxor1d(a, b)) % 2
