@@ -1,4 +1,4 @@
-"""Connected components of links between 64-bit ids, by alternating stars."""
+"""Connected components of links between ids, by alternating stars."""
 
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, room: Workspace) -> DataFrame:
     """``u`` and ``root``, the least id it is linked with over any number of links, unless that is itself.
 
-    ``links`` has long columns u and v. Every round is a written table, so a lost
+    ``links`` has columns u and v of one type, numbers or texts, whose order names the least. Every round is a written table, so a lost
     executor costs at most one round; rounds grow with the logarithm of a component's
     size. A hub's rows are only joined and counted, never gathered in one task. Nulls
     and links of an id with itself link nothing; repeated links count once.

@@ -99,14 +99,14 @@ def _target(html: Column) -> Column:
 
 
 def edges(parted: DataFrame) -> DataFrame:
-    """Identities that a page's canonical link or redirect joins: u and v, as hashes."""
+    """Identities that a page's canonical link or redirect joins: u and v."""
     has = F.col("html").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv") & F.col("name").isNotNull()
     found = parted.where(has).select("host", "path", "name", F.explode(_target(F.col("html"))).alias("target"))
     absolute = _absolute(F.col("target"), F.col("host"), F.col("path"), F.col("name"))
     host, rest = _host_and_rest(F.col("absolute"))
     to = found.withColumn("absolute", absolute).withColumns({"to_host": host, "to_rest": rest})
     named = to.select("name", _identity(F.col("to_host"), F.col("to_rest")).alias("to")).where("`to` IS NOT NULL AND `to` <> name")
-    return named.select(F.xxhash64("name").alias("u"), F.xxhash64("to").alias("v"))
+    return named.select(F.col("name").alias("u"), F.col("to").alias("v"))
 
 
 def _rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -127,10 +127,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], room: Workspace |
     room = room or Workspace(pages.sparkSession)
     parted = with_parts(pages)
     ruled = parted.withColumn("decided", _rule(F.col("host"), F.col("path"), rules))
-    slim = ruled.select("page_id", "host", "path", F.xxhash64("name").alias("node"), F.col("name").isNotNull().alias("named"), "decided.*")
+    slim = ruled.select("page_id", "host", "path", "name", "decided.*")
     held = room.hold(slim, "judged")
     roots = components(edges(parted), room)
-    placed = held.join(roots, held["node"] == roots["u"], "left").withColumn("alias", F.when(F.col("named"), F.coalesce("root", "node")))
+    placed = held.join(roots, held["name"] == roots["u"], "left").withColumn("alias", F.coalesce("root", "name"))
     blocked = placed.where("verdict = 'block' AND alias IS NOT NULL").select(F.col("alias").alias("bad")).distinct()
     joined = placed.join(blocked, F.col("alias") == F.col("bad"), "left")
     by_alias = F.when(F.col("bad").isNotNull(), "block").otherwise("allow")
