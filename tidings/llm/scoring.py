@@ -48,8 +48,8 @@ BITS, ROOM = 8, 16
 MU = 16.0
 #: Steps of a decade in which words' probabilities are held.
 STEPS = 4096
-SEGMENT_BYTES = 32_000_000
-FLUSH = 3_000_000
+SEGMENT_BYTES = 16_000_000
+FLUSH = 2_000_000
 #: Tokens and texts that are sent together.
 CHUNK_TOKENS = 1_000_000
 CHUNK_ROWS = 60_000
@@ -434,12 +434,18 @@ def _ask(head: Head, segments: int, mu: float, batches: Iterator[pa.RecordBatch]
     yield from chunk.end()
 
 
+def _each(table: pa.Table) -> Iterator[dict]:
+    """A table's rows, few at a time, as they hold long arrays."""
+    for batch in table.to_batches(max_chunksize=16):
+        yield from batch.to_pylist()
+
+
 def _gains(mu: float, table: pa.Table, counted: pa.Table) -> pa.Table:
     """What a segment's pairs add to each text, and the levels of rare words' pairs; other rows go on."""
     filter_ = np.frombuffer(counted["at"][0].as_py(), "<u8").reshape(-1, 2) if len(counted) else None
     least = level_least()
     out = []
-    for row in table.to_pylist():
+    for row in _each(table):
         if row["kind"] in (ROWS, RARE_WORDS):
             out.append(tuple(row.values()))
             continue
@@ -479,7 +485,7 @@ def _rare(head: Head, mu: float, table: pa.Table, counted: pa.Table) -> pa.Table
     counts = np.frombuffer(counted["counts"][0].as_py(), "<i8") if len(counted) else np.zeros(0, np.int64)
     least = level_least()
     out = []
-    for row in table.to_pylist():
+    for row in _each(table):
         word, more, rows = np.frombuffer(row["a"], "<u8"), np.frombuffer(row["b"], np.uint8), np.frombuffer(row["c"], np.uint16)
         at = np.minimum(np.searchsorted(values, word), max(len(values) - 1, 0))
         found = np.where(values[at] == word, counts[at], 0) if len(values) else np.zeros(len(word), np.int64)
