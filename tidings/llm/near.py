@@ -12,9 +12,11 @@ The inverted lists of retained values bring candidates. From every list each cla
 first paired with the list's pivot only, so pairs grow with the lists' lengths. After
 the components of verified links are known, only pairs of different components are
 left: all of them from short lists, and from long ones those with some pivots a round,
-until no list has an undecided pair. A pair is dropped if its sizes exclude it, then if
-the estimate from the union of both bottom-k sketches is far below, and verified on the
-full sets.
+until no list has an undecided pair. A pair is dropped where it meets if its sizes exclude it, or a bitmap
+of each set does: 256 parities, which differ in no more places than the sets do, so that no similar pair is
+lost, while families of texts just below the threshold lose most of theirs. Then it is dropped if the estimate from
+the union of both bottom-k sketches is far below, with ``estimate``, and verified on the full sets. The estimate may be
+6.5 standard deviations off; without it nothing is left to chance.
 
 Nulls, empty texts and texts without words have no shingles and link with nothing. Equal
 texts are linked. Rows of equal ids are one document with the union of their links; its size
@@ -32,15 +34,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.llm.components import components
-from tidings.llm.words import Words, distinct, mix, sequences, slices, words
+from tidings.llm.words import Words, distinct, fresh, give_back, mix, sequences, slices, words
 from tidings.plans import Workspace
 
 SHINGLE = 5
 SKETCH = 64
-#: A list longer than this is long, and a value that more classes retain comes last.
-LONG = 128
+#: A value that more classes retain comes last.
+OFTEN = 128
+#: A list longer than this is long.
+LONG = 2048
 #: Pivots that a long list takes a round.
-PIVOTS = 128
+PIVOTS = 2048
+#: 64-bit words of a set's bitmap.
+BITMAP = 4
+#: A class's first values, by which a pair that meets in many lists counts in the first of them.
+HEAD = 8
 #: Values that come last; the commonest ones if there are more.
 COMMON = 2_000_000
 SEGMENT_BYTES = 24_000_000
@@ -78,6 +86,22 @@ def retained(found: Words, percent: int, common: np.ndarray) -> tuple[np.ndarray
     return owner[kept], values[kept]
 
 
+def bitmaps(found: Words) -> list[np.ndarray]:
+    """For each set ``BITMAP`` words of parities: how many of its values fall to a bit, odd or even."""
+    words = [np.zeros(len(found.first) - 1, np.uint64) for _ in range(BITMAP)]
+    some = np.flatnonzero(found.counts > 0)
+    if len(some):
+        spread = mix(found.values ^ np.uint64(0x2545F4914F6CDD1D))
+        bit, word = np.uint64(1) << (spread & np.uint64(63)), (spread >> np.uint64(6)) % np.uint64(BITMAP)
+        for at, held in enumerate(words):
+            held[some] = np.bitwise_xor.reduceat(np.where(word == at, bit, np.uint64(0)), found.first[:-1][some])
+    return words
+
+
+def _bits(letter: str) -> list[str]:
+    return [f"{letter}{at}" for at in range(BITMAP)]
+
+
 def _pack(spread: np.ndarray, segments: int, **columns: np.ndarray) -> dict[str, list]:
     """Rows of segments of the hash space by ``spread``, with each column's numbers."""
     of = ((spread >> np.uint64(40)).astype(np.int64) * segments) >> 24
@@ -109,9 +133,10 @@ class _Run:
         self.segments = max(1, -(-size // SEGMENT_BYTES))
 
     def keys(self) -> DataFrame:
-        """doc_id, size, the set's two hashes and its sketch of every row."""
+        """doc_id, size, the set's two hashes, its sketch and its bitmap of every row."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 for one in slices(batch, "text"):
                     found = shingles(one.column("text"))
@@ -123,10 +148,12 @@ class _Run:
                         pa.array(first.view(np.int64)),
                         pa.array(second.view(np.int64)),
                         pa.array(sketches, pa.binary()),
+                        *(pa.array(word.view(np.int64)) for word in bitmaps(found)),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "check", "sketch"])
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "check", "sketch", *_bits("x")])
 
-        return self.docs.mapInArrow(run, "doc_id long, n long, key long, check long, sketch binary")
+        words = ", ".join(f"{name} long" for name in _bits("x"))
+        return self.docs.mapInArrow(run, f"doc_id long, n long, key long, check long, sketch binary, {words}")
 
     def _retained(self, pack, common: np.ndarray) -> DataFrame:
         """Segments of what is retained; of equal sets that lie near each other one counts."""
@@ -134,6 +161,7 @@ class _Run:
         percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 for one in slices(batch, "text", 8_000_000):
                     held_values, held_keys = [], []
@@ -166,7 +194,7 @@ class _Run:
             values, counts = _merged(table, "at"), _merged(table, "more")
             different, back = np.unique(values, return_inverse=True)
             counts = np.bincount(back, weights=counts).astype(np.int64)
-            often = counts > LONG
+            often = counts > OFTEN
             return pa.table({"value": pa.array(different[often].view(np.int64)), "n": pa.array(counts[often], pa.int64())})
 
         found = self._retained(pack, np.zeros(0, np.uint64)).groupBy("segment").applyInArrow(tally, "value long, n long")
@@ -212,6 +240,7 @@ class _Run:
         """key and full set of the classes in ``wanted`` (doc_id, key)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 for one in slices(batch, "text"):
                     found = shingles(one.column("text"))
@@ -238,6 +267,7 @@ def _estimated(percent: int):
     """Keep pairs whose union sketch doesn't speak clearly against them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in _few(batches):
             kept = []
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
@@ -256,6 +286,7 @@ def _verified(percent: int):
     """Mark pairs whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in _few(batches):
             linked = []
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
@@ -281,23 +312,41 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
 
-def classes(docs: DataFrame, percent: int = 85, room: Workspace | None = None) -> DataFrame:
+def classes(docs: DataFrame, percent: int = 85, room: Workspace | None = None, estimate: bool = True) -> DataFrame:
     """A row per different id: doc_id, n_shingles, component_id, kept, n_rows.
 
     Documents are linked if 100 * common >= percent * union of their shingles. The
-    component is named by its least id; that document is the one to keep.
+    component is named by its least id; that document is the one to keep. Without ``estimate`` every
+    pair that sizes and bitmaps allow is verified.
     """
     room = room or Workspace(docs.sparkSession)
     run = _Run(docs, percent, room)
     keys = room.hold(run.keys(), "keys")
     full = keys.where("n > 0 AND doc_id IS NOT NULL").drop("sketch")
-    classed = room.hold(full.groupBy("key", "check", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    first = [F.min("doc_id").alias("rep"), *(F.min(name).alias(name) for name in _bits("x"))]
+    classed = room.hold(full.groupBy("key", "check", "n").agg(*first), "classes")
     members = room.hold(run.members(run.common()), "members")
-    links = _links(run, keys, classed, members, room)
+    links = _links(run, keys, classed, members, room, estimate)
     return _result(keys, full, classed, links, room)
 
 
-def _links(run: _Run, keys: DataFrame, classed: DataFrame, members: DataFrame, room: Workspace) -> DataFrame:
+def _may_link(percent: int):
+    """Whether two classes' sizes and bitmaps allow a link; ``n`` and ``x`` are of one, ``m`` and ``y`` of the other.
+
+    Sets that differ in d values have bitmaps that differ in d places at most, and share (n + m - d) / 2.
+    """
+    n, m = F.col("n"), F.col("m")
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_bits("x"), _bits("y"))), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
+
+
+def _other(columns: dict[str, str]) -> list:
+    """A class's columns as those of the other one of a pair."""
+    renamed = {"key": "a", "n": "m", **dict(zip(_bits("x"), _bits("y"))), **columns}
+    return [F.col(name).alias(other) for name, other in renamed.items()]
+
+
+def _links(run: _Run, keys: DataFrame, classed: DataFrame, members: DataFrame, room: Workspace, estimate: bool) -> DataFrame:
     """Links between classes that leave the components of all links, round by round."""
     name = uuid.uuid4().hex[:8]
     percent = run.percent
@@ -305,22 +354,24 @@ def _links(run: _Run, keys: DataFrame, classed: DataFrame, members: DataFrame, r
     candidates = room.hold(candidates, f"candidates-{name}")
     sketches = room.hold(keys.select("doc_id", "key", "sketch").join(candidates, ["doc_id", "key"], "left_semi"), f"sketches-{name}")
     sets = None
-    sized = members.join(classed.select("key", "n"), "key")
+    sized = members.join(classed.select("key", "n", *_bits("x")), "key")
     sized = room.hold(sized, f"sized-{name}")
-    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    pivots = sized.groupBy("value").agg(F.min(F.struct("key", "n")).alias("p")).select("value", F.col("p.key").alias("a"), F.col("p.n").alias("m"))
+    fits = _may_link(percent)
+    pivots = sized.groupBy("value").agg(F.min(F.struct("key", "n", *_bits("x"))).alias("p")).select("value", "p.*")
+    pivots = pivots.select("value", *_other({}))
     pairs = sized.join(pivots, "value").where(fits & (F.col("key") != F.col("a"))).select("a", F.col("key").alias("b")).distinct()
+    pairs = room.hold(pairs, f"pairs-{name}")
     used = pivots.select("value", F.col("a").alias("key"))
     links, decided, number = None, None, 0
     while True:
         number += 1
-        pairs = room.hold(pairs, f"pairs-{name}-{number}")
-        near = _with_sets(pairs, sketches, "sketch").mapInArrow(_estimated(percent), "a long, b long")
-        near = room.hold(near, f"near-{name}-{number}")
+        near = pairs.select("a", "b")
+        if estimate:
+            near = room.hold(_with_sets(pairs, sketches, "sketch").mapInArrow(_estimated(percent), "a long, b long"), f"near-{name}-{number}")
         wanted = candidates.join(_ends(near), "key", "left_semi")
         wanted = wanted if sets is None else wanted.join(sets, "key", "left_anti")
-        fresh = room.hold(run.sets(room.hold(wanted, f"wanted-{name}-{number}")), f"sets-{name}-{number}")
-        sets = fresh if sets is None else sets.unionByName(fresh)
+        found_sets = room.hold(run.sets(room.hold(wanted, f"wanted-{name}-{number}")), f"sets-{name}-{number}")
+        sets = found_sets if sets is None else sets.unionByName(found_sets)
         found = _with_sets(near, sets, "full").mapInArrow(_verified(percent), "a long, b long")
         found = room.hold(found, f"found-{name}-{number}")
         links = found if links is None else links.unionByName(found)
@@ -333,32 +384,30 @@ def _links(run: _Run, keys: DataFrame, classed: DataFrame, members: DataFrame, r
 
 def _left(sized: DataFrame, used: DataFrame, roots: DataFrame, decided: DataFrame, fits, room: Workspace, name: str):
     """The next round's pairs of different components, or None if every list is decided."""
-    placed = sized.join(roots, sized["key"] == roots["u"], "left").select("value", "key", "n", F.coalesce("root", "key").alias("root"))
+    kept = ["value", "key", "n", *_bits("x")]
+    placed = sized.join(roots, sized["key"] == roots["u"], "left").select(*kept, F.coalesce("root", "key").alias("root"))
     lists = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-    placed = room.hold(placed.join(lists.where("low <> high"), "value").drop("low", "high"), f"placed-{name}")
-    fresh = placed.join(used, ["value", "key"], "left_anti")
-    by_root = fresh.groupBy("value", "root").agg(F.count("*").alias("weight"))
+    open_ = room.hold(placed.join(lists.where("low <> high"), "value").drop("low", "high"), f"open-{name}")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("value"))
+    first = open_.select("key", "value").withColumn("rank", rank).where(F.col("rank") <= HEAD)
+    placed = room.hold(open_.join(first.groupBy("key").agg(F.collect_list("value").alias("head")), "key"), f"placed-{name}")
+    fresh_ = placed.join(used, ["value", "key"], "left_anti")
+    by_root = fresh_.groupBy("value", "root").agg(F.count("*").alias("weight"))
     spread = by_root.groupBy("value").agg(F.max(F.struct("weight", "root")).alias("most"))
     # Members outside a list's largest component are the next pivots. Two undecided members of
     # the largest are linked already, so a list is decided once it has no other.
     short = placed.where(F.col("size") <= LONG)
-    left = short.select("value", F.col("key").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"))
-    of_short = short.join(left, "value").where("key > a")
-    outside = fresh.where(F.col("size") > LONG).join(spread, "value").where("root <> most.root")
+    left = short.select("value", *_other({"root": "other", "head": "heads"}))
+    apart = fits & (F.col("root") != F.col("other"))
+    # Most pairs share one of their first values; they count where they meet first.
+    apart &= ~F.exists(F.array_intersect("head", "heads"), lambda one: one < F.col("value"))
+    of_short = short.join(left, "value").where(apart & (F.col("key") > F.col("a"))).select("a", "key")
+    outside = fresh_.where(F.col("size") > LONG).join(spread, "value").where("root <> most.root")
     order = Window.partitionBy("value").orderBy("key")
     turn = outside.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= PIVOTS)
-    turn = room.hold(turn.select("value", F.col("key").alias("a"), F.col("n").alias("m"), F.col("root").alias("other")), f"turn-{name}")
-    # A pair meets in every list it shares; it counts in the first of the long ones only.
-    before = Window.partitionBy("key").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    lists_of = placed.where(F.col("size") > LONG).withColumn("earlier", F.collect_list("value").over(before))
-    lists_of = room.hold(lists_of, f"long-{name}")
-    theirs = lists_of.select("value", F.col("key").alias("a"), F.col("earlier").alias("others"))
-    pivoted = turn.join(theirs, ["value", "a"])
-    alone = ~F.arrays_overlap("earlier", "others")
-    of_long = lists_of.join(pivoted, "value").where(F.col("key") != F.col("a")).where(fits & (F.col("root") != F.col("other")) & alone)
-    of_long = of_long.drop("earlier", "others")
-    both = of_short.unionByName(of_long, allowMissingColumns=True).where(fits & (F.col("root") != F.col("other")))
-    pairs = both.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+    turn = room.hold(turn.select("value", *_other({"root": "other", "head": "heads"})), f"turn-{name}")
+    of_long = placed.where(F.col("size") > LONG).join(turn, "value").where(apart & (F.col("key") != F.col("a"))).select("a", "key")
+    pairs = of_short.unionByName(of_long).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
     known = decided.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = room.hold(pairs.join(known, ["a", "b"], "left_anti"), f"next-{name}")
     if pairs.isEmpty() and (turn.isEmpty() or outside.join(turn.select("value", F.col("a").alias("key")), ["value", "key"], "left_anti").isEmpty()):
@@ -392,14 +441,15 @@ def firsts(docs: DataFrame, percent: int = 80, room: Workspace | None = None) ->
     """
     room = room or Workspace(docs.sparkSession)
     found = room.hold(classes(docs, percent, room), "found").where("doc_id IS NOT NULL")
-    gone = found.where("NOT kept OR n_rows > 1").select(F.col("doc_id").alias("_id"))
-    several = found.where("kept AND n_rows > 1").select(F.col("doc_id").alias("_id"))
+    own = fresh("_id", docs.columns)
+    gone = found.where("NOT kept OR n_rows > 1").select(F.col("doc_id").alias(own))
+    several = found.where("kept AND n_rows > 1").select(F.col("doc_id").alias(own))
     gone, several = (F.broadcast(ids) if ids.count() * 16 <= 32 << 20 else ids for ids in (gone, several))
-    same = docs["doc_id"].cast("long") == F.col("_id")
+    same = docs["doc_id"].cast("long") == F.col(own)
     single = docs.join(gone, same, "left_anti")
     chosen = (
         docs.join(several, same)
-        .groupBy("_id")
+        .groupBy(own)
         .agg(F.min_by(F.struct(*(F.col(f"`{name}`") for name in docs.columns)), F.coalesce("text", F.lit(""))).alias("row"))
     )
     return single.unionByName(chosen.select("row.*"))
