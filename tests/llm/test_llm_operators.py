@@ -475,3 +475,34 @@ def test_bitmaps_bound_the_difference():
         for j, b in enumerate(sets):
             differ = sum(int(word[i] ^ word[j]).bit_count() for word in words)
             assert differ <= len(np.setxor1d(a, b)) and differ % 2 == len(np.setxor1d(a, b)) % 2
+
+
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+def test_sets_at_the_threshold_share_a_group(percent):
+    draw = np.random.default_rng(percent)
+    by = near.parts(percent)
+    for at in range(600):
+        n = int(draw.integers(1, (20, 100, 1500)[at % 3]))
+        m = int(draw.integers(-(-percent * n // 100), n + 1))
+        both = -(-percent * (n + m) // (100 + percent))
+        if both <= m:
+            values = draw.permutation(np.unique(draw.integers(0, 1 << 64, n + m - both, dtype=np.uint64)))
+            one, other = np.sort(values[:n]), np.sort(np.concatenate((values[:both], values[n:])))
+            pair = near.Words(np.concatenate((one, other)), np.array([0, n, n + m]))
+            owner, found = near.grouped(pair, percent, by)
+            assert len(np.intersect1d(found[owner == 0], found[owner == 1]))
+
+
+def test_long_texts_that_share_a_passage_are_seldom_paired(spark, monkeypatch):
+    texts, paired, with_sets = 40, [], near._with_sets
+
+    def counted(pairs, sets, column):
+        paired.append(pairs.count())
+        return with_sets(pairs, sets, column)
+
+    monkeypatch.setattr(near, "_with_sets", counted)
+    passage = " ".join(f"p{at}" for at in range(60))
+    rows = [(one, " ".join(f"w{one}x{at}" for at in range(1000)) + f" {passage}") for one in range(texts)]
+    found = near.classes(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert all(row.kept for row in found) and len(found) == texts
+    assert sum(paired) < texts * (texts - 1) / 2 / 4

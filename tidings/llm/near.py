@@ -1,14 +1,15 @@
 """Near-duplicates by bottom-k sketches, and the components they form.
 
 A text is the set of its different five-word shingles (fewer words: all of them as
-one), as 64-bit hashes. Texts of equal sets are one class from the start. A class
+one), as 64-bit hashes. Texts of equal sets are one class from the start. From ``GROUPED`` percent on a class retains its values in the order of one hash function, cut into groups by ranges of
+the hash space. There are more groups than values in which similar sets can differ, so two such sets share a whole
+group, and nothing is lost; texts that share a few shingles seldom share a group. For lower thresholds a class
 retains the k first values of its set, where k is its size less the least overlap that
 a similar set must have, plus one: any two sets that are similar enough share a retained
-value, so nothing is lost. The order in which values are first is that of one hash
-function, but values that many classes retain come last, so that common passages
+value. Values that many classes retain come last there, so that common passages
 seldom bring classes together.
 
-The inverted lists of retained values bring candidates. From every list each class is
+The inverted lists of what is retained bring candidates. From every list each class is
 first paired with the list's pivot only, so pairs grow with the lists' lengths. After
 the components of verified links are known, only pairs of different components are
 left: all of them from short lists, and from long ones those with some pivots a round,
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.llm.components import components
-from tidings.llm.words import Words, distinct, fresh, give_back, mix, sequences, slices, words
+from tidings.llm.words import STEP, Words, distinct, fresh, give_back, mix, sequences, slices, words
 from tidings.plans import Workspace
 
 SHINGLE = 5
@@ -51,6 +53,8 @@ BITMAP = 4
 HEAD = 8
 #: Values that come last; the commonest ones if there are more.
 COMMON = 2_000_000
+#: The least similarity in percent for which sets are retained in groups.
+GROUPED = 70
 SEGMENT_BYTES = 24_000_000
 #: How many standard deviations an estimate may be below the threshold.
 SLACK = 6.5
@@ -123,6 +127,88 @@ def _new(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return new
 
 
+class Parts(NamedTuple):
+    """How sets are cut into parts, by level of size: each level's first size, its number of parts, its least group."""
+
+    first: np.ndarray
+    parts: np.ndarray
+    least: np.ndarray
+
+
+def _differ(percent: int, size, most):
+    """The most values in which a set of ``size`` differs from a similar one of ``most`` values or fewer."""
+    return (size + np.minimum(most, 100 * size // percent)) * (100 - percent) // (100 + percent)
+
+
+def _groups(size: int, parts: int, least: int) -> float:
+    """Parts of a set, less two standard deviations, that can be expected to hold ``least`` (1 or 2) values."""
+    out = 1 - 1 / parts
+    held = 1 - out**size - (size / parts * out ** (size - 1) if least == 2 else 0)
+    return parts * held - 2 * (parts * max(held * (1 - held), 0)) ** 0.5
+
+
+def parts(percent: int) -> Parts:
+    """A similar set is of the same level of size or the next, or the one before."""
+    first = [1]
+    while first[-1] < 1 << 40:
+        first.append(100 * first[-1] // percent + 1)
+    cuts = []
+    for low, after in zip(first, first[1:]):
+        most = after - 1
+        fewest = int(_differ(percent, most, most)) + 1
+        sizes = {max(1, -(-one * percent // 100)) for one in (low, (low + most) // 2, most)} | {low, most}
+        for least, limit in ((2, 1.3), (1, 1.5)):
+            cut = fewest
+            while cut <= limit * fewest + 4 and any(_groups(one, cut, least) <= _differ(percent, one, most) for one in sizes):
+                cut += 1 + cut // 50
+            if cut <= limit * fewest + 4:
+                break
+        cuts.append((cut, least))
+    return Parts(np.array(first[:-1]), *(np.array(one) for one in zip(*cuts)))
+
+
+def grouped(found: Words, percent: int, by: Parts) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of the groups that each set retains for similarities of ``percent`` or more.
+
+    A set is cut into the parts of its own level, and into those of the next one, whose sets may be similar. Values that
+    are in one of two similar sets only fall to fewer parts than a set has groups of ``least`` values, so that one
+    group at least is the same in both. A set with too few of them retains all its parts, empty ones too.
+    """
+    size = found.counts
+    level = np.searchsorted(by.first, size, side="right") - 1
+    owners, hashes = [], []
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(found.values) + 1, np.uint64)
+        np.cumsum(mix(found.values + np.uint64(5 * STEP & (1 << 64) - 1)), out=sums[1:])
+        for step in (0, 1):
+            at = np.minimum(level + step, len(by.first) - 1)
+            most = np.append(by.first, 1 << 62)[at + 1] - 1
+            some = (size > 0) & ((100 * size // percent >= by.first[at]) | (step == 0))
+            cut = np.where(some, by.parts[at], 0)
+            start = np.concatenate(([0], np.cumsum(cut)))
+            spread = cut[found.owner]
+            inside = np.flatnonzero(spread)
+            part = ((found.values[inside] >> np.uint64(32)) * spread[inside].astype(np.uint64)) >> np.uint64(32)
+            # Values ascend, so a part's are side by side.
+            place = start[:-1][found.owner[inside]] + part.astype(np.int64)
+            head = np.flatnonzero(np.diff(place, prepend=-1))
+            tail = np.append(head[1:], len(place))
+            held = np.zeros(start[-1], np.int64)
+            total = np.zeros(start[-1], np.uint64)
+            if len(head):
+                held[place[head]] = tail - head
+                total[place[head]] = sums[inside[tail - 1] + 1] - sums[inside[head]]
+            owner = np.repeat(np.arange(len(size)), cut)
+            large = held >= by.least[at][owner]
+            enough = np.bincount(owner[large], minlength=len(size)) > _differ(percent, size, most)
+            kept = np.flatnonzero(large | ~enough[owner])
+            owner = owner[kept]
+            number = (kept - start[:-1][owner]).astype(np.uint64) << np.uint64(8) | at[owner].astype(np.uint64)
+            owners.append(owner)
+            hashes.append(mix(total[kept] + mix(number + np.uint64(1)) + held[kept].astype(np.uint64)))
+    return np.concatenate(owners), np.concatenate(hashes)
+
+
 class _Run:
     """One search; holds its tables in ``room``."""
 
@@ -131,6 +217,7 @@ class _Run:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.segments = max(1, -(-size // SEGMENT_BYTES))
+        self.parts = parts(percent) if GROUPED <= percent < 100 else None
 
     def keys(self) -> DataFrame:
         """doc_id, size, the set's two hashes, its sketch and its bitmap of every row."""
@@ -158,7 +245,7 @@ class _Run:
     def _retained(self, pack, common: np.ndarray) -> DataFrame:
         """Segments of what is retained; of equal sets that lie near each other one counts."""
         sent = self.spark.sparkContext.broadcast(common)
-        percent = self.percent
+        percent, by = self.percent, self.parts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             give_back()
@@ -168,7 +255,7 @@ class _Run:
                     for part in slices(one, "text"):
                         found = shingles(part.column("text"))
                         key, _ = _two(found)
-                        owner, values = retained(found, percent, sent.value)
+                        owner, values = grouped(found, percent, by) if by else retained(found, percent, sent.value)
                         held_values.append(values)
                         held_keys.append(key[owner])
                     values, keys = np.concatenate(held_values), np.concatenate(held_keys)
@@ -183,8 +270,10 @@ class _Run:
         return self.docs.mapInArrow(run, "segment int, at binary, more binary")
 
     def common(self) -> np.ndarray:
-        """The values, at most COMMON, that the most classes retain."""
+        """The values, at most COMMON, that the most classes retain; none for groups, which have no order."""
         segments = self.segments
+        if self.parts:
+            return np.zeros(0, np.uint64)
 
         def pack(values: np.ndarray, keys: np.ndarray, common: np.ndarray) -> Iterator[dict]:
             different, counts = np.unique(values, return_counts=True)
