@@ -506,3 +506,12 @@ def test_long_texts_that_share_a_passage_are_seldom_paired(spark, monkeypatch):
     found = near.classes(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
     assert all(row.kept for row in found) and len(found) == texts
     assert sum(paired) < texts * (texts - 1) / 2 / 4
+
+
+def test_of_lists_of_the_same_classes_one_is_left(spark):
+    lists = {1: [7, 8], 2: [7, 8], 3: [7, 9], 4: [7, 8, 9], 5: [9], 6: [8, 7]}
+    members = spark.createDataFrame([(value, key) for value, keys in lists.items() for key in keys], "value long, key long")
+    left = {}
+    for row in near._different(members).collect():
+        left.setdefault(row.value, set()).add(row.key)
+    assert left == {1: {7, 8}, 3: {7, 9}, 4: {7, 8, 9}}

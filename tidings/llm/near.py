@@ -414,11 +414,18 @@ def classes(docs: DataFrame, percent: int = 85, room: Workspace | None = None, e
     full = keys.where("n > 0 AND doc_id IS NOT NULL").drop("sketch")
     first = [F.min("doc_id").alias("rep"), *(F.min(name).alias(name) for name in _bits("x"))]
     classed = room.hold(full.groupBy("key", "check", "n").agg(*first), "classes")
-    members = room.hold(run.members(run.common()), "members")
+    members = _different(room.hold(run.members(run.common()), "members"))
     links = _links(run, keys, classed, members, room, estimate)
     return _result(keys, full, classed, links, room)
 
 
+def _different(members: DataFrame) -> DataFrame:
+    """The members of one of the lists that hold the same classes: copies that differ little share most of their groups."""
+    held = [F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("other"), F.count("*").alias("size")]
+    lists = members.groupBy("value").agg(*held).where("size > 1")
+    return members.join(lists.groupBy("one", "other", "size").agg(F.min("value").alias("value")), "value", "left_semi")
+
+
 def _may_link(percent: int):
     """Whether two classes' sizes and bitmaps allow a link; ``n`` and ``x`` are of one, ``m`` and ``y`` of the other.
 
