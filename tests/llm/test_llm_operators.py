@@ -515,3 +515,27 @@ def test_of_lists_of_the_same_classes_one_is_left(spark):
     for row in near._different(members).collect():
         left.setdefault(row.value, set()).add(row.key)
     assert left == {1: {7, 8}, 3: {7, 9}, 4: {7, 8, 9}}
+
+
+def test_a_family_is_paired_with_its_middle(spark, monkeypatch):
+    """Variants by one to five words, most of them less like each other than like the text that they come from."""
+    import random
+
+    draw, paired, with_sets = random.Random(8), [], near._with_sets
+
+    def counted(pairs, sets, column):
+        paired.append(pairs.count())
+        return with_sets(pairs, sets, column)
+
+    monkeypatch.setattr(near, "_with_sets", counted)
+    base = [f"b{at}" for at in range(400)]
+    rows = [(0, " ".join(base))]
+    for at in range(1, 101):
+        words = list(base)
+        for place in draw.sample(range(400), 1 + at % 5):
+            words[place] = f"c{at}x{place}"
+        rows.append((at, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {row.doc_id: (row.n_shingles, row.component_id) for row in near.classes(docs, 90).collect()}
+    assert found == brute_components(rows, 90)
+    assert max(paired) < 3 * len(rows)

@@ -10,10 +10,11 @@ value. Values that many classes retain come last there, so that common passages
 seldom bring classes together.
 
 The inverted lists of what is retained bring candidates. From every list each class is
-first paired with the list's pivot only, so pairs grow with the lists' lengths. After
-the components of verified links are known, only pairs of different components are
-left: all of them from short lists, and from long ones those with some pivots a round,
-until no list has an undecided pair. A pair is dropped where it meets if its sizes exclude it, or a bitmap
+first paired with the list's pivot only, so pairs grow with the lists' lengths. The pivot is the
+member that is in the most lists: it differs least from the others, so it links most of a family.
+After the components of verified links are known, only pairs of different components are
+left: those of a list's members outside its largest component, of all of them in short lists, and in
+long ones of some a round, until no list has an undecided pair. A pair is dropped where it meets if its sizes exclude it, or a bitmap
 of each set does: 256 parities, which differ in no more places than the sets do, so that no similar pair is
 lost, while families of texts just below the threshold lose most of theirs. Then it is dropped if the estimate from
 the union of both bottom-k sketches is far below, with ``estimate``, and verified on the full sets. The estimate may be
@@ -446,19 +447,19 @@ def _links(run: _Run, keys: DataFrame, classed: DataFrame, members: DataFrame, r
     """Links between classes that leave the components of all links, round by round."""
     name = uuid.uuid4().hex[:8]
     percent = run.percent
-    candidates = members.select("key").distinct().join(classed, "key").select(F.col("rep").alias("doc_id"), "key")
+    lists = members.groupBy("key").agg(F.count("*").alias("lists"))
+    candidates = lists.join(classed, "key").select(F.col("rep").alias("doc_id"), "key", "n", "lists", *_bits("x"))
     candidates = room.hold(candidates, f"candidates-{name}")
     sketches = room.hold(keys.select("doc_id", "key", "sketch").join(candidates, ["doc_id", "key"], "left_semi"), f"sketches-{name}")
     sets = None
-    sized = members.join(classed.select("key", "n", *_bits("x")), "key")
-    sized = room.hold(sized, f"sized-{name}")
+    sized = room.hold(members.join(candidates.drop("doc_id"), "key"), f"sized-{name}")
     fits = _may_link(percent)
-    pivots = sized.groupBy("value").agg(F.min(F.struct("key", "n", *_bits("x"))).alias("p")).select("value", "p.*")
+    pivots = sized.groupBy("value").agg(F.max(F.struct("lists", "key", "n", *_bits("x"))).alias("p")).select("value", "p.*")
     pivots = pivots.select("value", *_other({}))
-    pairs = sized.join(pivots, "value").where(fits & (F.col("key") != F.col("a"))).select("a", F.col("key").alias("b")).distinct()
-    pairs = room.hold(pairs, f"pairs-{name}")
+    pairs = sized.join(pivots, "value").where(fits & (F.col("key") != F.col("a"))).select("a", F.col("key").alias("b"))
+    pairs = room.hold(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{name}")
     used = pivots.select("value", F.col("a").alias("key"))
-    links, decided, number = None, None, 0
+    links, decided, last, number = None, None, False, 0
     while True:
         number += 1
         near = pairs.select("a", "b")
@@ -471,44 +472,43 @@ def _links(run: _Run, keys: DataFrame, classed: DataFrame, members: DataFrame, r
         found = _with_sets(near, sets, "full").mapInArrow(_verified(percent), "a long, b long")
         found = room.hold(found, f"found-{name}-{number}")
         links = found if links is None else links.unionByName(found)
+        if last:
+            return links
         decided = pairs if decided is None else decided.unionByName(pairs)
         roots = room.hold(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), room), f"roots-{name}-{number}")
-        pairs, used = _left(sized, used, roots, decided, fits, room, f"{name}-{number}")
-        if pairs is None:
+        pairs, used, last = _left(sized, used, roots, decided, fits, room, f"{name}-{number}")
+        if last and pairs.isEmpty():
             return links
 
 
 def _left(sized: DataFrame, used: DataFrame, roots: DataFrame, decided: DataFrame, fits, room: Workspace, name: str):
-    """The next round's pairs of different components, or None if every list is decided."""
-    kept = ["value", "key", "n", *_bits("x")]
+    """The next round's pairs of different components, the pivots till then, and whether that decides every list."""
+    kept = ["value", "key", "n", "lists", *_bits("x")]
     placed = sized.join(roots, sized["key"] == roots["u"], "left").select(*kept, F.coalesce("root", "key").alias("root"))
-    lists = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-    open_ = room.hold(placed.join(lists.where("low <> high"), "value").drop("low", "high"), f"open-{name}")
+    by_root = placed.groupBy("value", "root").agg(F.count("*").alias("weight"))
+    most = F.max(F.struct("weight", "root")).alias("most")
+    lists = by_root.groupBy("value").agg(most, F.sum("weight").alias("size")).where("most.weight < size")
+    open_ = room.hold(placed.join(lists.select("value", F.col("most.root").alias("largest"), "size"), "value"), f"open-{name}")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("value"))
     first = open_.select("key", "value").withColumn("rank", rank).where(F.col("rank") <= HEAD)
     placed = room.hold(open_.join(first.groupBy("key").agg(F.collect_list("value").alias("head")), "key"), f"placed-{name}")
-    fresh_ = placed.join(used, ["value", "key"], "left_anti")
-    by_root = fresh_.groupBy("value", "root").agg(F.count("*").alias("weight"))
-    spread = by_root.groupBy("value").agg(F.max(F.struct("weight", "root")).alias("most"))
     # Members outside a list's largest component are the next pivots. Two undecided members of
     # the largest are linked already, so a list is decided once it has no other.
-    short = placed.where(F.col("size") <= LONG)
-    left = short.select("value", *_other({"root": "other", "head": "heads"}))
+    outside = room.hold(placed.where("root <> largest").join(used, ["value", "key"], "left_anti"), f"outside-{name}")
+    long = outside.where(F.col("size") > LONG)
+    last = long.groupBy("value").count().where(F.col("count") > PIVOTS).isEmpty()
+    turn = outside
+    if not last:
+        order = Window.partitionBy("value").orderBy(F.desc("lists"), "key")
+        some = long.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= PIVOTS).drop("turn")
+        turn = room.hold(outside.where(F.col("size") <= LONG).unionByName(some), f"turn-{name}")
+    others = turn.select("value", *_other({"root": "other", "head": "heads"}))
     apart = fits & (F.col("root") != F.col("other"))
     # Most pairs share one of their first values; they count where they meet first.
     apart &= ~F.exists(F.array_intersect("head", "heads"), lambda one: one < F.col("value"))
-    of_short = short.join(left, "value").where(apart & (F.col("key") > F.col("a"))).select("a", "key")
-    outside = fresh_.where(F.col("size") > LONG).join(spread, "value").where("root <> most.root")
-    order = Window.partitionBy("value").orderBy("key")
-    turn = outside.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= PIVOTS)
-    turn = room.hold(turn.select("value", *_other({"root": "other", "head": "heads"})), f"turn-{name}")
-    of_long = placed.where(F.col("size") > LONG).join(turn, "value").where(apart & (F.col("key") != F.col("a"))).select("a", "key")
-    pairs = of_short.unionByName(of_long).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
-    known = decided.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = room.hold(pairs.join(known, ["a", "b"], "left_anti"), f"next-{name}")
-    if pairs.isEmpty() and (turn.isEmpty() or outside.join(turn.select("value", F.col("a").alias("key")), ["value", "key"], "left_anti").isEmpty()):
-        return None, None
-    return pairs, used.unionByName(turn.select("value", F.col("a").alias("key")))
+    pairs = placed.join(others, "value").where(apart).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+    pairs = room.hold(pairs.join(decided, ["a", "b"], "left_anti"), f"next-{name}")
+    return pairs, used.unionByName(turn.select("value", "key")), last
 
 
 def _result(keys: DataFrame, full: DataFrame, classed: DataFrame, links: DataFrame, room: Workspace) -> DataFrame:
