@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidings.llm import language, leaks, near, packing, toxicity
 from tidings.llm.queries import WORD_TOKENIZER, tokenizer
-from tidings.llm.words import fresh
+from tidings.llm.words import fresh, give_back
 from tidings.plans import Workspace
 from tidings.session import importable
 
@@ -28,6 +28,7 @@ TOXICITY = ["toxicity"]
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters, and those that fit no learnt language."""
     found = language.predict(_aside(docs, LANGUAGE), language.fit(docs))
+    give_back()  # of the sample; the driver has later stages to plan
     fits = (F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS)
     return _back(found.where(fits), docs, LANGUAGE)
 
@@ -37,6 +38,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(toxicity.labelled(docs, labels))
     found = toxicity.scored(_aside(docs, TOXICITY), model)
+    give_back()
     return _back(found.where(F.col("toxicity") < TOXIC), docs, TOXICITY)
 
 

@@ -539,3 +539,28 @@ def test_a_family_is_paired_with_its_middle(spark, monkeypatch):
     found = {row.doc_id: (row.n_shingles, row.component_id) for row in near.classes(docs, 90).collect()}
     assert found == brute_components(rows, 90)
     assert max(paired) < 3 * len(rows)
+
+
+def test_a_family_below_the_threshold_is_dropped_where_it_meets(spark, monkeypatch):
+    """Texts of 400 words with a few changed ones each: likenesses of about 0.75, few of 0.8 but that of two changed less."""
+    import random
+
+    draw, paired, with_sets = random.Random(9), [], near._with_sets
+
+    def counted(pairs, sets, column):
+        paired.append(pairs.count())
+        return with_sets(pairs, sets, column)
+
+    monkeypatch.setattr(near, "_with_sets", counted)
+    base = [f"b{at}" for at in range(400)]
+    rows = []
+    for at in range(60):
+        words = list(base)
+        for place in draw.sample(range(80), 6 if at > 1 else 4):
+            words[5 * place] = f"c{at}x{place}"
+        rows.append((at, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {row.doc_id: (row.n_shingles, row.component_id) for row in near.classes(docs, 80).collect()}
+    assert found == brute_components(rows, 80)
+    assert found[1] == (396, 0) and len({root for _, root in found.values()}) > 40
+    assert max(paired) < 3 * len(rows)

@@ -15,8 +15,9 @@ member that is in the most lists: it differs least from the others, so it links
 After the components of verified links are known, only pairs of different components are
 left: those of a list's members outside its largest component, of all of them in short lists, and in
 long ones of some a round, until no list has an undecided pair. A pair is dropped where it meets if its sizes exclude it, or a bitmap
-of each set does: 256 parities, which differ in no more places than the sets do, so that no similar pair is
-lost, while families of texts just below the threshold lose most of theirs. Then it is dropped if the estimate from
+of each set does: 1024 parities, which differ in no more places than the sets do, so that no similar pair is
+lost, while families of texts just below the threshold lose nearly all of theirs, before a row is made. Bitmaps are moved
+by class in the first round, and only with the members of open lists later. Then it is dropped if the estimate from
 the union of both bottom-k sketches is far below, with ``estimate``, and verified on the full sets. The estimate may be
 6.5 standard deviations off; without it nothing is left to chance.
 
@@ -48,8 +49,8 @@ OFTEN = 128
 LONG = 2048
 #: Pivots that a long list takes a round.
 PIVOTS = 2048
-#: 64-bit words of a set's bitmap.
-BITMAP = 4
+#: 64-bit words of a set's bitmap. Its parities tell sets of up to about 600 values just below the threshold from similar ones.
+BITMAP = 16
 #: A class's first values, by which a pair that meets in many lists counts in the first of them.
 HEAD = 8
 #: Values that come last; the commonest ones if there are more.
@@ -427,14 +428,19 @@ def _different(members: DataFrame) -> DataFrame:
     return members.join(lists.groupBy("one", "other", "size").agg(F.min("value").alias("value")), "value", "left_semi")
 
 
-def _may_link(percent: int):
-    """Whether two classes' sizes and bitmaps allow a link; ``n`` and ``x`` are of one, ``m`` and ``y`` of the other.
+def _sizes_allow(percent: int):
+    """Whether two classes' sizes, ``n`` and ``m``, allow a link."""
+    return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+
+
+def _bitmaps_allow(percent: int):
+    """Whether two classes' bitmaps allow a link; ``n`` and ``x`` are of one, ``m`` and ``y`` of the other.
 
     Sets that differ in d values have bitmaps that differ in d places at most, and share (n + m - d) / 2.
     """
     n, m = F.col("n"), F.col("m")
     differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_bits("x"), _bits("y"))), F.lit(0))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
+    return (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
 
 
 def _other(columns: dict[str, str]) -> list:
@@ -452,12 +458,13 @@ def _links(run: _Run, keys: DataFrame, classed: DataFrame, members: DataFrame, r
     candidates = room.hold(candidates, f"candidates-{name}")
     sketches = room.hold(keys.select("doc_id", "key", "sketch").join(candidates, ["doc_id", "key"], "left_semi"), f"sketches-{name}")
     sets = None
-    sized = room.hold(members.join(candidates.drop("doc_id"), "key"), f"sized-{name}")
-    fits = _may_link(percent)
-    pivots = sized.groupBy("value").agg(F.max(F.struct("lists", "key", "n", *_bits("x"))).alias("p")).select("value", "p.*")
-    pivots = pivots.select("value", *_other({}))
-    pairs = sized.join(pivots, "value").where(fits & (F.col("key") != F.col("a"))).select("a", F.col("key").alias("b"))
-    pairs = room.hold(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{name}")
+    sized = room.hold(members.join(candidates.select("key", "n", "lists"), "key"), f"sized-{name}")
+    pivots = sized.groupBy("value").agg(F.max(F.struct("lists", "key", "n")).alias("p")).select("value", F.col("p.key").alias("a"), F.col("p.n").alias("m"))
+    pairs = sized.join(pivots, "value").where(_sizes_allow(percent) & (F.col("key") != F.col("a"))).select("a", F.col("key").alias("b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    bits = candidates.select("key", "n", *_bits("x"))
+    pairs = pairs.join(bits.withColumnRenamed("key", "b"), "b").join(bits.select(*_other({})), "a")
+    pairs = room.hold(pairs.where(_bitmaps_allow(percent)).select("a", "b"), f"pairs-{name}")
     used = pivots.select("value", F.col("a").alias("key"))
     links, decided, last, number = None, None, False, 0
     while True:
@@ -476,22 +483,22 @@ def _links(run: _Run, keys: DataFrame, classed: DataFrame, members: DataFrame, r
             return links
         decided = pairs if decided is None else decided.unionByName(pairs)
         roots = room.hold(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), room), f"roots-{name}-{number}")
-        pairs, used, last = _left(sized, used, roots, decided, fits, room, f"{name}-{number}")
+        pairs, used, last = _left(sized, bits, used, roots, decided, percent, room, f"{name}-{number}")
         if last and pairs.isEmpty():
             return links
 
 
-def _left(sized: DataFrame, used: DataFrame, roots: DataFrame, decided: DataFrame, fits, room: Workspace, name: str):
+def _left(sized: DataFrame, bits: DataFrame, used: DataFrame, roots: DataFrame, decided: DataFrame, percent: int, room: Workspace, name: str):
     """The next round's pairs of different components, the pivots till then, and whether that decides every list."""
-    kept = ["value", "key", "n", "lists", *_bits("x")]
-    placed = sized.join(roots, sized["key"] == roots["u"], "left").select(*kept, F.coalesce("root", "key").alias("root"))
+    placed = sized.join(roots, sized["key"] == roots["u"], "left").select("value", "key", "lists", F.coalesce("root", "key").alias("root"))
     by_root = placed.groupBy("value", "root").agg(F.count("*").alias("weight"))
     most = F.max(F.struct("weight", "root")).alias("most")
     lists = by_root.groupBy("value").agg(most, F.sum("weight").alias("size")).where("most.weight < size")
     open_ = room.hold(placed.join(lists.select("value", F.col("most.root").alias("largest"), "size"), "value"), f"open-{name}")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("value"))
     first = open_.select("key", "value").withColumn("rank", rank).where(F.col("rank") <= HEAD)
-    placed = room.hold(open_.join(first.groupBy("key").agg(F.collect_list("value").alias("head")), "key"), f"placed-{name}")
+    head = first.groupBy("key").agg(F.collect_list("value").alias("head"))
+    placed = room.hold(open_.join(head.join(bits, "key"), "key"), f"placed-{name}")
     # Members outside a list's largest component are the next pivots. Two undecided members of
     # the largest are linked already, so a list is decided once it has no other.
     outside = room.hold(placed.where("root <> largest").join(used, ["value", "key"], "left_anti"), f"outside-{name}")
@@ -503,7 +510,7 @@ def _left(sized: DataFrame, used: DataFrame, roots: DataFrame, decided: DataFram
         some = long.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= PIVOTS).drop("turn")
         turn = room.hold(outside.where(F.col("size") <= LONG).unionByName(some), f"turn-{name}")
     others = turn.select("value", *_other({"root": "other", "head": "heads"}))
-    apart = fits & (F.col("root") != F.col("other"))
+    apart = (F.col("root") != F.col("other")) & _sizes_allow(percent) & _bitmaps_allow(percent)
     # Most pairs share one of their first values; they count where they meet first.
     apart &= ~F.exists(F.array_intersect("head", "heads"), lambda one: one < F.col("value"))
     pairs = placed.join(others, "value").where(apart).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
