@@ -421,6 +421,25 @@ def test_token_files_of_rows_without_ids_are_spread(spark, tmp_path):
     assert [(row[0], row[3]) for row in found] == [(one, crc(ids)) for (one, _), ids in zip(rows, encoded(BYTE_TOKENIZER, [text for _, text in rows], 2))]
 
 
+def test_token_files_are_as_many_as_a_shuffle_sends_unsorted(spark, tmp_path, monkeypatch):
+    """With more partitions a task gathers texts in memory beside the row group that it reads."""
+    texts = [f"text {at} of them" for at in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        told = token_files.write_tokens(docs, f"{tmp_path}/out", tokenizer(BYTE_TOKENIZER), end_id=2, vocabulary=50_257).collect()
+        assert 150 < len(told) <= 200
+        monkeypatch.setattr(token_files, "PART_BYTES", 1)
+        assert token_files._part_count(docs) == 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert token_files._part_count(docs) == int(before)
+    found = sorted(map(tuple, token_files.read_tokens(spark, f"{tmp_path}/out").collect()))
+    assert [row[3] for row in found] == [crc(ids) for ids in encoded(BYTE_TOKENIZER, texts, 2)]
+
+
 def test_token_files_need_a_file_system_on_a_cluster():
     for folder in ("file:/shared/tokens", "file:///shared/tokens", "hdfs://name/tokens"):
         token_files._shared(folder, "spark://host:7077")
