@@ -4,6 +4,8 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from brute import brute_components, crc, encoded, ordered, shingles, split
 from pyspark.sql import functions as F
@@ -440,6 +442,18 @@ def test_token_files_are_as_many_as_a_shuffle_sends_unsorted(spark, tmp_path, mo
     assert [row[3] for row in found] == [crc(ids) for ids in encoded(BYTE_TOKENIZER, texts, 2)]
 
 
+def test_token_files_of_bytes_that_are_not_utf8(spark, tmp_path):
+    """A table's strings may hold any bytes; Spark doesn't look at them as it reads."""
+    texts = [b"plain words", b"ab \xff\xfe\xc3xyz def", b"cut \xe4\xb8", b"\xc3  two  spaces \xa0 x", b"<| \xf0\x9f\x98 |>", "é 漢字".encode()]
+    ends = pa.array(np.cumsum([0, *map(len, texts)]), pa.int32())
+    column = pa.Array.from_buffers(pa.string(), len(texts), [None, ends.buffers()[1], pa.py_buffer(b"".join(texts))])
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts))), "text": column}), f"{tmp_path}/docs.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/docs.parquet")
+    token_files.write_tokens(docs, f"{tmp_path}/out", tokenizer(BYTE_TOKENIZER), end_id=2, parts=2)
+    found = sorted(map(tuple, token_files.read_tokens(spark, f"{tmp_path}/out").collect()))
+    assert [row[3] for row in found] == [crc(ids) for ids in encoded(BYTE_TOKENIZER, [text.decode(errors="replace") for text in texts], 2)]
+
+
 def test_token_files_need_a_file_system_on_a_cluster():
     for folder in ("file:/shared/tokens", "file:///shared/tokens", "hdfs://name/tokens"):
         token_files._shared(folder, "spark://host:7077")
